@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from queries import clean  # noqa: F401
+from queries import clean, indicators, scores  # noqa: F401
 from queries.core import REGISTRY
 
 __all__ = ["REGISTRY"]

@@ -92,7 +92,7 @@ def normalize_code(t: Tables) -> DataFrame:
     source="x_ratings",
 )
 def rating_stage(t: Tables) -> DataFrame:
-    return S.ratings(t)
+    return staging.stage_ratings(S.raw_ratings(t))
 
 
 @query(
@@ -123,7 +123,7 @@ TOKENS = {1: "nan", 2: "None", 3: "NaT", 4: "<NA>"}
               '{{"s":"' || o_orderstatus || '","n":' || {SQL_PRIORITY} || '}}' AS doc FROM orders""",
 )
 def null_tokens(t: Tables) -> DataFrame:
-    token = F.coalesce(S.choose(F.col("priority"), TOKENS), F.col("status_code"))
+    token = F.coalesce(S.choose("priority", TOKENS), F.col("status_code"))
     doc = F.to_json(F.struct(F.col("status_code").alias("s"), F.col("priority").alias("n")))
     return text_orders(t).select("id", X.null_tokens(token).alias("token"), X.null_tokens(doc).alias("doc"))
 
@@ -160,8 +160,7 @@ BOOL_VALUE = {k: int(v.strip().lower() not in P.FALSE_TOKENS) for k, v in BOOL_T
         FROM orders""",
 )
 def parse_bool(t: Tables) -> DataFrame:
-    key = F.concat("status_code", F.col("priority").cast("string"))
-    return text_orders(t).select("id", N.parse_bool(S.choose(key, BOOL_TEXT)).alias("flag"))
+    return text_orders(t).select("id", N.parse_bool(S.choose("concat(status_code, priority)", BOOL_TEXT)).alias("flag"))
 
 
 @query(
@@ -258,7 +257,7 @@ def flatten_json(t: Tables) -> DataFrame:
     source="x_contracts",
 )
 def contracts_stage(t: Tables) -> DataFrame:
-    return S.contracts(t)
+    return staging.stage_contracts(S.raw_contracts(t))
 
 
 @query(
@@ -375,8 +374,8 @@ FISCAL_KIND = {"O1": "RGF", "O2": "RGF Simplificado", "O3": "RGF", "O4": "RGF Si
               {sql_case(f"(o_orderstatus || {SQL_PRIORITY})", FISCAL_KIND)} AS fiscal_kind FROM orders""",
 )
 def deliverable_kind(t: Tables) -> DataFrame:
-    key = F.concat("status_code", F.col("priority").cast("string"))
-    return reports.deliverable_kinds(text_orders(t).withColumn("deliverable", S.choose(key, DELIVERY_NAMES)))
+    named = text_orders(t).withColumn("deliverable", S.choose("concat(status_code, priority)", DELIVERY_NAMES))
+    return reports.deliverable_kinds(named)
 
 
 @query(
@@ -450,7 +449,7 @@ def dim_stage(t: Tables) -> DataFrame:
     source="x_accounts",
 )
 def accounts_stage(t: Tables) -> DataFrame:
-    return S.accounts(t)
+    return staging.stage_accounts(S.raw_accounts(t))
 
 
 @query(

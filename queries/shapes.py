@@ -15,6 +15,7 @@ from queries.core import Tables, cte, sql_case, sql_half_away, sql_list
 from riskspark import params as P
 from riskspark.functions.numbers import half_away
 from riskspark.functions.ratings import class_label, grade_factor, grade_from_percent
+from riskspark.operators.dedupe import dedupe_latest, keep_first
 from riskspark.plans import staging
 from riskspark.plans.postprocess import Window
 
@@ -30,8 +31,14 @@ def state_at(index) -> F.Column:
     return F.element_at(F.array(*[F.lit(s) for s in STATES]), index.cast("int") + 1)
 
 
-def choose(key, mapping: dict) -> F.Column:
-    return F.coalesce(*[F.when(key == k, F.lit(v)) for k, v in mapping.items()])
+def choose(key: str, mapping: dict) -> F.Column:
+    """CASE over an SQL key expression; one call however long the mapping."""
+
+    def literal(x) -> str:
+        return f"'{x}'" if isinstance(x, str) else f"{x}D" if isinstance(x, float) else str(x)
+
+    whens = " ".join(f"WHEN {literal(k)} THEN {literal(v)}" for k, v in mapping.items())
+    return F.expr(f"CASE {key} {whens} END")
 
 
 # --- entities ----------------------------------------------------------------------------
@@ -110,8 +117,8 @@ FISCAL_VALUE = {1: (-35000.0, 0.7), 2: (-30000.0, 0.6), 3: (0.0, 0.05), 4: (-250
 
 
 def line_value(values: dict) -> F.Column:
-    offset = choose(F.col("line"), {k: v[0] for k, v in values.items()})
-    slope = choose(F.col("line"), {k: v[1] for k, v in values.items()})
+    offset = choose("line", {k: v[0] for k, v in values.items()})
+    slope = choose("line", {k: v[1] for k, v in values.items()})
     return half_away(offset + slope * F.col("l_extendedprice"), 2)
 
 
@@ -149,7 +156,7 @@ def budget_lines(t: Tables) -> DataFrame:
     def build(t: Tables) -> DataFrame:
         line = F.col("line")
         other = F.when(F.col("l_returnflag") != "A", F.lit("OutrasReceitas"))
-        annex = choose(line, BUDGET_ANNEX)
+        annex = choose("line", BUDGET_ANNEX)
         return order_lines(t).select(
             "entity_id",
             "state",
@@ -159,9 +166,9 @@ def budget_lines(t: Tables) -> DataFrame:
             F.lit("B").alias("regime"),
             F.when(F.col("l_returnflag") == "R", F.concat(annex, F.lit(" - BO"))).otherwise(annex).alias("annex"),
             F.lit("M").alias("sphere"),
-            choose(line, BUDGET_COLUMN).alias("column_label"),
-            F.when(line == 6, other).otherwise(choose(line, BUDGET_CODE)).alias("account_code"),
-            choose(line, BUDGET_NAME).alias("account_name"),
+            choose("line", BUDGET_COLUMN).alias("column_label"),
+            F.when(line == 6, other).otherwise(choose("line", BUDGET_CODE)).alias("account_code"),
+            choose("line", BUDGET_NAME).alias("account_name"),
             line_value(BUDGET_VALUE).alias("value"),
             "population",
         )
@@ -199,8 +206,8 @@ def fiscal_lines(t: Tables) -> DataFrame:
             F.when(F.col("l_returnflag") == "R", F.concat(annex, F.lit(" (Consolidado)"))).otherwise(annex).alias("annex"),
             F.lit("M").alias("sphere"),
             F.lit("Valor").alias("column_label"),
-            choose(line, FISCAL_CODE).alias("account_code"),
-            choose(line, FISCAL_NAME).alias("account_name"),
+            choose("line", FISCAL_CODE).alias("account_code"),
+            choose("line", FISCAL_NAME).alias("account_name"),
             line_value(FISCAL_VALUE).alias("value"),
             "population",
         )
@@ -236,7 +243,7 @@ def raw_ratings(t: Tables) -> DataFrame:
             F.col("entity_id").cast("string").alias("entity_code"),
             (F.col("year") + shift).cast("string").alias("year"),
             (F.col("year") + shift + 1).cast("string").alias("edition"),
-            choose(F.col("status_code"), STATUS).alias("status"),
+            choose("status_code", STATUS).alias("status"),
             F.concat(F.lower(grade), F.lit(" ")).alias("grade"),
             grade_factor(grade).alias("factor"),
             percent.alias("percent"),
@@ -260,7 +267,22 @@ FROM (SELECT *, {sql_half_away("(0.55e0 + price / 500000e0 * 0.45e0)", 4)} AS pe
 
 
 def ratings(t: Tables) -> DataFrame:
-    return t.shared("ratings", lambda t: staging.stage_ratings(raw_ratings(t)))
+    """The same ratings as already typed columns, one per (entity, year)."""
+
+    def build(t: Tables) -> DataFrame:
+        shift = F.when(F.col("priority") == 1, -1).when(F.col("priority") == 5, 1).otherwise(0)
+        rows = owned_orders(t).select(
+            "state",
+            "entity_id",
+            (F.col("year") + shift).cast("bigint").alias("year"),
+            choose("status_code", STATUS).alias("status"),
+            half_away(F.lit(0.55) + F.col("price") / 500000.0 * 0.45, 4).alias("percent"),
+            F.when(F.col("priority") != 3, F.col("o_orderkey")).alias("position"),
+        )
+        rows = rows.withColumn("edition", F.col("year") + 1).withColumn("grade", grade_from_percent(F.col("percent")))
+        return staging.newest_ratings(rows.withColumn("factor", grade_factor(F.col("grade"))))
+
+    return t.shared("ratings", build)
 
 
 cte("x_ratings", """
@@ -306,7 +328,26 @@ FROM x_owned
 
 
 def accounts(t: Tables) -> DataFrame:
-    return t.shared("accounts", lambda t: staging.stage_accounts(raw_accounts(t)))
+    """The same accounts as already typed columns, one per (entity, year)."""
+
+    def build(t: Tables) -> DataFrame:
+        price = F.col("price")
+        missing = (F.col("status_code") == "P") & (F.col("priority") == 5)
+        rows = owned_orders(t).select(
+            "entity_id",
+            "state",
+            F.col("year").cast("bigint").alias("year"),
+            half_away(price * (0.02 + 0.01 * F.col("priority")), 2).alias("tax_revenue"),
+            F.when(~missing, price).alias("current_revenue"),
+            half_away(price * 0.4, 2).alias("financial_assets"),
+            half_away(price * 0.25 + 20000.0, 2).alias("financial_liabilities"),
+            (F.col("status_code") == "F").alias("balance_available"),
+            (~missing).alias("revenue_available"),
+            "population",
+        )
+        return dedupe_latest(rows, ["entity_id", "year"], [])
+
+    return t.shared("accounts", build)
 
 
 cte("x_accounts", """
@@ -320,35 +361,39 @@ SELECT * EXCLUDE (rn) FROM (
 # --- compliance flags --------------------------------------------------------------------
 
 
+# requirement watched by each (month, priority): at most one, since 12 and 5 share no factor
+WATCHED = {(j % 12 + 1) * 10 + j % 5 + 1: j for j in range(len(P.REQUIREMENTS))}
+
+
 def raw_flags(t: Tables) -> DataFrame:
-    """One wide row per (entity, year): each requirement watches one month and priority."""
+    """One wide row per (entity, year): '!' or blank where an order hit the requirement."""
 
     def build(t: Tables) -> DataFrame:
-        hits = [
-            F.count_if((F.col("month") == j % 12 + 1) & (F.col("priority") == j % 5 + 1)).alias(f"_h{j}")
-            for j in range(len(P.REQUIREMENT_COLUMNS))
-        ]
-        wide = owned_orders(t).groupBy("entity_id", "year").agg(
-            *hits, F.count_if(F.col("status_code") == "P").alias("_p")
+        rows = owned_orders(t).withColumn("slot", choose("month * 10 + priority", WATCHED))
+        masks = rows.groupBy("entity_id", "year").agg(
+            F.expr("coalesce(bit_or(CASE WHEN status_code = 'F' THEN 1L << slot END), 0L)").alias("marked"),
+            F.expr("coalesce(bit_or(CASE WHEN status_code <> 'F' THEN 1L << slot END), 0L)").alias("blank"),
+            F.count_if(F.col("status_code") == "P").alias("n_p"),
         )
-        day = F.concat(F.col("year").cast("string"), F.lit("-12-31"))
-        flags = []
-        for j, column in enumerate(P.REQUIREMENT_COLUMNS):
-            value = F.when(F.col(f"_h{j}") == 0, day).when(F.col(f"_h{j}") == 1, "!").otherwise(" ")
-            flags.append((F.when(F.col("_p") == 0, value) if j == 27 else value).alias(column))
-        return wide.select(
-            F.col("entity_id").cast("string").alias("entity_id"),
-            *flags,
-            F.concat(F.lit("31/12/"), F.col("year").cast("string")).alias("surveyed"),
-            F.concat(F.col("year").cast("string"), F.lit("-12-31T10:00")).alias("collected"),
+        values = [
+            f"CASE WHEN (marked >> {j}) & 1 = 1 THEN '!' WHEN (blank >> {j}) & 1 = 1 THEN ' ' ELSE concat(year, '-12-31') END"
+            for j in range(len(P.REQUIREMENTS))
+        ]
+        values[27] = f"CASE WHEN n_p = 0 THEN {values[27]} END"
+        return masks.selectExpr(
+            "cast(entity_id AS string) AS entity_id",
+            *[f"{value} AS {column}" for value, column in zip(values, P.REQUIREMENT_COLUMNS)],
+            "concat('31/12/', year) AS surveyed",
+            "concat(year, '-12-31T10:00') AS collected",
         )
 
     return t.shared("raw_flags", build)
 
 
 def _sql_flag(j: int, column: str) -> str:
-    hit = f"count(*) FILTER (WHERE month = {j % 12 + 1} AND priority = {j % 5 + 1})"
-    value = f"CASE {hit} WHEN 0 THEN year || '-12-31' WHEN 1 THEN '!' ELSE ' ' END"
+    hit = f"month = {j % 12 + 1} AND priority = {j % 5 + 1}"
+    value = (f"CASE WHEN bool_or({hit} AND status_code = 'F') THEN '!' WHEN bool_or({hit}) THEN ' '"
+             " ELSE year || '-12-31' END")
     if j == 27:
         value = f"CASE WHEN count(*) FILTER (WHERE status_code = 'P') = 0 THEN {value} END"
     return f"{value} AS {column}"
@@ -394,7 +439,7 @@ def raw_contracts(t: Tables) -> DataFrame:
             "state",
             F.concat(year, F.lit(".0")).alias("purchase_year"),
             F.concat(month, F.lit(".0")).alias("month"),
-            choose(F.col("priority"), MODALITY).alias("modality"),
+            choose("priority", MODALITY).alias("modality"),
             F.to_json(unit).alias("unit_json"),
             F.to_json(body).alias("body_json"),
             F.col("price").cast("decimal(18,2)").cast("string").alias("estimated_value"),
@@ -430,7 +475,22 @@ SELECT * EXCLUDE (rn) FROM (
 
 
 def contracts(t: Tables) -> DataFrame:
-    return t.shared("contracts", lambda t: staging.stage_contracts(raw_contracts(t)))
+    """The same contracts as already typed columns, newest version each."""
+
+    def build(t: Tables) -> DataFrame:
+        award = (F.col("price").cast("decimal(18,2)") * 20000).cast("double")
+        rows = owned_orders(t).filter("NOT (status_code = 'O' AND priority = 3)").select(
+            F.concat_ws("-", "entity_id", "year", "month").alias("contract_id"),
+            F.when(F.expr("NOT (priority = 4 AND status_code = 'P')"), F.col("entity_id")).alias("entity_id"),
+            F.col("year").cast("bigint").alias("purchase_year"),
+            choose("priority", MODALITY).cast("double").cast("bigint").alias("modality"),
+            F.when(F.col("priority") != 5, award).alias("awarded_value"),
+            F.col("day").alias("published"),
+            F.col("o_orderkey").alias("version"),
+        )
+        return keep_first(rows, ["contract_id"], [F.col("published").desc(), F.col("version").desc()])
+
+    return t.shared("contracts", build)
 
 
 # --- snapshots ---------------------------------------------------------------------------

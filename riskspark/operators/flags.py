@@ -15,21 +15,14 @@ from riskspark.functions.numbers import half_even
 REGULAR = "REGULAR"
 
 
-def is_pending(flag: Column) -> Column:
-    """'!' or nothing: a blank flag counts as pending."""
-    return F.trim(F.coalesce(flag, F.lit(""))).isin("!", "")
-
-
 def pending_items(requirements: list[tuple[str, str, str, str]]) -> Column:
-    """Array of the pending requirements in the given order."""
-    items = [
-        F.when(
-            is_pending(F.col(column)),
-            F.struct(F.lit(code).alias("code"), F.lit(text).alias("text"), F.lit(severity).alias("severity")),
-        )
+    """Array of the pending requirements in the given order; '!' and a blank flag are pending."""
+    items = ", ".join(
+        f"CASE WHEN trim(coalesce({column}, '')) IN ('!', '') "
+        f"THEN named_struct('code', '{code}', 'text', '{text}', 'severity', '{severity}') END"
         for column, code, text, severity in requirements
-    ]
-    return F.filter(F.array(*items), lambda item: item.isNotNull())
+    )
+    return F.expr(f"filter(array({items}), item -> item IS NOT NULL)")
 
 
 def by_severity() -> list[tuple[str, str, str, str]]:

@@ -8,14 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark import params as P
 
 
 def state_params(spark: SparkSession, overrides: dict[str, P.StateOverride] | None = None) -> DataFrame:
     rows = P.state_rows(overrides)
-    fields = ", ".join(f"{name} {'string' if isinstance(v, str) else 'double'}" for name, v in rows[0].items())
-    return spark.createDataFrame([tuple(r.values()) for r in rows], fields)
+    kinds = {name: T.StringType() if isinstance(v, str) else T.DoubleType() for name, v in rows[0].items()}
+    schema = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
+    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
 
 
 def with_state_params(df: DataFrame, overrides: dict[str, P.StateOverride] | None = None) -> DataFrame:

@@ -90,10 +90,13 @@ def stage_ratings(raw: DataFrame) -> DataFrame:
         F.col("percent").cast("double").alias("percent"),
         F.col("position").try_cast("bigint").alias("position"),
     )
-    known = rows.dropna(subset=["state", "entity_id", "year"])
+    return newest_ratings(rows.dropna(subset=["state", "entity_id", "year"]))
+
+
+def newest_ratings(typed_ratings: DataFrame) -> DataFrame:
     rest = ["percent", "grade", "factor", "edition", "position", "status", "state"]
     order = [status_rank(F.col("status")), *[F.col(c).desc_nulls_last() for c in rest]]
-    return keep_first(known, ["entity_id", "year"], order)
+    return keep_first(typed_ratings, ["entity_id", "year"], order)
 
 
 def stage_flags(raw: DataFrame) -> DataFrame:
