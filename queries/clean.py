@@ -458,7 +458,7 @@ def accounts_stage(t: Tables) -> DataFrame:
     source="x_flags",
 )
 def flags_stage(t: Tables) -> DataFrame:
-    return S.flags(t)
+    return staging.stage_flags(S.raw_flags(t))
 
 
 PRELIMINARY_CHECKS = ["v1", "v2", "v3", "v4"]

@@ -365,29 +365,43 @@ SELECT * EXCLUDE (rn) FROM (
 WATCHED = {(j % 12 + 1) * 10 + j % 5 + 1: j for j in range(len(P.REQUIREMENTS))}
 
 
-def raw_flags(t: Tables) -> DataFrame:
-    """One wide row per (entity, year): '!' or blank where an order hit the requirement."""
+def flag_masks(t: Tables) -> DataFrame:
+    """Per (entity, year): bit sets of the requirements hit by orders of either kind."""
 
     def build(t: Tables) -> DataFrame:
         rows = owned_orders(t).withColumn("slot", choose("month * 10 + priority", WATCHED))
-        masks = rows.groupBy("entity_id", "year").agg(
+        return rows.groupBy("entity_id", "year").agg(
             F.expr("coalesce(bit_or(CASE WHEN status_code = 'F' THEN 1L << slot END), 0L)").alias("marked"),
             F.expr("coalesce(bit_or(CASE WHEN status_code <> 'F' THEN 1L << slot END), 0L)").alias("blank"),
             F.count_if(F.col("status_code") == "P").alias("n_p"),
         )
-        values = [
-            f"CASE WHEN (marked >> {j}) & 1 = 1 THEN '!' WHEN (blank >> {j}) & 1 = 1 THEN ' ' ELSE concat(year, '-12-31') END"
-            for j in range(len(P.REQUIREMENTS))
-        ]
-        values[27] = f"CASE WHEN n_p = 0 THEN {values[27]} END"
-        return masks.selectExpr(
-            "cast(entity_id AS string) AS entity_id",
-            *[f"{value} AS {column}" for value, column in zip(values, P.REQUIREMENT_COLUMNS)],
-            "concat('31/12/', year) AS surveyed",
-            "concat(year, '-12-31T10:00') AS collected",
-        )
 
-    return t.shared("raw_flags", build)
+    return t.shared("flag_masks", build)
+
+
+def flag_values() -> list[str]:
+    values = [
+        f"CASE WHEN (marked >> {j}) & 1 = 1 THEN '!' WHEN (blank >> {j}) & 1 = 1 THEN ' ' ELSE concat(year, '-12-31') END"
+        for j in range(len(P.REQUIREMENTS))
+    ]
+    values[27] = f"CASE WHEN n_p = 0 THEN {values[27]} END"
+    return [f"{value} AS {column}" for value, column in zip(values, P.REQUIREMENT_COLUMNS)]
+
+
+def raw_flags(t: Tables) -> DataFrame:
+    """One wide all-text row per (entity, year)."""
+    return flag_masks(t).selectExpr(
+        "cast(entity_id AS string) AS entity_id",
+        *flag_values(),
+        "concat('31/12/', year) AS surveyed",
+        "concat(year, '-12-31T10:00') AS collected",
+    )
+
+
+def flags(t: Tables) -> DataFrame:
+    """The newest flag row per entity with typed key."""
+    newest = keep_first(flag_masks(t), ["entity_id"], [F.col("year").desc()])
+    return newest.selectExpr("entity_id", *flag_values())
 
 
 def _sql_flag(j: int, column: str) -> str:
@@ -410,10 +424,6 @@ SELECT * EXCLUDE (rn) FROM (
 """)
 
 
-def flags(t: Tables) -> DataFrame:
-    return t.shared("flags", lambda t: staging.stage_flags(raw_flags(t)))
-
-
 # --- contracts ---------------------------------------------------------------------------
 
 MODALITY = {1: "8.0", 2: "9", 3: "6.0", 4: "4.0", 5: "6"}

@@ -8,6 +8,9 @@ shared by a third of all rows is a single counted row.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +86,51 @@ def spearman(counts: DataFrame, groups: list[str], x: str, y: str, digits: int =
     )
 
 
+def student_tail(t: float, degrees: float) -> float:
+    """Two-sided tail of Student's t: regularised incomplete beta by its continued fraction."""
+    x = degrees / (degrees + t * t)
+    a, b = degrees / 2.0, 0.5
+    flip = x > (a + 1.0) / (a + b + 2.0)
+    if flip:
+        a, b, x = b, a, 1.0 - x
+    if x <= 0.0:
+        return 1.0 if flip else 0.0
+    front = math.exp(
+        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    ) / a
+    tiny = 1e-300
+    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or tiny)
+    fraction = d
+    for m in range(1, 500):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        for term in (even, odd):
+            d = 1.0 / (1.0 + term * d or tiny)
+            c = 1.0 + term / c or tiny
+            fraction *= c * d
+        if abs(c * d - 1.0) < 1e-15:
+            break
+    area = front * fraction
+    return 1.0 - area if flip else area
+
+
+def with_p_value(correlations: DataFrame, digits: int = 4) -> DataFrame:
+    """Two-sided p-value of each rank correlation. Runs on one row per group."""
+
+    @F.pandas_udf("double")
+    def tail(r: pd.Series, n: pd.Series) -> pd.Series:
+        def one(r: float, n: float) -> float | None:
+            if r is None or math.isnan(r) or n < 3:
+                return None
+            if abs(r) >= 1.0:
+                return 0.0
+            return student_tail(r * math.sqrt((n - 2) / (1.0 - r * r)), n - 2)
+
+        return pd.Series([one(x, y) for x, y in zip(r, n)])
+
+    return correlations.withColumn("p_value", half_even(tail("spearman", "n_pairs"), digits))
+
+
 def auc(
     counts: DataFrame,
     groups: list[str],
