@@ -99,10 +99,14 @@ def fiscal_pivot(lines: DataFrame) -> DataFrame:
 
 
 def entity_year_grid(dim: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every entity of a state times every year for which that state has data."""
+    """Every entity of a state times every year for which that state has data.
+
+    The broadcast side has at most 27 states times the fiscal years on file; without the hint the
+    whole dimension would be shuffled onto 27 keys.
+    """
     has_data = F.col("account_code").isNotNull() & F.col("value").isNotNull()
     years = lines.filter(has_data).select("state", "year").distinct()
-    return dim.join(years, "state").select("entity_id", "year")
+    return dim.join(F.broadcast(years), "state").select("entity_id", "year")
 
 
 def merge_on_key(keys: list[str], parts: list[DataFrame], combine: Callable[[str], Column]) -> DataFrame:

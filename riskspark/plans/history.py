@@ -197,7 +197,7 @@ def flag_persistence(history: DataFrame, spans: tuple[int, ...] = (6, 12), block
     """
     severe = F.when(F.coalesce("n_severe", F.lit(0)) > 0, 1).otherwise(0)
     rows = history.withColumn("has_severe", severe)
-    numbered = number_rows(rows, ENTITY, ["snapshot_ts", "run_id"], F.to_date("snapshot_ts"))
+    numbered = number_rows(rows, ENTITY, ["snapshot_ts", "run_id"], F.date_trunc("hour", "snapshot_ts"))
     frames = {f"n_severe_last_{n}": (n, F.sum("has_severe")) for n in spans}
     counted = trailing(numbered, ENTITY, frames, block_rows)
     full = {

@@ -99,6 +99,24 @@ def newest_ratings(typed_ratings: DataFrame) -> DataFrame:
     return keep_first(typed_ratings, ["entity_id", "year"], order)
 
 
+# fixed values: published column titles of the compliance bulk file
+COMPLIANCE_TITLES = {
+    "UF": "state",
+    "Nome do Ente Federado": "name",
+    "Código IBGE": "entity_id",
+    "Código SIAFI": "siafi_code",
+    "Região": "region",
+    "População": "population",
+    "Fonte": "source",
+}
+
+
+def rename_compliance(raw: DataFrame) -> DataFrame:
+    """Column titles and requirement codes of the bulk file -> semantic names."""
+    codes = {code: column for column, code, _, _ in P.REQUIREMENTS}
+    return raw.withColumnsRenamed({**COMPLIANCE_TITLES, **codes})
+
+
 def stage_flags(raw: DataFrame) -> DataFrame:
     """Newest compliance row per entity, by parsed collection then survey date."""
     rows = raw.withColumns(

@@ -38,6 +38,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def cluster_settings(input_bytes: int, cores: int) -> dict[str, str]:
+    """Shuffle and scan sizing for a large input.
+
+    About 128 MB per shuffle partition before merging, never fewer than three waves of tasks;
+    adaptive execution merges what turns out small.
+    """
+    partitions = max(input_bytes // (128 << 20), 3 * cores)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+        "spark.sql.files.maxPartitionBytes": "256MB" if input_bytes > 1 << 40 else "128MB",
+    }
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, empty path under the cluster's shared folder (``spark.checkpoint.dir``).
 

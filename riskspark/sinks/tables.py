@@ -41,13 +41,18 @@ def materialize(df: DataFrame, path: str, partition_by: list[str], cluster_by: l
 
 
 def _checked_batch(
-    batch: DataFrame, keys: list[str], extra: list[str], sequence: str, state: str | None
+    batch: DataFrame,
+    keys: list[str],
+    extra: list[str],
+    sequence: str,
+    state: str | None,
+    newest: list[Column] | None = None,
 ) -> DataFrame:
     missing = missing_columns(batch, [*keys, *extra])
     if missing:
         raise ValueError(f"batch lacks key columns: {', '.join(missing)}")
     raise_on_violations(key_checks(batch, [*keys, *[c for c in extra if c not in keys]], state))
-    return dedupe_keep_last(batch, keys, sequence)
+    return keep_first(batch, keys, newest) if newest else dedupe_keep_last(batch, keys, sequence)
 
 
 def merge_rows(target: DataFrame, batch: DataFrame, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
@@ -78,7 +83,7 @@ def upsert(
     read and overwrite the same partition in one job.
     """
     spark = batch.sparkSession
-    clean = _checked_batch(batch, keys, [], sequence, state)
+    clean = _checked_batch(batch, keys, [], sequence, state, newest)
     clean = clean.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     merged = clean
     if path_exists(spark, path):

@@ -49,6 +49,12 @@ def incremental_upsert(
     load_new_files(spark, source, schema, checkpoint, load, files_per_batch)
 
 
+def newest_loads(batch: DataFrame, slice_columns: list[str], load: str) -> DataFrame:
+    """Of several loads of the same slice keep only the last one's rows."""
+    last = batch.groupBy(*slice_columns).agg(F.max(load).alias("_last"))
+    return batch.join(last, slice_columns).filter(F.col(load) == F.col("_last")).drop("_last")
+
+
 def incremental_replace_slice(
     spark: SparkSession,
     source: str,
@@ -58,12 +64,17 @@ def incremental_replace_slice(
     keys: list[str],
     slice_columns: list[str],
     sequence: str,
+    load_column: str,
     files_per_batch: int = 1000,
 ) -> None:
-    """Replace the slices each micro-batch carries. A file must hold whole slices."""
+    """Replace the (state, slice) parts each micro-batch carries.
+
+    A load holds whole slices and is numbered by ``load_column``; when one micro-batch holds
+    several loads of a slice, the highest number wins.
+    """
 
     def load(batch: DataFrame, _batch_id: int) -> None:
-        rows = batch.filter(F.col("state").isNotNull())
+        rows = newest_loads(batch, ["state", *slice_columns], load_column)
         replace_slice(rows, target, keys, slice_columns, sequence)
 
     load_new_files(spark, source, schema, checkpoint, load, files_per_batch)
