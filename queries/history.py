@@ -204,6 +204,17 @@ def pairs(t: Tables) -> DataFrame:
     return t.shared("pairs", lambda t: BT.backtest_pairs(annual(t), FIRST, LAST))
 
 
+def saved_pairs(t: Tables) -> DataFrame:
+    """Pairs as a written table: every report reads it several times, the history is read once."""
+
+    def build(t: Tables) -> DataFrame:
+        path = t.path("pairs")
+        pairs(t).write.parquet(path)
+        return t.spark.read.parquet(path)
+
+    return t.shared("saved_pairs", build)
+
+
 @query("backtest_pairs", PAIR_SPEC, source="x_pairs")
 def backtest_pairs(t: Tables) -> DataFrame:
     return pairs(t)
@@ -230,7 +241,7 @@ def score_redistributed(t: Tables) -> DataFrame:
               median(outcome) AS outcome_median FROM x_pairs GROUP BY state""",
 )
 def pairs_by_state(t: Tables) -> DataFrame:
-    return RK.coverage_by_group(pairs(t), "state")
+    return RK.coverage_by_group(saved_pairs(t), "state")
 
 
 @query(
@@ -241,7 +252,7 @@ def pairs_by_state(t: Tables) -> DataFrame:
        FROM x_pairs GROUP BY risk_class""",
 )
 def outcome_by_class(t: Tables) -> DataFrame:
-    return RK.outcome_by_class(pairs(t))
+    return RK.outcome_by_class(saved_pairs(t))
 
 
 def sql_spearman(table: str, group: str = "") -> str:
@@ -271,23 +282,23 @@ def sql_auc(table: str, group: str = "", score: str = "score", event: str = "out
 
 @query("spearman", "n_pairs:l spearman:d", sql_spearman("x_pairs"))
 def spearman(t: Tables) -> DataFrame:
-    return RK.spearman(RK.pair_counts(pairs(t), ["score", "outcome"]), [], "score", "outcome")
+    return RK.spearman(RK.pair_counts(saved_pairs(t), ["score", "outcome"]), [], "score", "outcome")
 
 
 @query("spearman_by_state", "state:s n_pairs:l spearman:d", sql_spearman("x_pairs", "state"))
 def spearman_by_state(t: Tables) -> DataFrame:
-    return RK.spearman(RK.pair_counts(pairs(t), ["state", "score", "outcome"]), ["state"], "score", "outcome")
+    return RK.spearman(RK.pair_counts(saved_pairs(t), ["state", "score", "outcome"]), ["state"], "score", "outcome")
 
 
 @query("spearman_pvalue", "n_pairs:l spearman:d p_value:d")
 def spearman_pvalue(t: Tables) -> DataFrame:
-    return RK.with_p_value(RK.spearman(RK.pair_counts(pairs(t), ["score", "outcome"]), [], "score", "outcome"))
+    return RK.with_p_value(RK.spearman(RK.pair_counts(saved_pairs(t), ["score", "outcome"]), [], "score", "outcome"))
 
 
 @query("auc_roc", "n_pairs:l n_positives:l auc:d", sql_auc("x_pairs", min_positives=3))
 def auc_roc(t: Tables) -> DataFrame:
     event = F.col("outcome") > P.CHRONIC_ARREARS_PCT
-    return RK.auc(RK.pair_counts(pairs(t), ["score", "outcome"]), [], "score", event, min_positives=3)
+    return RK.auc(RK.pair_counts(saved_pairs(t), ["score", "outcome"]), [], "score", event, min_positives=3)
 
 
 def sql_metrics(group: str) -> str:
@@ -329,12 +340,12 @@ METRIC_SPEC = (
 
 @query("metrics_by_group", f"region:s {METRIC_SPEC}", sql_metrics("region"))
 def metrics_by_region(t: Tables) -> DataFrame:
-    return RK.metrics_by_group(pairs(t), "region")
+    return RK.metrics_by_group(saved_pairs(t), "region")
 
 
 @query("metrics_by_state", f"state:s {METRIC_SPEC}", sql_metrics("state"))
 def metrics_by_state(t: Tables) -> DataFrame:
-    return RK.metrics_by_group(pairs(t), "state")
+    return RK.metrics_by_group(saved_pairs(t), "state")
 
 
 FP_ORDER, FN_ORDER = "score DESC, outcome, entity_id, year_t0", "outcome DESC, score DESC, entity_id, year_t0"
@@ -349,7 +360,7 @@ FP_ORDER, FN_ORDER = "score DESC, outcome, entity_id, year_t0", "outcome DESC, s
            AND risk_class IN ('BAIXO', 'MEDIO') AND outcome > 5 ORDER BY {FN_ORDER} LIMIT 8)""",
 )
 def fp_fn_topk(t: Tables) -> DataFrame:
-    return BT.extreme_errors(pairs(t), 8)
+    return BT.extreme_errors(saved_pairs(t), 8)
 
 
 # --- rival grade -------------------------------------------------------------------------
@@ -431,5 +442,5 @@ def grade_benchmark(t: Tables) -> DataFrame:
        FROM x_pairs GROUP BY region""",
 )
 def event_rate(t: Tables) -> DataFrame:
-    rows = pairs(t).withColumn("event", F.col("outcome") > P.CHRONIC_ARREARS_PCT)
+    rows = saved_pairs(t).withColumn("event", F.col("outcome") > P.CHRONIC_ARREARS_PCT)
     return RK.event_rate(rows, "region")

@@ -8,16 +8,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from riskspark import params as P
 
 
+def constant_table(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
+    """Small literal table. As a VALUES relation it needs no job and no Python data transfer."""
+
+    def literal(value) -> str:
+        if value is None:
+            return "NULL"
+        if isinstance(value, str):
+            return "'" + value.replace("'", "\\'") + "'"
+        return f"{value!r}D" if isinstance(value, float) else str(value)
+
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(f'`{c}`' for c in columns)})")
+
+
 def state_params(spark: SparkSession, overrides: dict[str, P.StateOverride] | None = None) -> DataFrame:
     rows = P.state_rows(overrides)
-    kinds = {name: T.StringType() if isinstance(v, str) else T.DoubleType() for name, v in rows[0].items()}
-    schema = T.StructType([T.StructField(name, kind) for name, kind in kinds.items()])
-    return spark.createDataFrame([tuple(r.values()) for r in rows], schema)
+    return constant_table(spark, list(rows[0]), [tuple(r.values()) for r in rows])
 
 
 def with_state_params(df: DataFrame, overrides: dict[str, P.StateOverride] | None = None) -> DataFrame:
@@ -27,7 +38,7 @@ def with_state_params(df: DataFrame, overrides: dict[str, P.StateOverride] | Non
 
 
 def region_lookup(df: DataFrame) -> DataFrame:
-    table = df.sparkSession.createDataFrame(list(P.STATE_REGION.items()), "_state string, region string")
+    table = constant_table(df.sparkSession, ["_state", "region"], list(P.STATE_REGION.items()))
     key = F.upper(F.trim("state"))
     return df.join(F.broadcast(table), key == F.col("_state"), "left").drop("_state")
 
@@ -38,7 +49,7 @@ def unknown_states(df: DataFrame) -> DataFrame:
 
 
 def state_from_code(df: DataFrame, code: str) -> DataFrame:
-    table = df.sparkSession.createDataFrame(list(P.CODE_PREFIX_STATE.items()), "_prefix string, code_state string")
+    table = constant_table(df.sparkSession, ["_prefix", "code_state"], list(P.CODE_PREFIX_STATE.items()))
     prefix = F.substring(F.lpad(F.col(code), 7, "0"), 1, 2)
     return df.join(F.broadcast(table), prefix == F.col("_prefix"), "left").drop("_prefix")
 
