@@ -400,8 +400,8 @@ def weighted_recency_present(t: Tables) -> DataFrame:
 
 MONTH_SQL = ("CASE fiscal_regime WHEN 'Q' THEN CASE fiscal_period WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 12 END"
              " WHEN 'S' THEN CASE fiscal_period WHEN 1 THEN 6 WHEN 2 THEN 12 END END")
-DELAY_SQL = (f"coalesce(greatest(date_diff('day', CAST(make_date(CAST(year AS INTEGER), CAST({MONTH_SQL} AS INTEGER), 1)"
-             f" + INTERVAL 2 MONTH AS DATE), {AS_OF_SQL}), 0), 999)")
+DELAY_SQL = (f"CASE WHEN ({MONTH_SQL}) IS NULL THEN 999 ELSE greatest(date_diff('day', CAST(make_date(CAST(year AS INTEGER), CAST({MONTH_SQL} AS INTEGER), 1)"
+             f" + INTERVAL 2 MONTH AS DATE), {AS_OF_SQL}), 0) END")
 LATE_SQL = "CASE WHEN coalesce(population, 0) > 50000 THEN 90 ELSE 210 END"
 
 

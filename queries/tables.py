@@ -289,7 +289,8 @@ def upsert_typed(t: Tables) -> DataFrame:
 @query(
     "replace_slice",
     LEDGER_SPEC,
-    """SELECT * FROM x_ledger WHERE year <> 2000
+    """SELECT * FROM x_ledger l WHERE year <> 2000 OR state NOT IN (
+         SELECT state FROM x_ledger WHERE year = 2000 AND status_code = 'F')
        UNION ALL SELECT id, state, year, price * 2e0, status_code FROM x_ledger WHERE year = 2000 AND status_code = 'F'""",
 )
 def replace_slice(t: Tables) -> DataFrame:

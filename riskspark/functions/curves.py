@@ -66,4 +66,4 @@ def autonomy_sigmoid(x: Column, population: Column) -> Column:
 
 def coverage_ratio(years: Column, window: int | Column) -> Column:
     size = window.cast("double") if isinstance(window, Column) else F.lit(float(window))
-    return F.least(years / size, F.lit(1.0))
+    return F.when(years.isNotNull(), F.least(years / size, F.lit(1.0)))

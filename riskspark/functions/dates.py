@@ -30,8 +30,8 @@ def report_delay_days(year: Column, period: Column, regime: Column, as_of: date)
         ]
     )
     due = F.add_months(F.make_date(year.cast("int"), end_month, F.lit(1)), 2)
-    days = F.greatest(F.datediff(F.lit(as_of), due), F.lit(0))
-    return F.coalesce(days, F.lit(P.UNKNOWN_DELAY_DAYS)).cast("bigint")
+    days = F.greatest(F.datediff(F.lit(as_of), due), F.lit(0))  # greatest skips NULL, hence the test
+    return F.when(due.isNotNull(), days).otherwise(P.UNKNOWN_DELAY_DAYS).cast("bigint")
 
 
 def delay_window(population: Column) -> Column:
@@ -44,7 +44,8 @@ def delay_decay(days: Column, population: Column) -> Column:
     from riskspark.functions.numbers import half_even
 
     late = (days - delay_window(population)).cast("double")
-    return F.when(late <= 0, F.lit(1.0)).otherwise(half_even(F.greatest(1.0 - late / 365.0, F.lit(0.0)), 4))
+    fading = half_even(F.greatest(1.0 - late / 365.0, F.lit(0.0)), 4)
+    return F.when(late <= 0, F.lit(1.0)).when(late > 0, fading)
 
 
 def month_spine(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -128,7 +128,8 @@ def final_score(components: DataFrame) -> DataFrame:
             "penalty": F.greatest(partial, F.lit(P.PENALTY_FLOOR)),
         }
     )
-    rows = rows.withColumn("score_raw", F.greatest(F.col("score_base") + F.col("penalty"), F.lit(0.0)))
+    floored = F.greatest(F.col("score_base") + F.col("penalty"), F.lit(0.0))  # greatest skips NULL
+    rows = rows.withColumn("score_raw", F.when(F.col("score_base").isNotNull(), floored))
     score = F.when(F.col("budget_exec").isNotNull(), half_even(F.col("score_raw"), 1))
     return rows.withColumn("score", score)
 
