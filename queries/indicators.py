@@ -18,6 +18,7 @@ from riskspark.operators.asof import attach_rating
 from riskspark.plans import base as B
 from riskspark.plans import postprocess as PP
 from riskspark.plans import staging
+from riskspark.sinks.tables import HISTORY_TYPE
 
 START, END = S.WINDOW.start_year, S.WINDOW.end_year
 AS_OF_SQL = f"DATE '{S.AS_OF}'"
@@ -121,6 +122,16 @@ def entity_year_grid(t: Tables) -> DataFrame:
     return ACC.entity_year_grid(S.dim(t), S.budget_lines(t))
 
 
+@query(
+    "entity_year_grid_all",
+    KEYS,
+    """SELECT d.entity_id, y.year FROM x_dim d CROSS JOIN (
+         SELECT DISTINCT year FROM x_budget_lines WHERE account_code IS NOT NULL AND value IS NOT NULL) y""",
+)
+def entity_year_grid_all(t: Tables) -> DataFrame:
+    return ACC.entity_year_grid(S.dim(t), S.budget_lines(t), by_state=False)
+
+
 @query("entity_year_union", f"{KEYS} in_grid:b has_budget:b has_fiscal:b state:s name:s population:l", source="x_base")
 def entity_year_union(t: Tables) -> DataFrame:
     return B.entity_year_union(S.dim(t), S.budget_lines(t), S.fiscal_lines(t))
@@ -341,8 +352,6 @@ def history_json(t: Tables) -> DataFrame:
     rows = base(t).filter(F.col("has_budget") & F.col("year").between(START, END))
     history = rows.groupBy("entity_id").agg(*A.chronic_aggs(F.lit(True)))
     text = history.select("entity_id", F.to_json("arrears_history", {"ignoreNullFields": "false"}).alias("json"))
-    from riskspark.sinks.tables import HISTORY_TYPE
-
     parsed = text.select("entity_id", F.posexplode(F.from_json("json", HISTORY_TYPE)).alias("position", "h"))
     return parsed.select("entity_id", "position", "h.*")
 

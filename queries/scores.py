@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from queries import indicators as I
 from queries import shapes as S
 from queries.core import Tables, cte, query, sql_exact_mean, sql_exact_sum, sql_half_away, sql_half_even, sql_list
 from riskspark import params as P
+from riskspark.functions.numbers import half_even
 from riskspark.functions.ratings import class_label, class_rank
 from riskspark.operators import contracts as K
 from riskspark.operators import flags as FL
-from riskspark.plans import market, score
+from riskspark.operators.annual import fallback_ratios
+from riskspark.plans import history, market, score
 
 START, END = S.WINDOW.start_year, S.WINDOW.end_year
 
@@ -324,8 +326,6 @@ def score_job(t: Tables) -> DataFrame:
 )
 def score_ranking(t: Tables) -> DataFrame:
     """Best 100 entities: a distributed top-n; only its 100 rows are numbered."""
-    from pyspark.sql import Window
-
     best = score.score_job(inputs(t), S.WINDOW).limit(100)
     order = Window.orderBy(*score.ranking_order())
     return best.select(F.row_number().over(order).alias("place"), "entity_id", "risk_class", "score")
@@ -337,9 +337,7 @@ def score_ranking(t: Tables) -> DataFrame:
     "SELECT risk_class, count(*) AS n_entities FROM x_scored GROUP BY risk_class",
 )
 def class_distribution(t: Tables) -> DataFrame:
-    from riskspark.plans.history import class_distribution as distribution
-
-    return distribution(score.score_job(inputs(t), S.WINDOW, ranked=False))
+    return history.class_distribution(score.score_job(inputs(t), S.WINDOW, ranked=False))
 
 
 @query(
@@ -350,9 +348,7 @@ def class_distribution(t: Tables) -> DataFrame:
               median(score) AS score_median, min(score) AS score_min, max(score) AS score_max FROM x_scored GROUP BY state""",
 )
 def score_summary(t: Tables) -> DataFrame:
-    from riskspark.plans.history import run_summary
-
-    return run_summary(score.score_job(inputs(t), S.WINDOW, ranked=False), ["state"])
+    return history.run_summary(score.score_job(inputs(t), S.WINDOW, ranked=False), ["state"])
 
 
 CLASSIFY_SQL = """SELECT o_orderkey AS id, {cls} AS risk_class FROM (
@@ -361,8 +357,6 @@ CLASSIFY_SQL = """SELECT o_orderkey AS id, {cls} AS risk_class FROM (
 
 
 def classified(t: Tables, cuts, labels, no_data) -> DataFrame:
-    from riskspark.functions.numbers import half_even
-
     day = F.col("o_orderdate").cast("date")
     points = half_even(F.col("o_totalprice") / 5000.0, 1)
     value = F.when(F.col("o_orderpriority") != "5-LOW", points)
@@ -424,8 +418,6 @@ LEFT JOIN x_fallback a ON a.entity_id = d.entity_id)))
     f"SELECT *, {sql_class('score', 'years_delivered', 'chronic_years', *MAIN_CLASS)} AS risk_class FROM x_legacy",
 )
 def score_legacy(t: Tables) -> DataFrame:
-    from riskspark.operators.annual import fallback_ratios
-
     text = FL.pending_flags_row(S.flags(t))
     rows = I.indicators(t)
     autonomy = fallback_ratios(S.accounts(t), rows).select("entity_id", "autonomy_mean")

@@ -22,6 +22,7 @@ from riskspark.functions.ratings import class_label
 from riskspark.operators import quality as Q
 from riskspark.plans import history as H
 from riskspark.plans import staging
+from riskspark.plans.grades import sheet_counts as sheets_per_year
 from riskspark.sinks import tables as K
 from riskspark.sources import files as R
 from riskspark.streaming import incremental as X
@@ -183,6 +184,19 @@ SHEET_GRADE_VALUES = {1: "A+", 2: "A", 3: "B", 4: "N.D.", 5: "C"}
               {sql_case("priority", SHEET_GRADE_VALUES)} AS grade, status_code AS note1 FROM x_owned""",
 )
 def discover_columns(t: Tables) -> DataFrame:
+    return graded_rows(t)
+
+
+@query(
+    "sheet_counts",
+    "year:l sheet:s n_rows:l",
+    "SELECT year, 'CAPAG oficial' AS sheet, count(*) AS n_rows FROM x_owned GROUP BY year",
+)
+def sheet_counts(t: Tables) -> DataFrame:
+    return sheets_per_year(graded_rows(t))
+
+
+def graded_rows(t: Tables) -> DataFrame:
     """One workbook per year: cover rows, a decoy sheet, then the graded sheet."""
     orders = S.owned_orders(t)
     body = orders.select(
@@ -211,8 +225,7 @@ def discover_columns(t: Tables) -> DataFrame:
         " 'Município', concat('CAPAG ', year + 1), 'Nota 1')),"
         "named_struct('sheet', 'Anexo', 'row_index', 0L, 'cells', array('UF', 'Cod.IBGE', 'CAPAG', '', '', ''))))",
     ).select("file", "sheet", "row_index", "year", "cells")
-    found = R.discover_columns(body.unionByName(heads))
-    return found.filter(F.col("sheet") == "CAPAG oficial")
+    return R.discover_columns(body.unionByName(heads))
 
 
 @query("first_source", "entity_id:l state:s", "SELECT entity_id, state FROM x_dim")

@@ -98,13 +98,16 @@ def fiscal_pivot(lines: DataFrame) -> DataFrame:
     )
 
 
-def entity_year_grid(dim: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every entity of a state times every year for which that state has data.
+def entity_year_grid(dim: DataFrame, lines: DataFrame, by_state: bool = True) -> DataFrame:
+    """Every entity times every year for which its state (or any state) has data.
 
     The broadcast side has at most 27 states times the fiscal years on file; without the hint the
     whole dimension would be shuffled onto 27 keys.
     """
     has_data = F.col("account_code").isNotNull() & F.col("value").isNotNull()
+    if not by_state:
+        all_years = lines.filter(has_data).agg(F.collect_set("year")).scalar()
+        return dim.select("entity_id", F.explode(all_years).alias("year"))
     years = lines.filter(has_data).select("state", "year").distinct()
     return dim.join(F.broadcast(years), "state").select("entity_id", "year")
 

@@ -29,6 +29,11 @@ def grade_pairs(grades: DataFrame, annual: DataFrame) -> DataFrame:
     return joined.withColumn("event", F.col("outcome") > P.CHRONIC_ARREARS_PCT)
 
 
+def sheet_counts(grades: DataFrame) -> DataFrame:
+    """Rows taken from each source sheet per year."""
+    return grades.groupBy("year", "sheet").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def valid_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("outcome").isNotNull() & F.col("grade").isin(list(P.GRADE_RISK)))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from riskspark import params as P
 from riskspark.functions.dates import parse_date_multi
-from riskspark.functions.numbers import cast_via_float, parse_bool
-from riskspark.functions.ratings import status_rank
-from riskspark.functions.text import upper_trim, zero_pad
+from riskspark.functions.numbers import cast_via_float, parse_bool, parse_decimal_comma, percent_to_unit
+from riskspark.functions.ratings import grade_factor, grade_from_text, status_rank
+from riskspark.functions.text import normalize_code, strip_suffix, upper_trim, zero_pad
 from riskspark.operators.dedupe import dedupe_latest, keep_first
 
 LINE_TYPES = {
@@ -203,10 +203,6 @@ def derive_block_fields(raw: DataFrame, default_state: str, audit: dict[str, str
 
 def stage_ranking_file(raw: DataFrame) -> DataFrame:
     """Final ranking file (all text, decimal comma) -> typed ratings."""
-    from riskspark.functions.numbers import parse_decimal_comma, percent_to_unit
-    from riskspark.functions.ratings import grade_factor, grade_from_text
-    from riskspark.functions.text import normalize_code, strip_suffix
-
     code = normalize_code(F.col("ID_ENTE"))
     percent = percent_to_unit(parse_decimal_comma(F.col("PER_ACERTOS")))
     year = F.trim("VA_EXERCICIO").try_cast("bigint")
