@@ -8,12 +8,21 @@ the block before it, so the frame is exact at block edges.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 100_000
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which NULL keys meet each other, so no row is lost."""
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(renamed, condition).drop(*[f"_r_{k}" for k in keys])
+
+
 def number_rows(df: DataFrame, keys: list[str], order: list[str], time_slice: Column) -> DataFrame:
     """Add ``position`` (from 0) of each row in its key by ``order``.
 
@@ -25,7 +34,7 @@ def number_rows(df: DataFrame, keys: list[str], order: list[str], time_slice: Co
     offsets = sizes.select(*keys, "_slice", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
     local = sliced.withColumn("_in", F.row_number().over(inside) - 1)
-    numbered = local.join(offsets, [*keys, "_slice"])
+    numbered = join_null_safe(local, offsets, [*keys, "_slice"])
     return numbered.withColumn("position", F.col("_skip") + F.col("_in")).drop("_slice", "_skip", "_in")
 
 

@@ -25,6 +25,7 @@ def build(master: str, app: str = "riskspark", shuffle_partitions: int = 8) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # call-site capture costs a JVM round trip per column expression while plans are built
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )

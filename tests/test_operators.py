@@ -86,7 +86,8 @@ def snapshots(spark):
     for i in range(520):
         entity = "hot" if i < 400 else f"e{i % 7}"
         severe = 2 if rng.random() < 0.85 else (0 if rng.random() < 0.7 else None)
-        rows.append((f"r{i:04d}", start + timedelta(minutes=rng.randrange(0, 4000)), "PB", entity, severe, float(i % 100)))
+        state = None if i % 50 == 0 else "PB"
+        rows.append((f"r{i:04d}", start + timedelta(minutes=rng.randrange(0, 4000)), state, entity, severe, float(i % 100)))
     return spark.createDataFrame(
         rows, "run_id string, snapshot_ts timestamp, state string, entity_id string, n_severe int, score double"
     )
@@ -99,7 +100,8 @@ def test_persistence_in_blocks_equals_one_window(snapshots, block_rows):
         column = f"n_severe_last_{n}"
         expected = H.plain_window_persistence(snapshots, n).select("run_id", column)
         assert as_rows(got.select("run_id", column)) == as_rows(expected)
-    full = got.filter("entity_id = 'hot'").orderBy("snapshot_ts", "run_id").collect()
+    assert got.count() == snapshots.count()
+    full = got.filter("entity_id = 'hot' AND state = 'PB'").orderBy("snapshot_ts", "run_id").collect()
     flags = [bool(r.has_severe) for r in full]
     assert [r.persistent_6 for r in full] == [i >= 5 and all(flags[i - 5 : i + 1]) for i in range(len(flags))]
 
