@@ -752,7 +752,8 @@ def coverage_gap(t: Tables) -> DataFrame:
 @query(
     "entity_intersect",
     "entity_id:l",
-    """SELECT entity_id FROM x_indicators WHERE year = 1999 INTERSECT SELECT entity_id FROM x_indicators WHERE year = 2000""",
+    """SELECT entity_id FROM x_indicators WHERE year = 1999
+       INTERSECT SELECT entity_id FROM x_indicators WHERE year = 2000""",
 )
 def entity_intersect(t: Tables) -> DataFrame:
     rows = indicators(t)
