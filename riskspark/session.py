@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -53,12 +55,22 @@ def cluster_settings(input_bytes: int, cores: int) -> dict[str, str]:
     }
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="riskspark-")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, empty path under the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session without that setting, as in unit tests, falls back to a local folder.
+    A session in one process (``local[...]``, as in tests) may do without the setting; on a cluster
+    its absence is an error, since executors would write to disks that others cannot read.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riskspark-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/riskspark/{name}-{uuid.uuid4().hex}"
 
 
