@@ -7,8 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.llm import chat_format, exact_dedup, near_dup, pii, quality, url_filter
+from riskspark.llm import (
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    lm_score,
+    mixing,
+    near_dup,
+    pii,
+    quality,
+    token_files,
+    url_filter,
+)
 from riskspark.llm.common import fold_of, table
+from riskspark.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -122,3 +134,41 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of four-word shingle sets at 80 percent."""
     return near_dup.near_groups(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that match, with the best window."""
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+MIX_TARGETS = {"clean": 0.9, "low": 0.08, "toxic": 0.02}
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors, rate and copies of every document for the target token shares."""
+    labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels, MIX_TARGETS)
+
+
+@query
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model and base scores of every whole text; rows with remainder 1 are held out of training."""
+    return lm_score.score(table(spark, sf_dir, "documents"), fold_of("doc_id", 5) == 1)
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files that the documents are written to first."""
+    docs = table(spark, sf_dir, "documents")
+    source = F.xxhash64("_metadata.file_path").alias("source_file")
+    path = work_path(spark, "token-files")
+    token_files.write_flat(
+        docs.select("text", source, F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.row_index").alias("row")),
+        path, ["source_file", "start"], ["row"],
+    )
+    counts = token_files.scan(spark, path, ["source_file"])
+    # the files know no ids: the n-th document of a source file is its n-th row
+    ids = docs.select("doc_id", source, F.col("_metadata.row_index").alias("number"))
+    return counts.join(ids, ["source_file", "number"]).select("doc_id", "n_tokens")

@@ -100,8 +100,8 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     if n == 0:
         return words
     width = min(size, n)
-    weights = odd_numbers(size + 1, 17)
-    total = np.full(n - width + 1, (width * int(weights[size])) % (1 << 64), dtype=U64)
+    weights = odd_numbers(size, 17)  # a shorter shingle has a prefix of them and its width as salt
+    total = np.full(n - width + 1, (width * _BASE) % (1 << 64), dtype=U64)
     for j in range(width):
         total += words[j : n - width + 1 + j] * weights[j]
     return mix(total)
