@@ -31,7 +31,7 @@ class MappedArrays:
         start, n, dtype = place
         if not n:
             return np.zeros(0, dtype)
-        if self.map is None:
+        if self.map is None or len(self.map) < self.size:  # also after later writes
             self.file.flush()
             self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
         return np.frombuffer(self.map, dtype, n, start)
