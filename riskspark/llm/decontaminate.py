@@ -131,8 +131,9 @@ class Index:
             length = min(n, len(words))
             best: dict[int, tuple[float, int, int]] = {}
             for low, high in _ranges(positions, length, len(words)):
-                own = shingles(words[low : high + length], self.size)
-                width = length - min(self.size, length) + 1
+                size = min(self.size, length)  # a short item is one shingle of its own width
+                own = shingles(words[low : high + length], size)
+                width = length - size + 1
                 found = self.fingerprints(own, width)
                 candidates = reached[0][found[:, 0]].copy()
                 for b in range(1, BLOCKS):
