@@ -54,10 +54,13 @@ def typed_cast(t: Tables) -> DataFrame:
 @query(
     "cast_via_float",
     "id:l number:l",
-    f"SELECT o_orderkey AS id, CASE WHEN {SQL_PRIORITY} <> 5 THEN o_custkey END AS number FROM orders",
+    f"""SELECT o_orderkey AS id, CASE {SQL_PRIORITY} WHEN 5 THEN NULL WHEN 4 THEN o_custkey + 1 WHEN 3 THEN o_custkey + 1
+              ELSE o_custkey END AS number FROM orders""",
 )
 def cast_via_float(t: Tables) -> DataFrame:
-    text = F.when(F.col("priority") == 5, "x7").otherwise(F.concat("cust_text", F.lit(".0")))
+    """Fractions of .0, .4, .5 and .7, and text that is no number."""
+    tail = F.when(F.col("priority") == 4, ".7").when(F.col("priority") == 3, ".5").when(F.col("priority") == 2, ".4")
+    text = F.when(F.col("priority") == 5, "x7").otherwise(F.concat("cust_text", F.coalesce(tail, F.lit(".0"))))
     return text_orders(t).select("id", N.cast_via_float(text).alias("number"))
 
 
@@ -98,9 +101,9 @@ def rating_stage(t: Tables) -> DataFrame:
 
 @query(
     "sanitize_columns",
-    "data_coleta:dt c_1_1:l regi_o:s col_3:s x:s x_1:d",
+    "data_coleta:dt c_1_1:l regi_o:s col_3:s x:s x_1:d x_1_1:l",
     """SELECT CAST(o_orderdate AS DATE) AS data_coleta, o_orderkey AS c_1_1, o_orderstatus AS regi_o,
-              o_orderpriority AS col_3, o_orderstatus AS x, o_totalprice AS x_1 FROM orders""",
+              o_orderpriority AS col_3, o_orderstatus AS x, o_totalprice AS x_1, o_custkey AS x_1_1 FROM orders""",
 )
 def sanitize_columns(t: Tables) -> DataFrame:
     raw = t.orders.select(
@@ -110,6 +113,7 @@ def sanitize_columns(t: Tables) -> DataFrame:
         F.col("o_orderpriority").alias("__"),
         F.col("o_orderstatus").alias("_X"),
         F.col("o_totalprice").alias("x"),
+        F.col("o_custkey").alias("x_1"),
     )
     return raw.toDF(*X.sanitize_names(raw.columns))
 

@@ -228,10 +228,12 @@ def backtest_no_arrears(t: Tables) -> DataFrame:
 @query(
     "score_redistributed",
     "entity_id:l year_t0:l era:s score:d score_unrated:d mean_factor:d",
-    "SELECT * FROM x_pairs WHERE era = 'parcial'",
+    "SELECT * FROM x_pairs",
 )
 def score_redistributed(t: Tables) -> DataFrame:
-    return BT.backtest_pairs(annual(t), FIRST, LAST, era=BT.ERA_PARTIAL)
+    """Both eras, each from its own run."""
+    eras = [BT.backtest_pairs(annual(t), FIRST, LAST, era=era) for era in (BT.ERA_PARTIAL, BT.ERA_COMPLETE)]
+    return eras[0].unionByName(eras[1])
 
 
 @query(
@@ -255,6 +257,9 @@ def outcome_by_class(t: Tables) -> DataFrame:
     return RK.outcome_by_class(saved_pairs(t))
 
 
+CORRELATION = "NULLIF(corr(rs, ro), CAST('nan' AS DOUBLE))"  # not a number without any spread
+
+
 def sql_spearman(table: str, group: str = "") -> str:
     part = f"PARTITION BY {group}" if group else ""
     keys = f"{group}, " if group else ""
@@ -263,7 +268,7 @@ def sql_spearman(table: str, group: str = "") -> str:
         for c in ("score", "outcome")
     )
     by = f"GROUP BY {group}" if group else ""
-    return (f"SELECT {keys}count(*) AS n_pairs, {sql_half_even('corr(rs, ro)', 4)} AS spearman"
+    return (f"SELECT {keys}count(*) AS n_pairs, {sql_half_even(CORRELATION, 4)} AS spearman"
             f" FROM (SELECT *, {ranks} FROM {table}) {by}")
 
 
@@ -290,11 +295,36 @@ def spearman_by_state(t: Tables) -> DataFrame:
     return RK.spearman(RK.pair_counts(saved_pairs(t), ["state", "score", "outcome"]), ["state"], "score", "outcome")
 
 
-@query("spearman_pvalue", "n_pairs:l spearman:d p_value:d")
+def sql_cosine_area(low: str) -> str:
+    """Simpson's rule with 400 steps for cos(x) ** (f - 1) from ``low`` to e."""
+    x = f"({low} + (e - {low}) * i / 400e0)"
+    weight = "CASE WHEN i IN (0, 400) THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END"
+    return f"(SELECT sum(({weight}) * pow(cos({x}), f - 1e0)) FROM range(401) AS s(i)) * (e - {low}) / 1200e0"
+
+
+# Student's t: with x = atan(t / sqrt(f)) the tail is the share of the area of cos(x) ** (f - 1) beyond x
+SQL_P_VALUE = f"""SELECT n_pairs, spearman, CASE WHEN n_pairs < 3 OR spearman IS NULL THEN NULL WHEN abs(spearman) >= 1 THEN 0e0
+  ELSE {sql_half_even(f"({sql_cosine_area('a')} / ({sql_cosine_area('0e0')}))", 4)} END AS p_value
+FROM (SELECT *, least(pi() / 2e0, 9e0 / sqrt(f)) AS e, least(atan(abs(spearman * sqrt(f / (1e0 - spearman * spearman))) / sqrt(f)),
+        least(pi() / 2e0, 9e0 / sqrt(f))) AS a
+      FROM (SELECT *, CAST(n_pairs - 2 AS DOUBLE) AS f FROM ({{rows}})))"""
+
+
+@query("spearman_pvalue", "n_pairs:l spearman:d p_value:d", SQL_P_VALUE.format(rows=sql_spearman("x_pairs")))
 def spearman_pvalue(t: Tables) -> DataFrame:
     return RK.with_p_value(RK.spearman(RK.pair_counts(saved_pairs(t), ["score", "outcome"]), [], "score", "outcome"))
 
 
+@query(
+    "spearman_pvalue_by_state",
+    "state:s n_pairs:l spearman:d p_value:d",
+    SQL_P_VALUE.replace("SELECT n_pairs", "SELECT state, n_pairs", 1).format(rows=sql_spearman("x_pairs", "state")),
+)
+def spearman_pvalue_by_state(t: Tables) -> DataFrame:
+    counts = RK.pair_counts(saved_pairs(t), ["state", "score", "outcome"])
+    return RK.with_p_value(RK.spearman(counts, ["state"], "score", "outcome"))
+
+
 @query("auc_roc", "n_pairs:l n_positives:l auc:d", sql_auc("x_pairs", min_positives=3))
 def auc_roc(t: Tables) -> DataFrame:
     event = F.col("outcome") > P.CHRONIC_ARREARS_PCT

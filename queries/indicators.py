@@ -270,11 +270,20 @@ def rating_union(t: Tables) -> DataFrame:
     return staging.union_ratings(final, rows.filter(F.col("status") == P.STATUS_PRELIMINARY))
 
 
+def sql_levels(column: str, prefix: str = "") -> str:
+    quartiles = ", ".join(
+        f"{sql_half_even(f'quantile_cont({column}, {q})', 4)} AS {prefix}{name}"
+        for name, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))
+    )
+    return (f"{sql_half_even(sql_exact_mean(column), 4)} AS {prefix}mean, {sql_half_even(f'stddev_samp({column})', 4)}"
+            f" AS {prefix}std, min({column}) AS {prefix}min, {quartiles}, max({column}) AS {prefix}max")
+
+
 @query(
     "latest_year_profile",
-    "year:l grade:s n_rows:l percent_mean:d percent_min:d percent_max:d",
-    f"""SELECT year, grade, count(*) AS n_rows, {sql_half_even(sql_exact_mean("percent"), 4)} AS percent_mean,
-              min(percent) AS percent_min, max(percent) AS percent_max
+    "year:l grade:s n_rows:l percent_mean:d percent_std:d percent_min:d percent_q25:d percent_median:d percent_q75:d"
+    " percent_max:d",
+    f"""SELECT year, grade, count(*) AS n_rows, {sql_levels("percent", "percent_")}
        FROM x_ratings WHERE year = (SELECT max(year) FROM x_ratings) GROUP BY year, grade""",
 )
 def latest_year_profile(t: Tables) -> DataFrame:
@@ -283,12 +292,12 @@ def latest_year_profile(t: Tables) -> DataFrame:
 
 @query(
     "percent_describe",
-    "n_values:l mean:d min:d median:d max:d",
-    f"""SELECT count(percent) AS n_values, {sql_half_even(sql_exact_mean("percent"), 4)} AS mean, min(percent) AS min,
-              {sql_half_even("median(percent)", 4)} AS median, max(percent) AS max FROM x_ratings""",
+    "n_values:l mean:d std:d min:d q25:d median:d q75:d max:d",
+    f"""SELECT count(percent) AS n_values, {sql_levels("percent")}
+       FROM x_ratings WHERE year = (SELECT max(year) FROM x_ratings)""",
 )
 def percent_describe(t: Tables) -> DataFrame:
-    return reports.describe_exact(S.ratings(t), "percent", 4, width=0.01)
+    return reports.describe(reports.newest_year(S.ratings(t)), "percent", 4)
 
 
 # --- per-entity aggregates ---------------------------------------------------------------
@@ -460,6 +469,9 @@ def liquidity_pick(t: Tables) -> DataFrame:
 cte("x_arrears_rating", f"""
 SELECT entity_id, {sql_exact_mean("rating_factor", 10)} AS arrears_factor, {sql_any_flags("arrears", "TRUE")}
 FROM x_rated WHERE in_grid AND delivered AND arrears_raw IS NOT NULL GROUP BY entity_id
+UNION ALL
+SELECT DISTINCT entity_id, 0.8e0, FALSE, FALSE, TRUE FROM x_rated g WHERE in_grid AND NOT EXISTS (
+  SELECT 1 FROM x_rated v WHERE v.state = g.state AND v.in_grid AND v.delivered AND v.arrears_raw IS NOT NULL)
 """)
 
 
@@ -593,9 +605,12 @@ def postprocess(t: Tables) -> DataFrame:
 @query(
     "first_match",
     "entity_id:l year:l account:s first_value:d last_value:d",
-    """SELECT entity_id, year, account, first(amount ORDER BY o) AS first_value, last(amount ORDER BY seq) AS last_value FROM (
-         SELECT entity_id, year, lower(account_name) AS account, seq,
-                CASE WHEN column_label = 'Valor' THEN seq ELSE seq + 1099511627776 END AS o, amount FROM (
+    """SELECT entity_id, year, account, max(CASE WHEN first_no = 1 THEN amount END) AS first_value,
+              max(CASE WHEN last_no = 1 THEN amount END) AS last_value FROM (
+         SELECT entity_id, year, lower(account_name) AS account, amount,
+                row_number() OVER (PARTITION BY entity_id, year, lower(account_name)
+                  ORDER BY column_label = 'Valor' DESC, column_label <> 'Valor' AND amount IS NULL, seq) AS first_no,
+                row_number() OVER (PARTITION BY entity_id, year, lower(account_name) ORDER BY seq DESC) AS last_no FROM (
            SELECT w.entity_id, w.year, 'Conta ' || w.l_linestatus AS account_name,
                   CASE WHEN w.l_returnflag = 'R' THEN 'Valor' ELSE 'Outra' END AS column_label,
                   w.o_orderkey * 1000000000 + w.line * 100000000 + w.l_partkey * 1000 + w.l_suppkey AS seq,
@@ -751,10 +766,10 @@ def coverage_gap(t: Tables) -> DataFrame:
 
 @query(
     "entity_intersect",
-    "entity_id:l",
-    """SELECT entity_id FROM x_indicators WHERE year = 1999
-       INTERSECT SELECT entity_id FROM x_indicators WHERE year = 2000""",
+    "entity_id:l year:l",
+    """SELECT entity_id, year FROM x_indicators INTERSECT SELECT entity_id, year - 1 FROM x_indicators""",
 )
 def entity_intersect(t: Tables) -> DataFrame:
+    """Entities present in a year and in the next, for all years."""
     rows = indicators(t)
-    return rows.filter("year = 1999").select("entity_id").intersect(rows.filter("year = 2000").select("entity_id"))
+    return rows.select("entity_id", "year").intersect(rows.select("entity_id", (F.col("year") - 1).alias("year")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queries import indicators as I
@@ -189,7 +189,11 @@ SELECT d.entity_id, d.state, d.name, d.population, d.region, d.tier,
   least(greatest(coalesce(a.arrears_factor, 0.8e0), 0.8e0), 1e0) AS arrears_factor, {flag_columns("arrears", "arrears")},
   coalesce(f.compliance_risk, 1e0) AS compliance_risk, coalesce(f.n_severe, 0) AS n_severe,
   coalesce(f.n_moderate, 0) AS n_moderate, coalesce(f.n_light, 0) AS n_light,
-  coalesce(f.pending_text, 'REGULAR') AS pending_text, u.autonomy_mean,
+  coalesce(f.pending_text, 'REGULAR') AS pending_text, coalesce(f.pending_json, '[]') AS pending_json, u.autonomy_mean,
+  {flag_columns("autonomy", "autonomy")}, coalesce(p.rating_preliminary, FALSE) AS liquidity_rating_preliminary,
+  coalesce(p.rating_stale, FALSE) AS liquidity_rating_stale,
+  CASE WHEN lf.entity_id IS NOT NULL THEN coalesce(p.rating_missing, TRUE) ELSE FALSE END AS liquidity_rating_missing,
+  coalesce(h.history, '') AS history,
   least(greatest(coalesce(u.autonomy_factor, 0.8e0), 0.8e0), 1e0) AS autonomy_factor,
   coalesce(u.autonomy_critical, FALSE) AS autonomy_critical, m.n_contracts, m.value_total, m.pct_waiver,
   CASE WHEN m.entity_id IS NOT NULL THEN coalesce(m.pct_waiver > 0.30e0, FALSE) END AS award_alert
@@ -202,12 +206,18 @@ LEFT JOIN x_arrears_rating a ON a.entity_id = d.entity_id
 LEFT JOIN x_flags_severity f ON f.entity_id = d.entity_id
 LEFT JOIN x_autonomy_profile u ON u.entity_id = d.entity_id
 LEFT JOIN x_market_score m ON m.entity_id = d.entity_id
+LEFT JOIN (SELECT DISTINCT entity_id FROM x_base WHERE has_fiscal AND year BETWEEN {START} AND {END}) lf
+  ON lf.entity_id = d.entity_id
+LEFT JOIN (SELECT entity_id, string_agg(year || ':' || CAST(arrears_pct AS DECIMAL(38,2)) || ':'
+             || CAST(processed_arrears AS DECIMAL(38,2)) || ':' || CAST(revenue_realized AS DECIMAL(38,2)) || ':' || chronic,
+             '|' ORDER BY position) AS history FROM x_history_json GROUP BY entity_id) h ON h.entity_id = d.entity_id
 """)
 HUB_SPEC = (
     "entity_id:l state:s name:s population:l years_delivered:l chronic_years:l arrears_pct_latest:d budget_exec:d"
-    " budget_stale:b budget_missing:b liquidity_year:l liquidity:d liquidity_partial:b liquidity_suspect:b liquidity_stale:b"
-    " delay_days:l decay:d arrears_preliminary:b compliance_risk:d n_severe:l n_moderate:l n_light:l pending_text:s"
-    " autonomy_mean:d autonomy_critical:b n_contracts:l value_total:d pct_waiver:d award_alert:b"
+    " budget_preliminary:b budget_stale:b budget_missing:b liquidity_year:l liquidity:d liquidity_partial:b liquidity_suspect:b liquidity_stale:b"
+    " delay_days:l decay:d liquidity_rating_preliminary:b liquidity_rating_stale:b liquidity_rating_missing:b"
+    " arrears_preliminary:b arrears_stale:b arrears_missing:b compliance_risk:d n_severe:l n_moderate:l n_light:l"
+    " pending_text:s pending_json:s autonomy_preliminary:b autonomy_stale:b autonomy_missing:b autonomy_mean:d autonomy_critical:b n_contracts:l value_total:d pct_waiver:d award_alert:b"
 )
 
 
@@ -309,26 +319,41 @@ def final_score(t: Tables) -> DataFrame:
     return score.final_score(components(t))
 
 
-SCORE_SPEC = f"{HUB_SPEC} {FACTOR_SPEC} {NORM_SPEC} {POINT_SPEC} {FINAL_SPEC} risk_class:s"
+SCORE_SPEC = f"{HUB_SPEC} {FACTOR_SPEC} {NORM_SPEC} {POINT_SPEC} {FINAL_SPEC} risk_class:s history:s"
+
+
+def with_history(scored: DataFrame) -> DataFrame:
+    """The JSON history, parsed back, in a notation that SQL can write as well."""
+    parsed = F.from_json("arrears_history_json", I.HISTORY_TYPE)
+    fields = ("arrears_pct", "processed_arrears", "revenue_realized")
+    entry = lambda h: F.concat_ws(":", h["year"], *[h[f].cast("decimal(38,2)") for f in fields], h["chronic"])
+    return scored.withColumn("history", F.array_join(F.transform(parsed, entry), "|"))
 
 
 @query("score_job", SCORE_SPEC, source="x_scored")
 def score_job(t: Tables) -> DataFrame:
-    return score.score_job(inputs(t), S.WINDOW)
+    return with_history(score.score_job(inputs(t), S.WINDOW, ranked=False))
+
+
+def raw_inputs(t: Tables) -> score.Inputs:
+    lines = S.raw_lines(S.budget_lines(t)), S.raw_lines(S.fiscal_lines(t))
+    return score.Inputs(S.raw_dim(t), *lines, S.raw_accounts(t), S.raw_ratings(t), S.raw_flags(t), S.raw_contracts(t))
+
+
+@query("score_from_raw", SCORE_SPEC, source="x_scored")
+def score_from_raw(t: Tables) -> DataFrame:
+    """From all-text tables, with repeated and outdated rows, through staging to the score."""
+    return with_history(score.score_job(score.staged_inputs(raw_inputs(t)), S.WINDOW, ranked=False))
 
 
 @query(
     "score_ranking",
     "place:l entity_id:l risk_class:s score:d",
     f"""SELECT row_number() OVER (ORDER BY list_position({S.CLASS_LIST}, risk_class), score DESC NULLS LAST, entity_id)
-              AS place, entity_id, risk_class, score FROM x_scored
-        QUALIFY place <= 100""",
+              AS place, entity_id, risk_class, score FROM x_scored""",
 )
 def score_ranking(t: Tables) -> DataFrame:
-    """Best 100 entities: a distributed top-n; only its 100 rows are numbered."""
-    best = score.score_job(inputs(t), S.WINDOW).limit(100)
-    order = Window.orderBy(*score.ranking_order())
-    return best.select(F.row_number().over(order).alias("place"), "entity_id", "risk_class", "score")
+    return score.ranking(score.score_job(inputs(t), S.WINDOW, ranked=False))
 
 
 @query(

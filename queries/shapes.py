@@ -44,7 +44,9 @@ def choose(key: str, mapping: dict) -> F.Column:
 # --- entities ----------------------------------------------------------------------------
 
 
-def dim(t: Tables) -> DataFrame:
+def entities(t: Tables) -> DataFrame:
+    """All entities that report; some of them the dimension does not know."""
+
     def build(t: Tables) -> DataFrame:
         joined = t.customer.join(t.raw("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         return joined.select(
@@ -52,16 +54,24 @@ def dim(t: Tables) -> DataFrame:
             state_at(F.col("n_nationkey")).alias("state"),
             F.col("c_name").alias("name"),
             F.floor(F.abs("c_acctbal") * 30.0).cast("bigint").alias("population"),
+            (F.col("c_acctbal") < OUTSIDE_BELOW).alias("outside"),
         )
 
-    return t.shared("dim", build)
+    return t.shared("entities", build)
 
 
-cte("x_dim", f"""
+def dim(t: Tables) -> DataFrame:
+    return t.shared("dim", lambda t: entities(t).filter("NOT outside").drop("outside"))
+
+
+# customers in the deepest debt report without being in the dimension
+OUTSIDE_BELOW = -800.0
+cte("x_entities", f"""
 SELECT c_custkey AS entity_id, list_extract({SQL_STATES}, n_nationkey + 1) AS state, c_name AS name,
-       CAST(floor(abs(c_acctbal) * 30e0) AS BIGINT) AS population
+       CAST(floor(abs(c_acctbal) * 30e0) AS BIGINT) AS population, c_acctbal < {OUTSIDE_BELOW}e0 AS outside
 FROM customer JOIN nation ON n_nationkey = c_nationkey
 """)
+cte("x_dim", "SELECT entity_id, state, name, population FROM x_entities WHERE NOT outside")
 
 
 def owned_orders(t: Tables) -> DataFrame:
@@ -79,7 +89,7 @@ def owned_orders(t: Tables) -> DataFrame:
             F.month(day).alias("month"),
             F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"),
         )
-        return rows.join(dim(t), "entity_id")
+        return rows.join(entities(t).drop("outside"), "entity_id")
 
     return t.shared("owned_orders", build)
 
@@ -88,11 +98,12 @@ cte("x_owned", """
 SELECT o.o_orderkey, o.o_custkey AS entity_id, o.o_orderstatus AS status_code, o.o_totalprice AS price,
        CAST(o.o_orderdate AS DATE) AS day, year(o.o_orderdate) AS year, month(o.o_orderdate) AS month,
        CAST(substr(o.o_orderpriority, 1, 1) AS INTEGER) AS priority, d.state, d.name, d.population
-FROM orders o JOIN x_dim d ON d.entity_id = o.o_custkey
+FROM orders o JOIN x_entities d ON d.entity_id = o.o_custkey
 """)
 
 # --- account lines -----------------------------------------------------------------------
 
+NO_ARREARS_STATE = STATES[24]  # reports no arrears, so none of its entities has a valid year
 BUDGET_ANNEX = {1: "RREO-Anexo 01", 2: "RREO-Anexo 01", 3: "RREO-Anexo 01", 4: "RREO-Anexo 07",
                 5: "RREO-Anexo 07", 6: "RREO-Anexo 02", 7: "RREO-Anexo 07"}
 BUDGET_CODE = {1: "ReceitasExcetoIntraOrcamentarias", 2: "ReceitasExcetoIntraOrcamentarias", 3: "TotalDespesas",
@@ -167,7 +178,10 @@ def budget_lines(t: Tables) -> DataFrame:
             F.when(F.col("l_returnflag") == "R", F.concat(annex, F.lit(" - BO"))).otherwise(annex).alias("annex"),
             F.lit("M").alias("sphere"),
             choose("line", BUDGET_COLUMN).alias("column_label"),
-            F.when(line == 6, other).otherwise(choose("line", BUDGET_CODE)).alias("account_code"),
+            F.when(line == 6, other)
+            .when((F.col("state") == NO_ARREARS_STATE) & line.isin(5, 7), None)
+            .otherwise(choose("line", BUDGET_CODE))
+            .alias("account_code"),
             choose("line", BUDGET_NAME).alias("account_name"),
             line_value(BUDGET_VALUE).alias("value"),
             "population",
@@ -182,7 +196,7 @@ SELECT entity_id, state, 'Prefeitura ' || name AS institution, year, CAST(ceil(m
        {sql_case("line", BUDGET_ANNEX)} || CASE WHEN l_returnflag = 'R' THEN ' - BO' ELSE '' END AS annex,
        'M' AS sphere, {sql_case("line", BUDGET_COLUMN)} AS column_label,
        CASE WHEN line = 6 THEN CASE WHEN l_returnflag <> 'A' THEN 'OutrasReceitas' END
-            ELSE {sql_case("line", BUDGET_CODE)} END AS account_code,
+            WHEN state = '{NO_ARREARS_STATE}' AND line IN (5, 7) THEN NULL ELSE {sql_case("line", BUDGET_CODE)} END AS account_code,
        {sql_case("line", BUDGET_NAME)} AS account_name, {sql_line_value(BUDGET_VALUE)} AS value, population
 FROM x_order_lines
 """)
@@ -503,6 +517,23 @@ def contracts(t: Tables) -> DataFrame:
     return t.shared("contracts", build)
 
 
+# --- all-text inputs ---------------------------------------------------------------------
+
+
+def as_text(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+
+
+def raw_dim(t: Tables) -> DataFrame:
+    """Every entity twice, as after a repeated load."""
+    return as_text(dim(t).unionByName(dim(t)))
+
+
+def raw_lines(lines: DataFrame) -> DataFrame:
+    """Lines as text, each also with a smaller value, as older versions of a report have."""
+    return as_text(lines.unionByName(lines.withColumn("value", F.col("value") - 1.0)))
+
+
 # --- snapshots ---------------------------------------------------------------------------
 
 SEVERE_TYPES = ["error", "purchase", "view"]

@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from queries import indicators as I
+from queries import scores as SC
 from queries import shapes as S
 from queries.core import Tables, cte, query, sql_case, sql_half_away, sql_list
 from riskspark import params as P
 from riskspark.functions.numbers import half_away
-from riskspark.functions.ratings import class_label
 from riskspark.operators import quality as Q
 from riskspark.plans import history as H
-from riskspark.plans import staging
+from riskspark.plans import score, staging
 from riskspark.plans.grades import sheet_counts as sheets_per_year
 from riskspark.sinks import tables as K
 from riskspark.sources import files as R
@@ -345,35 +345,29 @@ def snapshot_replace_day(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
-PUBLISH_SCORE = sql_half_away("(population / 3000e0)", 1)
+RUN = H.Run("run-1", date(2001, 11, 30), datetime(2001, 11, 30, 12), "v1", pipeline_mode="full", notes="first", fiscal_ref="2001-6")
+PUBLISHED = (
+    "name:s population:l score:d risk_class:s score_base:d years_delivered:l arrears_pct_latest:d mean_factor:d points_liquidity:d"
+    " budget_preliminary:b liquidity_rating_missing:b arrears_missing:b arrears_stale:b autonomy_missing:b pending_json:s"
+    " award_alert:b"
+)
 
 
 @query(
     "publish_snapshot",
-    "run_id:s snapshot_date:dt state:s entity_id:s name:s score:d risk_class:s rows_written:l rows_scored:l"
-    " score_median:d status:s",
-    f"""SELECT s.*, l.rows_written, l.rows_scored, l.score_median, 'SUCCESS' AS status FROM (
-          SELECT 'run-1' AS run_id, DATE '2001-11-30' AS snapshot_date, state, lpad(CAST(entity_id AS VARCHAR), 7, '0')
-                 AS entity_id, name, score, list_extract({S.CLASS_LIST}, CASE WHEN score >= 75 THEN 1 WHEN score >= 55 THEN 2
-                 WHEN score >= 35 THEN 3 ELSE 4 END) AS risk_class FROM (SELECT *, {PUBLISH_SCORE} AS score FROM x_dim)) s
-        JOIN (SELECT state, count(*) AS rows_written, count(score) AS rows_scored, median(score) AS score_median
-              FROM (SELECT *, {PUBLISH_SCORE} AS score FROM x_dim) GROUP BY state) l ON l.state = s.state""",
+    f"run_id:s snapshot_date:dt state:s entity_id:s {PUBLISHED} rows_written:l rows_scored:l score_median:d status:s"
+    " pipeline_mode:s source_mode:s fiscal_ref:s notes:s",
+    """SELECT s.* REPLACE (lpad(CAST(s.entity_id AS VARCHAR), 7, '0') AS entity_id), 'run-1' AS run_id,
+              DATE '2001-11-30' AS snapshot_date, l.rows_written, l.rows_scored, l.score_median, 'SUCCESS' AS status,
+              'full' AS pipeline_mode, NULL AS source_mode, '2001-6' AS fiscal_ref, 'first' AS notes
+       FROM x_scored s JOIN (SELECT state, count(*) AS rows_written, count(score) AS rows_scored, median(score) AS score_median
+                             FROM x_scored GROUP BY state) l ON l.state = s.state""",
 )
 def publish_snapshot(t: Tables) -> DataFrame:
-    score = half_away(F.col("population") / 3000.0, 1)
-    rank = F.when(score >= 75, 0).when(score >= 55, 1).when(score >= 35, 2).otherwise(3)
-    scored = S.dim(t).withColumns(
-        {
-            "score": score,
-            "risk_class": class_label(rank),
-            "score_base": score,
-            "score_raw": score,
-            "years_delivered": F.lit(6),
-            "chronic_years": F.lit(0),
-        }
-    )
+    """The score job's rows, beside the run log's."""
     path, log = t.path("published"), t.path("run-log")
-    H.publish_snapshot(scored, path, log, "run-1", date(2001, 11, 30), datetime(2001, 11, 30, 12), "v1")
+    scored = score.score_job(SC.inputs(t), S.WINDOW, ranked=False)
+    H.publish_snapshot(scored, path, log, RUN)
     runs = t.spark.read.parquet(log).drop("snapshot_date", "run_id", "methodology", "snapshot_ts")
     return t.spark.read.parquet(path).join(runs, "state")
 
@@ -392,19 +386,34 @@ def materialize_partitioned(t: Tables) -> DataFrame:
 @query(
     "schema_evolve",
     f"{LEDGER_SPEC} channel:s",
-    """SELECT *, NULL AS channel FROM x_ledger
-       UNION ALL SELECT id, state, year, NULL, status_code, 'web' FROM x_ledger WHERE status_code = 'P'""",
+    """SELECT * REPLACE (CASE WHEN status_code <> 'P' THEN price END AS price),
+              CASE WHEN status_code = 'P' THEN 'web' END AS channel FROM x_ledger WHERE status_code <> 'O'
+       UNION ALL SELECT *, NULL FROM x_ledger WHERE status_code = 'O'""",
 )
 def schema_evolve(t: Tables) -> DataFrame:
-    batch = ledger(t).filter("status_code = 'P'").drop("price", "seq").withColumn("channel", F.lit("web"))
-    return K.evolve(ledger(t).drop("seq"), batch)
+    """A stored table through three upserts: a new column comes, another is absent, then the first is."""
+    path = t.path("evolving")
+    K.upsert(ledger(t), path, ["id"], "seq", buckets=8)
+    pending = ledger(t).filter("status_code = 'P'").drop("price").withColumn("channel", F.lit("web"))
+    K.upsert(pending, path, ["id"], "seq")
+    K.upsert(ledger(t).filter("status_code = 'O'").withColumn("id", F.col("id").cast("decimal(20,0)")), path, ["id"], "seq")
+    return K.read_upserted(t.spark, path)
 
 
-@query("export_csv", "entity_id:l state:s name:s population:l", source="x_dim")
+@query(
+    "export_csv",
+    "line:l has_mark:b text:s",
+    """SELECT 0 AS line, TRUE AS has_mark, 'entity_id,state,name,population' AS text
+       UNION ALL SELECT row_number() OVER (ORDER BY state, entity_id), FALSE,
+              entity_id || ',' || state || ',' || name || ',' || population FROM x_dim""",
+)
 def export_csv(t: Tables) -> DataFrame:
+    """The lines of the exported file in their order, and whether they start with the byte-order mark."""
     path = t.path("export")
-    K.export_csv(S.dim(t), path, [F.col("state"), F.col("entity_id")])
-    return R.read_csv_typed(t.spark, path, "entity_id bigint, state string, name string, population bigint")
+    K.export_csv(S.dim(t), path, [F.col("state"), F.col("entity_id")], single_file=True)
+    lines = t.spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line", "raw"))
+    marked = F.startswith("raw", F.lit(K.BYTE_ORDER_MARK))
+    return lines.select("line", marked.alias("has_mark"), F.when(marked, F.substring("raw", 2, 10_000)).otherwise(F.col("raw")).alias("text"))
 
 
 @query(
@@ -456,8 +465,9 @@ def stream_upsert(t: Tables) -> DataFrame:
         arriving = rows.filter((F.col("status_code") == "F") == F.lit(late)).drop("status_code")
         arriving.write.mode("append").json(source)
         X.incremental_upsert(
-            t.spark, source, schema, target, checkpoint, ["contract_id"], "seq", [F.col("updated").desc()], buckets=8
-        )
+            t.spark, source, schema, target, checkpoint, ["contract_id"], "seq", [F.col("updated").desc()],
+            files_per_batch=3, buckets=8,
+        )
     return K.read_upserted(t.spark, target)
 
 
@@ -468,15 +478,18 @@ def stream_upsert(t: Tables) -> DataFrame:
        UNION ALL SELECT id, state, year, price * 2e0 FROM x_ledger WHERE year >= 2000""",
 )
 def stream_replace_slice(t: Tables) -> DataFrame:
+    """Each load lies in several files, taken one per batch; files of the first load arrive last."""
     source, target = t.path("landing"), t.path("slices")
     checkpoint = t.path("stream-checkpoint")
     schema = "id bigint, state string, year bigint, price double, seq bigint, load_id bigint"
     rows = ledger(t).drop("status_code")
     second = rows.filter("year >= 2000").withColumn("price", F.col("price") * 2.0)
-    for number, load in enumerate((rows, second)):
-        load.withColumn("load_id", F.lit(number)).write.mode("append").json(source)
+    late = F.col("price") > 150_000.0
+    arrivals = ((0, rows.filter(~late)), (1, second), (0, rows.filter(late)))
+    for number, load in arrivals:
+        load.withColumn("load_id", F.lit(number)).repartition(3).write.mode("append").json(source)
         X.incremental_replace_slice(
-            t.spark, source, schema, target, checkpoint, ["id"], ["year"], "seq", "load_id"
+            t.spark, source, schema, target, checkpoint, ["id"], ["year"], "seq", "load_id", files_per_batch=1
         )
     return t.spark.read.parquet(target)
 
@@ -535,26 +548,18 @@ def dq_keys(t: Tables) -> DataFrame:
 @query(
     "dq_snapshot",
     CHECK_SPEC,
-    sql_checks("x_snapshots", {"null_entity": "entity_id IS NULL", "unknown_class": "FALSE",
+    sql_checks("x_snapshots", {"null_entity": "entity_id IS NULL", "unknown_class": "score < 10e0",
                                "score_out_of_range": "score_raw < 0 OR score_raw > 100", "bad_state": "length(state) <> 2"})
     + " UNION ALL SELECT 'duplicate_entity', count(*) FROM (SELECT entity_id FROM x_snapshots GROUP BY entity_id"
-      " HAVING count(*) > 1) UNION ALL SELECT 'empty_snapshot', 0",
+      " HAVING count(*) > 1) UNION ALL SELECT 'empty_snapshot', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM x_snapshots",
 )
 def dq_snapshot(t: Tables) -> DataFrame:
-    rows = S.snapshots(t).withColumn("score", F.col("score_raw"))
+    """Some classes unknown, raw values as scores."""
+    odd = F.when(F.col("score") < 10.0, "MUITO ALTO").otherwise(F.col("risk_class"))
+    rows = S.snapshots(t).withColumn("risk_class", odd).withColumn("score", F.col("score_raw"))
     return Q.snapshot_checks(rows, [*P.RISK_CLASSES, P.NO_DATA_CLASS])
 
 
-@query(
-    "dq_contract",
-    "frame:s missing:s",
-    "SELECT 'base' AS frame, 'arrears_pct' AS missing UNION ALL SELECT 'indicators', ''",
-)
-def dq_contract(t: Tables) -> DataFrame:
-    frames = {"base": I.base(t), "indicators": I.indicators(t)}
-    return Q.contract_report(t.spark, frames, ["entity_id", "year", "arrears_pct", "fiscal_period"])
-
-
 @query(
     "dq_dim_batch",
     CHECK_SPEC,

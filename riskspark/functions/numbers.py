@@ -41,8 +41,8 @@ def all_null(columns: list[str]) -> Column:
 
 
 def cast_via_float(text: Column) -> Column:
-    """'6.0' -> 6. Text that is no number becomes NULL."""
-    return text.try_cast("double").try_cast("bigint")
+    """'6.0' -> 6 and '6.7' -> 7, ties away from zero. Text that is no number becomes NULL."""
+    return half_away(text.try_cast("double"), 0).try_cast("bigint")
 
 
 def parse_int(text: Column) -> Column:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
+import string
 import unicodedata
+from itertools import chain, count
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,15 +83,20 @@ def keyword_kind(name: Column, keywords: list[tuple[str, str]]) -> Column:
     return F.coalesce(*[F.when(folded.contains(word), F.lit(kind)) for word, kind in keywords])
 
 
+SAFE_CHARACTERS = frozenset(string.ascii_lowercase + string.digits + "_")
+
+
+def _safe_name(name: str, position: int) -> str:
+    """Lower case, other characters as underscores, none in front; a digit in front gets ``c_``."""
+    plain = "".join(c if c in SAFE_CHARACTERS else "_" for c in name.lower()).lstrip("_")
+    return plain and ("c_" * plain[0].isdigit() + plain) or f"col_{position}"
+
+
 def sanitize_names(names: list[str]) -> list[str]:
-    """Warehouse-safe column names; a repeated name gets a numeric suffix."""
-    counts: dict[str, int] = {}
-    safe = []
-    for index, name in enumerate(names):
-        text = re.sub("[^a-z0-9_]", "_", str(name).lower(), flags=re.ASCII)
-        text = f"c_{text}" if text[:1].isdigit() else text
-        text = text.lstrip("_") or f"col_{index}"
-        seen = counts.get(text)
-        counts[text] = 0 if seen is None else seen + 1
-        safe.append(text if seen is None else f"{text}_{seen + 1}")
-    return safe
+    """Warehouse-safe column names, all different: of equal ones the later get the first free suffix."""
+    chosen: dict[str, None] = {}
+    for position, name in enumerate(names):
+        safe = _safe_name(str(name), position)
+        options = chain([safe], (f"{safe}_{n}" for n in count(1)))
+        chosen[next(option for option in options if option not in chosen)] = None
+    return list(chosen)

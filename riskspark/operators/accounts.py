@@ -62,7 +62,7 @@ def priority_regime(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def budget_pivot(lines: DataFrame) -> DataFrame:
     """(entity, year): measures of the last reported period."""
-    by_period = pivot_lines(lines, ["entity_id", "year", "period"], P.BUDGET_RULES)
+    by_period = pivot_lines(lines, ["entity_id", "year", "period"], P.BUDGET_RULES).filter("period IS NOT NULL")
     return by_period.groupBy("entity_id", "year").agg(
         F.max("period").alias("budget_period"),
         *[F.max_by(name, "period").alias(name) for name in P.BUDGET_RULES],
@@ -77,15 +77,15 @@ def fiscal_pivot(lines: DataFrame) -> DataFrame:
     """
     has_exact = F.bool_or(F.col("annex") == P.FISCAL_ANNEX).alias("_exact")
     by_period = pivot_lines(lines, ["entity_id", "year", "regime", "period"], P.FISCAL_RULES, has_exact)
-    choice = F.when(
-        F.col("_exact"), (3 - regime_rank(F.col("regime"))).cast("long") * 1_000_000 + F.col("period")
-    )
-    chosen = by_period.withColumn("_choice", choice).filter(F.col("_choice").isNotNull())
-    wide = chosen.groupBy("entity_id", "year").agg(
-        F.max_by("regime", "_choice").alias("fiscal_regime"),
-        F.max_by("period", "_choice").alias("fiscal_period"),
-        *[F.max_by(name, "_choice").alias(name) for name in P.FISCAL_RULES],
-    )
+    chosen = by_period.filter(F.col("_exact") & F.col("period").isNotNull())
+    # one struct per record, so that all columns come from the same one; regime settles equal ranks
+    record = F.struct("regime", "period", *P.FISCAL_RULES)
+    choice = F.struct(-regime_rank(F.col("regime")), F.col("period"), F.col("regime"))
+    best = chosen.groupBy("entity_id", "year").agg(F.max_by(record, choice).alias("_r"))
+    wide = best.select(
+        "entity_id", "year", F.col("_r.regime").alias("fiscal_regime"), F.col("_r.period").alias("fiscal_period"),
+        *[f"_r.{name}" for name in P.FISCAL_RULES],
+    )
     return wide.select(
         "entity_id",
         "year",
@@ -120,7 +120,8 @@ def merge_on_key(keys: list[str], parts: list[DataFrame], combine: Callable[[str
 
 
 def first_match(lines: DataFrame, keys: list[str], preferred: str) -> DataFrame:
-    """Revenue per account: value under the preferred column label, else the first one met.
+    """Revenue per account: the first value under the preferred column label, whether it parses or
+    not; without such a line the first value that parses.
 
     Balance accounts keep the last one met. Blank values count as 0, unparsable ones are NULL.
     Needs ``seq`` (reading order), ``account_name``, ``column_label`` and text ``value``.
@@ -131,10 +132,11 @@ def first_match(lines: DataFrame, keys: list[str], preferred: str) -> DataFrame:
         {
             "_amount": amount,
             "_name": F.lower(F.trim("account_name")),
-            "_order": F.when(F.trim("column_label") == preferred, F.col("seq")).otherwise(F.col("seq") + F.lit(2**40)),
+            "_other": F.coalesce(F.trim("column_label") != preferred, F.lit(True)),
         }
     )
+    order = F.struct("_other", F.col("_other") & F.col("_amount").isNull(), "seq")
     return rows.groupBy(*keys, "_name").agg(
-        F.min_by("_amount", "_order").alias("first_value"),
+        F.min_by("_amount", order).alias("first_value"),
         F.max_by("_amount", "seq").alias("last_value"),
     ).withColumnRenamed("_name", "account")

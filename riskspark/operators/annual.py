@@ -146,13 +146,24 @@ def any_flags(prefix: str, used: Column) -> list[Column]:
     ]
 
 
+def arrears_used() -> Column:
+    """Grid years with a valid arrears ratio."""
+    return F.col("in_grid") & delivered() & F.col("arrears_pct").isNotNull()
+
+
 def arrears_rating_aggs() -> list[Column]:
-    """Mean rating over the years with a valid arrears ratio."""
-    used = delivered() & F.col("arrears_pct").isNotNull()
+    """Mean rating over the grid years with a valid arrears ratio."""
+    used = arrears_used()
     mean = exact_mean(F.when(used, F.col("rating_factor")), 10)
     return [mean.alias("arrears_factor"), *any_flags("arrears", used)]
 
 
+def record_recency() -> Column:
+    """Order of fiscal records: year, then period, then regime Q before others."""
+    is_q = F.coalesce(F.col("fiscal_regime") == "Q", F.lit(False))
+    return F.struct("year", F.coalesce("fiscal_period", F.lit(0)), is_q)
+
+
 def liquidity_pick_aggs(as_of: date, in_window: Column) -> list[Column]:
     """The newest whole record that yields a liquidity ratio, as one struct (NULL if none).
 
@@ -160,11 +171,6 @@ def liquidity_pick_aggs(as_of: date, in_window: Column) -> list[Column]:
     """
     ratio = half_even(F.when(has_revenue(), net_cash() / F.col("revenue_realized")), 6)
     valid = in_window & ratio.isNotNull()
-    recency = (
-        F.col("year").cast("bigint") * 10_000
-        + F.coalesce("fiscal_period", F.lit(0)).cast("bigint") * 10
-        + F.when(F.col("fiscal_regime") == "Q", 1).otherwise(0)
-    )
     record = F.struct(
         F.col("year").cast("bigint").alias("liquidity_year"),
         ratio.alias("liquidity"),
@@ -173,7 +179,7 @@ def liquidity_pick_aggs(as_of: date, in_window: Column) -> list[Column]:
         liquidity_suspect(ratio).alias("liquidity_suspect"),
         *[F.col(c) for c in RATING_COLUMNS],
     )
-    return [F.max_by(record, F.when(valid, recency)).alias("_pick")]
+    return [F.max_by(record, F.when(valid, record_recency())).alias("_pick")]
 
 
 RATING_COLUMNS = [

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import blank_or_null
@@ -44,12 +44,6 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
-def contract_report(spark: SparkSession, frames: dict[str, DataFrame], required: list[str]) -> DataFrame:
-    """One row per frame: which required columns its schema lacks. Reads schemas only."""
-    rows = [(name, ",".join(missing_columns(df, required))) for name, df in sorted(frames.items())]
-    return spark.createDataFrame(rows, "frame string, missing string")
-
-
 def snapshot_checks(df: DataFrame, classes: list[str]) -> DataFrame:
     """Everything a snapshot must satisfy before it is published."""
     row_checks = {
@@ -83,6 +77,6 @@ def dimension_batch(df: DataFrame, state: str, level: str = "M") -> DataFrame:
 
 def raise_on_violations(report: DataFrame) -> None:
     """Stop a job with the failing checks (a report has a handful of rows)."""
-    bad = report.filter(F.col("violations") > 0).take(20)
+    bad = report.filter(F.col("violations") > 0).collect()
     if bad:
         raise ValueError("; ".join(f"{r.check_name}={r.violations}" for r in bad))

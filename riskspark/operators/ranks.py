@@ -1,34 +1,45 @@
 """Exact order statistics without ever sorting a whole group in one task.
 
-Rows are first reduced to (group, value, count). Values are then cut into slices of fixed
-width; positions come from a window inside each (group, slice) plus the running total of the
-slices before it. A group holding a third of all rows is spread over its slices, and a value
-shared by a third of all rows is a single counted row.
+Rows are first reduced to (group, value, count). Values are then cut into slices of equal relative
+width, whatever their unit; positions come from a window inside each (group, slice) plus the running
+total of the slices before it. A group holding a third of all rows is spread over its slices, and a
+value shared by a third of all rows is a single counted row. NULL is a group like any other.
 """
 
 from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import params as P
 from riskspark.functions.numbers import exact_mean, half_even
 from riskspark.functions.ratings import auc_strength, correlation_strength, executive_reading
+from riskspark.operators.ordered import join_null_safe
 
-SLICE_WIDTH = 10.0  # value units: 1,000 distinct values per slice at two decimals
+SLICES_PER_DOUBLING = 1024
+SMALLEST_EXPONENT = -40  # magnitudes below 2**-40 share the slice of zero
 
 
-def running_totals(
-    counts: DataFrame, groups: list[str], value: str, columns: list[str], width: float = SLICE_WIDTH
-) -> DataFrame:
+def value_slice(value: Column) -> Column:
+    """Slice number that never falls as the value rises; about 0.1 % of the magnitude wide.
+
+    A broken-line logarithm: the exponent plus the mantissa's linear part, so rounding of the exponent
+    cannot break the order. Doubles give at most some two million slices, real data a few thousand.
+    """
+    size = F.abs(value.cast("double"))
+    exponent = F.greatest(F.floor(F.log2(size)), F.lit(SMALLEST_EXPONENT))
+    line = F.coalesce(exponent + size / F.pow(F.lit(2.0), exponent) - 1 - (SMALLEST_EXPONENT - 1), F.lit(0.0))
+    return (F.signum(value) * F.floor(line * SLICES_PER_DOUBLING)).cast("long")
+
+
+def running_totals(counts: DataFrame, groups: list[str], value: str, columns: list[str]) -> DataFrame:
     """Add ``before_<c>`` (sum over smaller values) and ``all_<c>`` (sum over the group).
 
     ``counts`` has one row per (group, value).
     """
-    sliced = counts.withColumn("_slice", F.floor(F.col(value) / F.lit(width)))
+    sliced = counts.withColumn("_slice", value_slice(F.col(value)))
     totals = sliced.groupBy(*groups, "_slice").agg(*[F.sum(c).alias(f"_sum_{c}") for c in columns])
     earlier = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -40,27 +51,23 @@ def running_totals(
     )
     inside = Window.partitionBy(*groups, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     local = sliced.withColumns({f"_in_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
-    joined = local.join(offsets, [*groups, "_slice"])
+    joined = join_null_safe(local, offsets, [*groups, "_slice"])
     joined = joined.withColumns({f"before_{c}": F.col(f"_skip_{c}") + F.col(f"_in_{c}") for c in columns})
     return joined.drop("_slice", *[f"_skip_{c}" for c in columns], *[f"_in_{c}" for c in columns])
 
 
-def average_ranks(
-    counts: DataFrame, groups: list[str], value: str, rank: str, width: float = SLICE_WIDTH
-) -> DataFrame:
+def average_ranks(counts: DataFrame, groups: list[str], value: str, rank: str) -> DataFrame:
     """(groups, value) -> mean rank of its ties, centred on the group's mean rank."""
     per_value = counts.groupBy(*groups, value).agg(F.sum("n").alias("n"))
-    totals = running_totals(per_value, groups, value, ["n"], width)
+    totals = running_totals(per_value, groups, value, ["n"])
     mean_rank = F.col("before_n") + (F.col("n") + 1) / 2.0
     return totals.select(*groups, value, (mean_rank - (F.col("all_n") + 1) / 2.0).alias(rank))
 
 
-def group_median(
-    counts: DataFrame, groups: list[str], value: str, name: str = "median", width: float = SLICE_WIDTH
-) -> DataFrame:
+def group_median(counts: DataFrame, groups: list[str], value: str, name: str = "median") -> DataFrame:
     """Exact median per group of counted values (column ``n``)."""
     per_value = counts.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.sum("n").alias("n"))
-    rows = running_totals(per_value, groups, value, ["n"], width)
+    rows = running_totals(per_value, groups, value, ["n"])
 
     def at(position: Column) -> Column:
         inside = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))
@@ -74,8 +81,8 @@ def group_median(
 def spearman(counts: DataFrame, groups: list[str], x: str, y: str, digits: int = 4) -> DataFrame:
     """Rank correlation per group from counted (x, y) combinations (column ``n``)."""
     rows = counts.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.join(average_ranks(rows, groups, x, "_rx"), [*groups, x])
-    ranked = ranked.join(average_ranks(rows, groups, y, "_ry"), [*groups, y])
+    ranked = join_null_safe(rows, average_ranks(rows, groups, x, "_rx"), [*groups, x])
+    ranked = join_null_safe(ranked, average_ranks(rows, groups, y, "_ry"), [*groups, y])
     cross = F.sum(F.col("n") * F.col("_rx") * F.col("_ry"))
     spread_x = F.sum(F.col("n") * F.col("_rx") * F.col("_rx"))
     spread_y = F.sum(F.col("n") * F.col("_ry") * F.col("_ry"))
@@ -86,49 +93,39 @@ def spearman(counts: DataFrame, groups: list[str], x: str, y: str, digits: int =
     )
 
 
-def student_tail(t: float, degrees: float) -> float:
-    """Two-sided tail of Student's t: regularised incomplete beta by its continued fraction."""
-    x = degrees / (degrees + t * t)
-    a, b = degrees / 2.0, 0.5
-    flip = x > (a + 1.0) / (a + b + 2.0)
-    if flip:
-        a, b, x = b, a, 1.0 - x
-    if x <= 0.0:
-        return 1.0 if flip else 0.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    ) / a
-    tiny = 1e-300
-    c, d = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1.0) or tiny)
-    fraction = d
-    for m in range(1, 500):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        for term in (even, odd):
-            d = 1.0 / (1.0 + term * d or tiny)
-            c = 1.0 + term / c or tiny
-            fraction *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
-    area = front * fraction
-    return 1.0 - area if flip else area
+TAIL_STEPS = 400
+TAIL_REACH = 9.0  # beyond that many standard deviations nothing is left at 12 digits
 
 
-def with_p_value(correlations: DataFrame, digits: int = 4) -> DataFrame:
-    """Two-sided p-value of each rank correlation. Runs on one row per group."""
+def _cosine_area(low: Column, high: Column, power: Column) -> Column:
+    """Simpson's rule for the integral of cos(x) ** power over [low, high]."""
+
+    def term(total: Column, i: Column) -> Column:
+        weight = F.when((i == 0) | (i == TAIL_STEPS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        return total + weight * F.pow(F.cos(low + (high - low) * i / TAIL_STEPS), power)
 
-    @F.pandas_udf("double")
-    def tail(r: pd.Series, n: pd.Series) -> pd.Series:
-        def one(r: float, n: float) -> float | None:
-            if r is None or math.isnan(r) or n < 3:
-                return None
-            if abs(r) >= 1.0:
-                return 0.0
-            return student_tail(r * math.sqrt((n - 2) / (1.0 - r * r)), n - 2)
+    steps = F.sequence(F.lit(0), F.lit(TAIL_STEPS))
+    return F.aggregate(steps, F.lit(0.0), term) * (high - low) / (3.0 * TAIL_STEPS)
 
-        return pd.Series([one(x, y) for x, y in zip(r, n)])
 
-    return correlations.withColumn("p_value", half_even(tail("spearman", "n_pairs"), digits))
+def student_tail(t: Column, degrees: Column) -> Column:
+    """Two-sided tail of Student's t.
+
+    With t = tan(x) * sqrt(degrees) the density becomes cos(x) ** (degrees - 1); the tail is the share
+    of its area beyond |t|.
+    """
+    end = F.least(F.lit(math.pi / 2), F.lit(TAIL_REACH) / F.sqrt(degrees))
+    at = F.least(F.atan(F.abs(t) / F.sqrt(degrees)), end)
+    power = degrees - 1.0
+    return _cosine_area(at, end, power) / _cosine_area(F.lit(0.0), end, power)
+
+
+def with_p_value(correlations: DataFrame, digits: int = 4) -> DataFrame:
+    """Two-sided p-value of each rank correlation, NULL below three pairs."""
+    r, degrees = F.col("spearman"), (F.col("n_pairs") - 2).cast("double")
+    tail = student_tail(r * F.sqrt(degrees / (1.0 - r * r)), degrees)
+    p = F.when(r.isNull() | (F.col("n_pairs") < 3), None).when(F.abs(r) >= 1.0, 0.0).otherwise(half_even(tail, digits))
+    return correlations.withColumn("p_value", p)
 
 
 def auc(
@@ -139,7 +136,6 @@ def auc(
     low_is_risky: bool = True,
     min_positives: int = 1,
     digits: int = 4,
-    width: float = SLICE_WIDTH,
 ) -> DataFrame:
     """Area under the ROC curve per group by the Mann-Whitney count.
 
@@ -149,7 +145,7 @@ def auc(
         F.sum(F.when(positive, F.col("n")).otherwise(0)).alias("pos"),
         F.sum(F.when(positive, 0).otherwise(F.col("n"))).alias("neg"),
     )
-    rows = running_totals(per_score, groups, score, ["pos", "neg"], width)
+    rows = running_totals(per_score, groups, score, ["pos", "neg"])
     doubled = F.col("pos").cast("decimal(19,0)") * (F.col("before_neg") * 2 + F.col("neg")).cast("decimal(19,0)")
     sums = rows.groupBy(*groups).agg(
         F.sum("pos").alias("n_positives"),

@@ -41,9 +41,9 @@ def prefer_plan(lines: DataFrame) -> DataFrame:
     landed = lines.groupBy("entity_id", "year", "kind", "regime", "period").agg(
         F.count(F.lit(1)).alias("n_lines"), F.max("population").alias("population")
     )
-    rank = plan_rank(F.col("kind"), F.col("regime"), F.col("population")) * 1000 - F.col("period")
+    rank = plan_rank(F.col("kind"), F.col("regime"), F.col("population"))
     choice = F.struct("kind", "regime", "period", "n_lines")
-    best = landed.groupBy("entity_id", "year").agg(F.min_by(choice, F.struct(rank, "kind", "regime")).alias("_c"))
+    best = landed.groupBy("entity_id", "year").agg(F.min_by(choice, F.struct(rank, -F.col("period"), "kind", "regime")).alias("_c"))
     return best.select("entity_id", "year", "_c.*")
 
 
@@ -54,29 +54,34 @@ def preliminary_rating(checks: DataFrame, columns: list[str]) -> DataFrame:
     return rows.withColumns({"factor": grade_factor(F.col("grade")), "status": F.lit(P.STATUS_PRELIMINARY)})
 
 
+def newest_year(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("year") == df.agg(F.max("year")).scalar())
+
+
+def level_aggs(column: str, digits: int, prefix: str = "") -> list[Column]:
+    """Mean, standard deviation, extremes and quartiles (interpolated) of a column.
+
+    The quartiles hold one counter per distinct value; meant for rounded values.
+    """
+    quartiles = F.percentile(F.col(column), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    return [
+        half_even(exact_mean(F.col(column), 6), digits).alias(f"{prefix}mean"),
+        half_even(F.stddev_samp(column), digits).alias(f"{prefix}std"),
+        F.min(column).alias(f"{prefix}min"),
+        *[half_even(quartiles[i], digits).alias(f"{prefix}{name}") for i, name in enumerate(("q25", "median", "q75"))],
+        F.max(column).alias(f"{prefix}max"),
+    ]
+
+
 def latest_year_profile(ratings: DataFrame) -> DataFrame:
-    """Grades of the newest year: rows and level of the hit percentage, absent grades included."""
-    newest = ratings.agg(F.max("year")).scalar()
-    rows = ratings.filter(F.col("year") == newest)
-    return rows.groupBy("year", "grade").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        half_even(exact_mean(F.col("percent"), 6), 4).alias("percent_mean"),
-        F.min("percent").alias("percent_min"),
-        F.max("percent").alias("percent_max"),
-    )
+    """Grades of the newest year: rows and levels of the hit percentage, absent grades included."""
+    rows = newest_year(ratings).groupBy("year", "grade")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), *level_aggs("percent", 4, "percent_"))
 
 
-def describe_exact(df: DataFrame, column: str, digits: int, width: float) -> DataFrame:
-    """count, mean, min, median, max of one column, median by sliced counting."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    median = group_median(counts, [], column, "median", width)
-    levels = df.agg(
-        F.count(column).alias("n_values"),
-        half_even(exact_mean(F.col(column), 6), digits).alias("mean"),
-        F.min(column).alias("min"),
-        F.max(column).alias("max"),
-    )
-    return levels.withColumn("median", half_even(median.scalar(), digits))
+def describe(df: DataFrame, column: str, digits: int) -> DataFrame:
+    """Count and levels of one column in one row."""
+    return df.agg(F.count(column).alias("n_values"), *level_aggs(column, digits))
 
 
 def extreme_rows(df: DataFrame, column: str, n: int = 5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
 from datetime import date, datetime
 
 from pyspark.sql import DataFrame, Window
@@ -13,9 +14,13 @@ from riskspark.functions.text import zero_pad
 from riskspark.operators.dedupe import keep_first, top_rows
 from riskspark.operators.ordered import number_rows, trailing
 from riskspark.operators.quality import missing_columns, raise_on_violations, snapshot_checks
+from riskspark.session import work_path
+from riskspark.sinks.storage import remove, swap_partitions
 from riskspark.sinks.tables import append_rows, replace_partitions, typed
 
 ENTITY = ["state", "entity_id"]
+RATED_PARTS = ("budget", "liquidity_rating", "arrears", "autonomy")
+# fixed values: the published columns and their types
 SNAPSHOT_TYPES = {
     "run_id": "string",
     "snapshot_date": "date",
@@ -46,6 +51,7 @@ SNAPSHOT_TYPES = {
     "liquidity_rating_year": "bigint",
     "liquidity_rating_status": "string",
     "liquidity_rating_grade": "string",
+    **{f"{part}_{flag}": "boolean" for part in RATED_PARTS for flag in ("preliminary", "stale", "missing")},
     "budget_norm": "double",
     "liquidity_norm": "double",
     "arrears_norm": "double",
@@ -124,25 +130,57 @@ def snapshot_rows(scored: DataFrame, run_id: str, day: date, ts: datetime, metho
     return typed(rows, SNAPSHOT_TYPES)
 
 
-def publish_snapshot(
-    scored: DataFrame,
-    path: str,
-    run_log_path: str,
-    run_id: str,
-    day: date,
-    ts: datetime,
-    methodology: str,
-    run_type: str = "pipeline",
-) -> None:
-    """Validate, append the run log, replace the day's partitions. Any failure raises."""
+@dataclass(frozen=True)
+class Run:
+    """What identifies and describes a published run; the optional parts only go to the run log."""
+
+    run_id: str
+    day: date
+    ts: datetime
+    methodology: str
+    run_type: str = "pipeline"
+    pipeline_mode: str | None = None
+    source_mode: str | None = None
+    pipeline_version: str | None = None
+    fiscal_ref: str | None = None
+    accounts_ref: str | None = None
+    compliance_ref: str | None = None
+    contracts_ref: str | None = None
+    notes: str | None = None
+
+
+def run_log(rows: DataFrame, run: Run) -> DataFrame:
+    """One row per state of a published snapshot."""
+    summary = run_summary(rows, ["run_id", "snapshot_date", "snapshot_ts", "state", "methodology"])
+    described = [f.name for f in fields(run) if f.name not in ("run_id", "day", "ts", "methodology")]
+    texts = {name: F.lit(getattr(run, name)).cast("string") for name in described}
+    return summary.withColumns({**texts, "status": F.lit("SUCCESS")})
+
+
+def publish_snapshot(scored: DataFrame, path: str, run_log_path: str, run: Run) -> None:
+    """Write the rows once beside the table, check and summarise them, swap them in, then log.
+
+    The score is evaluated once, success is logged only when the rows are in place, and any failure
+    before that raises and leaves the table as it was.
+    """
     missing = missing_columns(scored, REQUIRED)
     if missing:
         raise ValueError(f"snapshot lacks columns: {', '.join(missing)}")
-    rows = snapshot_rows(scored, run_id, day, ts, methodology)
-    raise_on_violations(snapshot_checks(rows, [*P.RISK_CLASSES, P.NO_DATA_CLASS]))
-    log = run_summary(rows, ["run_id", "snapshot_date", "snapshot_ts", "state", "methodology"])
-    append_rows(log.withColumns({"run_type": F.lit(run_type), "status": F.lit("SUCCESS")}), run_log_path)
-    replace_daily_snapshot(rows, path)
+    spark = scored.sparkSession
+    staged = work_path(spark, "snapshot")
+    rows = snapshot_rows(scored, run.run_id, run.day, run.ts, run.methodology)
+    replace_daily_snapshot(rows, staged)
+    # the type of a partition column is not in the files
+    written = spark.read.schema(rows.schema).parquet(staged)
+    try:
+        raise_on_violations(snapshot_checks(written, [*P.RISK_CLASSES, P.NO_DATA_CLASS]))
+        log = run_log(written, run)
+        log_rows = log.collect()  # one row per state
+    except Exception:
+        remove(spark, staged)
+        raise
+    swap_partitions(spark, staged, path, depth=2)
+    append_rows(spark.createDataFrame(log_rows, log.schema), run_log_path)
 
 
 def replace_daily_snapshot(rows: DataFrame, path: str) -> None:
@@ -155,6 +193,7 @@ def latest(history: DataFrame) -> DataFrame:
     return keep_first(history, ENTITY, [F.col("snapshot_ts").desc(), F.col("run_id").desc()])
 
 
+# fixed values: the published columns of the trajectory view
 TRAJECTORY = [
     "run_id", "snapshot_date", "snapshot_ts", "state", "entity_id", "name", "score", "risk_class", "score_base",
     "score_raw", "liquidity", "budget_exec", "arrears_pct_latest", "coverage", "compliance_risk", "autonomy_mean",

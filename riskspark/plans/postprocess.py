@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from riskspark import params as P
@@ -54,8 +55,8 @@ def entity_profile(rated: DataFrame, window: Window) -> DataFrame:
     weight = F.when(
         with_budget & A.delivered(), A.recency_weight(F.col("year"), window.last_closed_year, window.start_year)
     )
-    arrears_used = F.col("in_grid") & A.delivered() & F.col("arrears_pct").isNotNull()
     grouped = rated.groupBy("entity_id").agg(
+        F.max("state").alias("_state"),
         F.max("population").alias("population"),
         *A.coverage_aggs(with_budget),
         *A.chronic_aggs(with_budget),
@@ -63,9 +64,31 @@ def entity_profile(rated: DataFrame, window: Window) -> DataFrame:
         *A.arrears_rating_aggs(),
         *A.liquidity_pick_aggs(window.as_of, with_fiscal),
         F.bool_or(with_fiscal).alias("_has_fiscal"),
-        F.bool_or(weight.isNotNull() | with_fiscal | arrears_used).alias("processed"),
+        F.bool_or("in_grid").alias("_in_grid"),
+        F.bool_or(A.arrears_used()).alias("_valid"),
+        F.bool_or(weight.isNotNull() | with_fiscal).alias("processed"),
     )
-    return A.expand_liquidity_pick(grouped)
+    rows = default_arrears(grouped)
+    rows = rows.withColumn("processed", F.col("processed") | F.col("arrears_factor").isNotNull())
+    return A.expand_liquidity_pick(rows)
+
+
+def default_arrears(grouped: DataFrame) -> DataFrame:
+    """Default ratings for all grid entities of a state in which none has a valid arrears year.
+
+    Works on one row per entity; needs _state, _in_grid and _valid, which leave.
+    """
+    any_valid = F.bool_or("_valid").over(SqlWindow.partitionBy("_state"))
+    unrated = F.col("_in_grid") & ~any_valid
+    defaults = {
+        "arrears_factor": P.NO_RATING_FACTOR,
+        "arrears_preliminary": False,
+        "arrears_stale": False,
+        "arrears_missing": True,
+    }
+    marked = grouped.withColumn("_unrated", unrated)
+    filled = {c: F.when(F.col("_unrated"), F.lit(v)).otherwise(F.col(c)) for c, v in defaults.items()}
+    return marked.withColumns(filled).drop("_unrated", "_state", "_in_grid", "_valid")
 
 
 def autonomy_profile(
@@ -86,19 +109,15 @@ def postprocess(base: DataFrame, ratings: DataFrame, window: Window) -> DataFram
 
 
 def arrears_rating(rated: DataFrame) -> DataFrame:
-    """Mean rating over years with a valid arrears ratio, per entity.
+    """Mean rating over grid years with a valid arrears ratio, per entity.
 
-    Entities without such a year are absent, unless no entity has one: then all get defaults.
+    Entities without such a year are absent, unless their whole state has none: then all its grid
+    entities get the defaults.
     """
-    rows = rated.filter("in_grid")
-    used = A.delivered() & F.col("arrears_pct").isNotNull()
-    means = rows.groupBy("entity_id").agg(*A.arrears_rating_aggs(), F.bool_or(used).alias("_valid"))
-    none_valid = ~F.coalesce(rows.agg(F.bool_or(used)).scalar(), F.lit(False))
-    defaults = {
-        "arrears_factor": P.NO_RATING_FACTOR,
-        "arrears_preliminary": False,
-        "arrears_stale": False,
-        "arrears_missing": True,
-    }
-    filled = means.withColumns({c: F.coalesce(F.col(c), F.when(none_valid, F.lit(v))) for c, v in defaults.items()})
-    return filled.filter(F.col("_valid") | none_valid).drop("_valid")
+    means = rated.groupBy("entity_id").agg(
+        *A.arrears_rating_aggs(),
+        F.max("state").alias("_state"),
+        F.bool_or("in_grid").alias("_in_grid"),
+        F.bool_or(A.arrears_used()).alias("_valid"),
+    )
+    return default_arrears(means).filter(F.col("arrears_factor").isNotNull())

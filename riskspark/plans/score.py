@@ -15,6 +15,8 @@ from riskspark.operators import annual as A
 from riskspark.operators.contracts import contracts_agg, direct_award_alert
 from riskspark.operators.flags import flags_severity, text_severity
 from riskspark.operators.lookup import hub_join, with_state_params
+from riskspark.operators.ordered import number_rows
+from riskspark.plans import staging
 from riskspark.plans.base import base_annual
 from riskspark.plans.postprocess import Window, autonomy_profile, entity_profile, rated_base
 
@@ -144,6 +146,19 @@ def ranking_order() -> list[Column]:
     return [class_order(F.col("risk_class")), F.col("score").desc_nulls_last(), F.col("entity_id")]
 
 
+def staged_inputs(raw: Inputs) -> Inputs:
+    """All-text tables, as collected, through their staging functions."""
+    return Inputs(
+        staging.stage_dim(raw.dim),
+        staging.stage_budget_lines(raw.budget_lines),
+        staging.stage_fiscal_lines(raw.fiscal_lines),
+        staging.stage_accounts(raw.accounts),
+        staging.stage_ratings(raw.ratings),
+        staging.stage_flags(raw.flags),
+        staging.stage_contracts(raw.contracts),
+    )
+
+
 def score_job(inputs: Inputs, window: Window, overrides: dict | None = None, ranked: bool = True) -> DataFrame:
     """Scores of all entities of all states in one job."""
     hub = indicator_hub(inputs, window, overrides)
@@ -152,6 +167,22 @@ def score_job(inputs: Inputs, window: Window, overrides: dict | None = None, ran
     return scored.orderBy(*ranking_order()) if ranked else scored
 
 
+def ranking(scored: DataFrame) -> DataFrame:
+    """All entities with their place in the ranking, counted from 1.
+
+    Places come from slice totals (class, score and a stretch of ids), so no task sorts everything.
+    """
+    order = F.struct(
+        class_order(F.col("risk_class")).alias("c"), F.coalesce(-F.col("score"), F.lit(float("inf"))).alias("s"),
+        F.floor(F.col("entity_id") / F.lit(RANKING_STRETCH)).alias("e"),
+    )
+    numbered = number_rows(scored, [], ["entity_id"], order)
+    return numbered.withColumn("place", F.col("position") + 1).drop("position")
+
+
+RANKING_STRETCH = 100_000
+
+
 def score_legacy(
     indicators: DataFrame, dim: DataFrame, flag_text: DataFrame, autonomy: DataFrame, window: Window
 ) -> DataFrame:
@@ -163,11 +194,6 @@ def score_legacy(
     in_years = F.col("year").between(window.start_year, window.end_year)
     weight = F.when(F.col("delivered"), A.recency_weight(F.col("year"), window.last_closed_year, window.start_year))
     valid_liquidity = in_years & F.col("liquidity").isNotNull()
-    recency = (
-        F.col("year").cast("bigint") * 10_000
-        + F.coalesce("fiscal_period", F.lit(0)).cast("bigint") * 10
-        + F.when(F.col("fiscal_regime") == "Q", 1).otherwise(0)
-    )
     delay = A.report_delay_days(F.col("year"), F.col("fiscal_period"), F.col("fiscal_regime"), window.as_of)
     picked = F.struct(F.col("liquidity"), F.col("liquidity_partial"), delay.alias("delay_days"))
     chronic = F.col("arrears_pct") > P.CHRONIC_ARREARS_PCT
@@ -181,7 +207,7 @@ def score_legacy(
         F.count_if(in_years & valid_arrears & chronic).alias("chronic_years"),
         F.max_by("arrears_pct", F.when(valid_arrears, F.col("year"))).alias("arrears_pct_latest"),
         F.count_if(F.col("budget_exec").isNotNull() & weight.isNotNull()).alias("_budget_years"),
-        F.max_by(picked, F.when(valid_liquidity, recency)).alias("_pick"),
+        F.max_by(picked, F.when(valid_liquidity, A.record_recency())).alias("_pick"),
     )
     risk = flag_text.select("entity_id", text_severity(F.col("pending_text")).alias("compliance_risk"))
     rows = hub_join(

@@ -51,7 +51,7 @@ def cluster_settings(input_bytes: int, cores: int) -> dict[str, str]:
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
-        "spark.sql.files.maxPartitionBytes": "256MB" if input_bytes > 1 << 40 else "128MB",
+        "spark.sql.files.maxPartitionBytes": "256MB",
     }
 
 

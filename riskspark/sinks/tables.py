@@ -1,19 +1,23 @@
 """Writers: append, keyed upsert, slice replacement, partitioned materialisation, exports.
 
-Nothing here deletes first and inserts later. Replacement is Spark's dynamic partition
-overwrite, which swaps whole partitions when the job commits, so a lost executor or a failed
-job leaves the old data in place and a rerun gives the same table.
+Slices are replaced by Spark's dynamic partition overwrite, upserts and snapshots by renaming staged
+partition folders into place. Either way a failed write leaves the old rows; a job that dies between two
+renames leaves some partitions new and some old, and a rerun completes it.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskspark import params as P
 from riskspark.operators.dedupe import dedupe_keep_last, keep_first
 from riskspark.operators.quality import key_checks, missing_columns, raise_on_violations
-from riskspark.session import path_exists, work_path
+from riskspark.session import work_path
+from riskspark.sinks.storage import read_note, remove, swap_partitions, write_note
 
 BUCKET = "_bucket"
 
@@ -58,15 +62,36 @@ def _checked_batch(
 def merge_rows(target: DataFrame, batch: DataFrame, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
     """Target with the batch merged in: matched keys updated, others inserted.
 
-    With ``newest`` the row that sorts first wins instead of the batch, for late arrivals.
+    With ``newest`` (a total order) the row that sorts first wins instead of the batch, for late arrivals.
     """
     if newest:
-        both = target.unionByName(batch, allowMissingColumns=True)
-        return keep_first(both, keys, newest)
+        return keep_first(target.unionByName(batch, allowMissingColumns=True), keys, newest)
     kept = target.join(batch.select(*keys), keys, "left_anti")
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
+def fitted(batch: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The batch with a stored table's types; columns it lacks are NULL, new ones follow.
+
+    A value that does not fit a key's stored type fails the job: it would become another key.
+    """
+    columns = []
+    for field in schema:
+        if field.name not in batch.columns:
+            columns.append(F.lit(None).cast(field.dataType).alias(field.name))
+        elif field.name in keys and batch.schema[field.name].dataType != field.dataType:
+            old, new = F.col(field.name), F.col(field.name).try_cast(field.dataType)
+            wrong = F.raise_error(F.concat(F.lit(f"{field.name} does not fit the table: "), old.cast("string")))
+            columns.append(F.when(old.isNull() | new.isNotNull(), new).otherwise(wrong).alias(field.name))
+        else:
+            columns.append(F.col(field.name).cast(field.dataType).alias(field.name))
+    known = set(schema.names)
+    return batch.select(*columns, *[c for c in batch.columns if c not in known])
+
+
+ROWS_PER_BUCKET = 5_000_000
+
+
 def upsert(
     batch: DataFrame,
     path: str,
@@ -74,32 +99,56 @@ def upsert(
     sequence: str,
     newest: list[Column] | None = None,
     state: str | None = None,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> None:
     """Keyed merge into a Parquet table partitioned by a hash bucket of the key.
 
-    A key always falls into the same bucket, so only buckets the batch touches are read and
-    rewritten. The merged rows are staged in the shared work folder first, since Spark must not
-    read and overwrite the same partition in one job.
+    Bucket count, column types and keys are stored with the table at its first load and hold from then
+    on: later batches are fitted to them, another bucket count or key is an error, new columns are
+    added. Without ``buckets`` the first load sets their number by its rows. Only buckets that the
+    batch touches are read, and each is written once. Ties of ``newest`` are settled by the sequence
+    and then by all columns, so the result does not depend on partitioning.
     """
     spark = batch.sparkSession
-    clean = _checked_batch(batch, keys, [], sequence, state, newest)
+    note = read_note(spark, path)
+    if note:
+        stored = T.StructType.fromJson(note["schema"])
+        if note["keys"] != keys:
+            raise ValueError(f"the table's key is {note['keys']}, not {keys}")
+        if buckets not in (None, note["buckets"]):
+            raise ValueError(f"the table has {note['buckets']} buckets, not {buckets}")
+        buckets, batch = note["buckets"], fitted(batch, stored, keys)
+    rest = [c for c in sorted(batch.columns) if c not in keys]
+    total = [*newest, F.col(sequence).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest]] if newest else None
+    staged_batch, staged = work_path(spark, "upsert-batch"), work_path(spark, "upsert-merged")
+    _checked_batch(batch, keys, [], sequence, state, total).write.parquet(staged_batch)
+    clean = spark.read.schema(batch.schema).parquet(staged_batch)
+    if buckets is None:
+        buckets = max(64, -(-clean.count() // ROWS_PER_BUCKET))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in batch.schema])
     clean = clean.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
     merged = clean
-    if path_exists(spark, path):
-        staged_batch = work_path(spark, "upsert-batch")
-        clean.write.parquet(staged_batch)
-        clean = spark.read.parquet(staged_batch)
+    if note:
         touched = [r[BUCKET] for r in clean.select(BUCKET).distinct().collect()]  # at most ``buckets`` ints
-        target = spark.read.parquet(path).filter(F.col(BUCKET).isin(touched))
-        merged = merge_rows(target, clean, [*keys, BUCKET], newest)
-    staged = work_path(spark, "upsert-merged")
-    merged.write.parquet(staged)
-    replace_partitions(spark.read.parquet(staged), path, [BUCKET])
+        target = _stored_rows(spark, path, schema).filter(F.col(BUCKET).isin(touched))
+        merged = merge_rows(target, clean, [*keys, BUCKET], total)
+    # the schema only ever grows, so the old files read well with the new note
+    write_note(spark, path, {"buckets": buckets, "keys": keys, "schema": json.loads(schema.json())})
+    merged.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(staged)
+    swap_partitions(spark, staged, path)
+    remove(spark, staged_batch)
+
+
+def _stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("mergeSchema", True).parquet(path).drop(BUCKET)
+    """All rows with the table's stored columns, whichever files have them."""
+    note = read_note(spark, path)
+    if note is None:
+        raise ValueError(f"{path} is no upserted table")
+    return _stored_rows(spark, path, T.StructType.fromJson(note["schema"])).drop(BUCKET)
 
 
 def typed(df: DataFrame, schema: dict[str, str]) -> DataFrame:
@@ -113,7 +162,7 @@ def typed(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 
 def typed_upsert(
-    batch: DataFrame, path: str, schema: dict[str, str], keys: list[str], sequence: str, buckets: int = 64
+    batch: DataFrame, path: str, schema: dict[str, str], keys: list[str], sequence: str, buckets: int | None = None
 ) -> None:
     """Upsert with declared types; ``updated_at`` is stamped on inserted and updated rows only."""
     rows = typed(batch, {**schema, sequence: "bigint"}).withColumn("updated_at", F.current_timestamp())
@@ -140,22 +189,26 @@ def append_slice(
     clean.hint("rebalance", *parts).write.mode("append").partitionBy(*parts).parquet(path)
 
 
-def evolve(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Target plus batch; columns new on either side are added as NULL on the other."""
-    return target.unionByName(batch, allowMissingColumns=True)
-
-
 def fill_columns(df: DataFrame, defaults: dict[str, tuple[str, object]], order: list[str]) -> DataFrame:
     """Add absent columns with their typed default, then fix the column order."""
     absent = {c: F.lit(value).cast(kind) for c, (kind, value) in defaults.items() if c not in df.columns}
     return (df.withColumns(absent) if absent else df).select(*order)
 
 
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def export_csv(df: DataFrame, path: str, order: list[Column], single_file: bool = False) -> None:
-    """Sorted CSV with header. Range-partitioned sort; one file only when asked for."""
+    """Sorted CSV with header and a UTF-8 byte-order mark at the start of every file.
+
+    The order is that of a range-partitioned sort, file after file; one file only when asked for.
+    The mark is part of the first column's title, which is where the writer starts a file.
+    """
     rows = df.orderBy(*order)
     rows = rows.coalesce(1) if single_file else rows
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    first, *others = df.columns
+    marked = rows.select(F.col(first).alias(BYTE_ORDER_MARK + first), *others)
+    marked.write.mode("overwrite").option("header", True).csv(path)
 
 
 # --- serving records ---------------------------------------------------------------------

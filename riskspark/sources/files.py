@@ -34,12 +34,16 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files; a file that is not valid UTF-8 as a whole is read as Latin-1."""
+    """Lines of text files; a file that is not valid UTF-8 as a whole is read as Latin-1.
+
+    Which files those are is found first. The driver lists all files anyway, so their names are no
+    more than it holds already, and no line is shuffled.
+    """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    valid = raw.groupBy("_file").agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8"))
+    other = [r["_file"] for r in raw.filter(~F.is_valid_utf8("value")).select("_file").distinct().collect()]
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    lines = raw.join(valid, "_file").withColumn("value", F.when(F.col("_utf8"), F.col("value")).otherwise(latin))
-    return lines.withColumn("value", F.regexp_replace("value", "^﻿", "")).drop("_utf8")
+    lines = raw.withColumn("value", F.when(F.col("_file").isin(other), latin).otherwise(F.col("value")))
+    return lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
 
 
 def _header_names(lines: DataFrame, is_header: Column, separator: str) -> list[str]:
@@ -49,7 +53,7 @@ def _header_names(lines: DataFrame, is_header: Column, separator: str) -> list[s
     return [name.strip().strip('"') for name in found[0].rstrip("\r").split(separator)]
 
 
-def _parse_rows(lines: DataFrame, names: list[str], separator: str, keep: list[str]) -> DataFrame:
+def _parse_rows(lines: DataFrame, names: list[str], separator: str, keep: list[Column]) -> DataFrame:
     schema = ", ".join(f"_c{i} string" for i in range(len(names)))
     parsed = lines.withColumn("_row", F.from_csv("value", F.lit(schema), {"sep": separator, "mode": "PERMISSIVE"}))
     return parsed.select(*keep, *[F.col(f"_row._c{i}").alias(name) for i, name in enumerate(names)])
@@ -77,10 +81,13 @@ def read_preamble_csv(spark: SparkSession, path: str, key_word: str = "IBGE", se
     is_header = F.upper("value").contains(key_word) & F.col("value").contains(separator)
     names = _header_names(lines, is_header, separator)
     date_text = F.trim(F.replace(F.regexp_replace("value", '"', ""), F.lit(SURVEY_DATE_PREFIX), F.lit("")))
-    dates = lines.filter(is_date).groupBy("_file").agg(F.max(date_text).alias("survey_date"))
+    found = lines.filter(is_date).groupBy(date_text.alias("date")).agg(F.collect_set("_file").alias("files")).collect()
+    # a date line per file: the files' names again, by date; the last date of a file counts
+    date_of = [F.when(F.col("_file").isin(r["files"]), r["date"]) for r in sorted(found, key=lambda r: r["date"], reverse=True)]
+    survey_date = F.coalesce(*date_of, F.lit(None).cast("string")).alias("survey_date")
     n_separators = F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))
     rows = lines.filter(~is_date & ~is_header & (n_separators >= len(names) - 1))
-    return _parse_rows(rows.join(dates, "_file", "left"), names, separator, ["survey_date"])
+    return _parse_rows(rows, names, separator, [survey_date])
 
 
 def read_jsonl_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -136,7 +143,6 @@ NAME_CONTAINS = ["nomemunicipio", "instituicao"]
 NOTE_EXACT = [["Nota 1", "Nota_1"], ["Nota 2", "Nota_2"], ["Nota 3", "Nota_3"]]
 GRADE_EXACT = ["capag", "capag{next_year}", "capagoficial", "classificacaocapag"]
 GRADE_EXCLUDED = ["rebaixada", "origem"]
-HEADER_SEARCH_ROWS = 40
 
 
 def _first_position(keys: Column, test) -> Column:
@@ -175,14 +181,15 @@ def sheet_rank(name: Column) -> Column:
     return F.when(key.contains("previa") & key.contains("capag"), 0).when(key.contains("capag"), 1).otherwise(2)
 
 
-def discover_columns(rows: DataFrame) -> DataFrame:
+def discover_columns(rows: DataFrame, search_rows: int | None = None) -> DataFrame:
     """Extracted sheet rows -> graded entities.
 
     ``rows``: file, sheet, row_index, year, cells (array of text). Per file the header is the
-    first row, by sheet preference, that names a code, a state and a grade column.
+    first row, by sheet preference, that names a code, a state and a grade column, among all rows or
+    the first ``search_rows`` of a sheet. A file without such a row fails the job.
     """
     keys = F.transform("cells", normalize_key)
-    head = rows.filter(F.col("row_index") < HEADER_SEARCH_ROWS).withColumn("_keys", keys)
+    head = (rows.filter(F.col("row_index") < search_rows) if search_rows else rows).withColumn("_keys", keys)
     head = head.withColumns(
         {
             "_code": find_column(F.col("_keys"), CODE_EXACT, CODE_CONTAINS),
@@ -199,8 +206,10 @@ def discover_columns(rows: DataFrame) -> DataFrame:
     header = head.filter(usable).groupBy("file").agg(
         F.min_by(found, F.struct(sheet_rank(F.col("sheet")), F.col("sheet"), F.col("row_index"))).alias("_h")
     )
-    body = rows.join(header.select("file", "_h.*"), "file")
-    body = body.filter((F.col("sheet") == F.col("_sheet")) & (F.col("row_index") > F.col("_at")))
+    body = rows.join(header.select("file", "_h.*"), "file", "left")
+    no_header = F.raise_error(F.concat(F.lit("no header row in "), F.coalesce("file", F.lit("NULL")))).cast("boolean")
+    below = (F.col("sheet") == F.col("_sheet")) & (F.col("row_index") > F.col("_at"))
+    body = body.filter(F.when(F.col("_at").isNull(), no_header).otherwise(below))
 
     def cell(position: str) -> Column:
         return F.get(F.col("cells"), F.col(position))

@@ -1,31 +1,37 @@
 """Incremental loads with file-source streams: every new file is taken once.
 
-Late or repeated records need no watermark: the newest update of a key wins, whatever order the
-files arrive in, and replaying a micro-batch changes nothing.
+Late or repeated records need no watermark: the newest update of a key wins, whatever order the files
+arrive in, and replaying a micro-batch changes nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskspark.sinks.tables import replace_slice, upsert
+from riskspark.operators.dedupe import dedupe_latest
+from riskspark.session import path_exists, work_path
+from riskspark.sinks.storage import remove
+from riskspark.sinks.tables import replace_partitions, replace_slice, upsert
+
+FAIL, SKIP = "FAILFAST", "DROPMALFORMED"  # skipping bad lines is the rule for procurement files only
 
 
 def load_new_files(
     spark: SparkSession, source: str, schema: str, checkpoint: str, load: Callable[[DataFrame, int], None],
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None, bad_lines: str = FAIL,
 ) -> None:
-    """Run ``load`` on micro-batches of unseen JSON files until none is left."""
-    stream = (
-        spark.readStream.schema(schema)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .option("mode", "DROPMALFORMED")
-        .json(source)
-    )
-    writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    """Run ``load`` on micro-batches of unseen JSON files until none is left.
+
+    All unseen files form one micro-batch unless ``files_per_batch`` splits them.
+    """
+    reader = spark.readStream.schema(schema).option("mode", bad_lines)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    writer = reader.json(source).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
@@ -38,21 +44,29 @@ def incremental_upsert(
     keys: list[str],
     sequence: str,
     newest: list[Column],
-    files_per_batch: int = 1000,
-    buckets: int = 64,
+    files_per_batch: int | None = None,
+    buckets: int | None = None,
+    bad_lines: str = FAIL,
 ) -> None:
     """Keep the newest version of each key in ``target``."""
 
     def load(batch: DataFrame, _batch_id: int) -> None:
         upsert(batch, target, keys, sequence, newest=newest, buckets=buckets)
 
-    load_new_files(spark, source, schema, checkpoint, load, files_per_batch)
+    load_new_files(spark, source, schema, checkpoint, load, files_per_batch, bad_lines)
+
 
+def newest_loads(landed: DataFrame, parts: list[str], load: str) -> DataFrame:
+    """All landed rows of each slice's newest load."""
+    last = landed.groupBy(*parts).agg(F.max(load).alias("_last"))
+    return landed.join(last, parts).filter(F.col(load) == F.col("_last")).drop("_last")
 
-def newest_loads(batch: DataFrame, slice_columns: list[str], load: str) -> DataFrame:
-    """Of several loads of the same slice keep only the last one's rows."""
-    last = batch.groupBy(*slice_columns).agg(F.max(load).alias("_last"))
-    return batch.join(last, slice_columns).filter(F.col(load) == F.col("_last")).drop("_last")
+
+def _fingerprint(rows: DataFrame, parts: list[str], load: str) -> DataFrame:
+    """Per slice: its load and an order-free digest of its rows."""
+    columns = sorted(rows.columns)
+    digest = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
+    return rows.groupBy(*parts).agg(F.max(load).alias("_load"), F.count(F.lit(1)).alias("_rows"), digest.alias("_digest"))
 
 
 def incremental_replace_slice(
@@ -65,16 +79,38 @@ def incremental_replace_slice(
     slice_columns: list[str],
     sequence: str,
     load_column: str,
-    files_per_batch: int = 1000,
+    files_per_batch: int | None = None,
+    bad_lines: str = FAIL,
 ) -> None:
-    """Replace the (state, slice) parts each micro-batch carries.
+    """Each (state, slice) of ``target`` holds all rows of its newest load, numbered by ``load_column``.
 
-    A load holds whole slices and is numbered by ``load_column``; when one micro-batch holds
-    several loads of a slice, the highest number wins.
+    Micro-batches only land their rows beside the checkpoint, one folder per batch, so a replayed batch
+    lands in its own place again. When no file is left, every slice whose newest landed load differs
+    from what the target holds is replaced by all landed rows of that load. So a load may be split over
+    any number of batches and runs, an older load that arrives late changes nothing, and a run that died
+    half way is completed by the next one. The target keeps the load number.
     """
-
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        rows = newest_loads(batch, ["state", *slice_columns], load_column)
-        replace_slice(rows, target, keys, slice_columns, sequence)
-
-    load_new_files(spark, source, schema, checkpoint, load, files_per_batch)
+    parts = ["state", *[c for c in slice_columns if c != "state"]]
+    landing = f"{checkpoint.rstrip('/')}-landing"
+
+    def land(batch: DataFrame, batch_id: int) -> None:
+        replace_partitions(batch.withColumn("_batch", F.lit(batch_id)), landing, ["_batch"])
+
+    load_new_files(spark, source, schema, checkpoint, land, files_per_batch, bad_lines)
+    if not path_exists(spark, landing):
+        return
+    landed = spark.read.schema(f"{schema}, _batch bigint").parquet(landing).drop("_batch")
+    complete = dedupe_latest(newest_loads(landed, parts, load_column), keys, [sequence])
+    wanted = _fingerprint(complete, parts, load_column)
+    if path_exists(spark, target):
+        held = _fingerprint(spark.read.schema(complete.schema).parquet(target), parts, load_column)
+        same = [*parts, "_load", "_rows", "_digest"]
+        held = held.withColumnsRenamed({c: f"_h{c}" for c in same})
+        equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{c}")) for c in same])
+        wanted = wanted.join(held, equal, "left_anti")
+    changed = work_path(spark, "changed-slices")
+    wanted.select(*parts).write.parquet(changed)
+    slices = spark.read.parquet(changed)
+    if not slices.isEmpty():
+        replace_slice(complete.join(slices, parts, "left_semi"), target, keys, slice_columns, sequence)
+    remove(spark, changed)

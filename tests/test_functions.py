@@ -83,6 +83,7 @@ def test_parse_bool(evaluate):
 
 
 def test_sanitize_names():
+    assert X.sanitize_names(["a", "a", "a_1", "A"]) == ["a", "a_1", "a_1_1", "a_2"]
     assert X.sanitize_names(["data coleta", "1.1", "A", "a", "_x", "__"]) == ["data_coleta", "c_1_1", "a", "a_1", "x", "col_5"]
 
 

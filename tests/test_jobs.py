@@ -15,6 +15,7 @@ from riskspark.plans import score
 from riskspark.plans import staging
 from riskspark.sinks import tables as K
 from riskspark.sources import files as R
+from riskspark.streaming import incremental as X
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -121,6 +122,83 @@ def test_upsert_adds_new_columns(spark, tmp_path):
     assert as_rows(K.read_upserted(spark, path).select("id", "extra")) == [(1, None), (2, 7)]
 
 
+def test_upsert_keeps_columns_that_a_later_batch_lacks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = [(i, "PB", 2024, "a", 1) for i in range(200)]
+    K.upsert(ledger(spark, rows), path, ["id"], "seq", buckets=4)
+    K.upsert(ledger(spark, rows[:3]).withColumn("extra", F.lit(7)), path, ["id"], "seq")
+    K.upsert(ledger(spark, rows[3:]), path, ["id"], "seq")
+    got = K.read_upserted(spark, path)
+    assert (got.count(), got.filter("extra = 7").count()) == (200, 3)
+
+
+def test_upsert_holds_to_the_stored_buckets_keys_and_types(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = ledger(spark, [(i, "PB", 2024, "a", 1) for i in range(100)])
+    K.upsert(rows, path, ["id"], "seq", buckets=8)
+    K.upsert(rows, path, ["id"], "seq")
+    K.upsert(rows.withColumn("id", F.col("id").cast("int")), path, ["id"], "seq")
+    K.upsert(rows.withColumn("id", F.col("id").cast("string")), path, ["id"], "seq")
+    assert K.read_upserted(spark, path).count() == 100
+    with pytest.raises(ValueError, match="8 buckets"):
+        K.upsert(rows, path, ["id"], "seq", buckets=64)
+    with pytest.raises(ValueError, match="key is"):
+        K.upsert(rows, path, ["id", "state"], "seq")
+    with pytest.raises(Exception, match="does not fit"):
+        K.upsert(rows.withColumn("id", F.lit("x1")), path, ["id"], "seq")
+    assert K.read_upserted(spark, path).count() == 100
+    assert [f for f in (tmp_path / "t").iterdir() if f.name.startswith("_replaced")] == []
+
+
+def test_upsert_settles_ties_by_sequence_then_content(spark, tmp_path):
+    batch = ledger(spark, [(1, "PB", 2024, v, s) for v, s in (("a", 1), ("c", 2), ("b", 2))])
+    for n in (1, 5):
+        path = str(tmp_path / f"t{n}")
+        K.upsert(batch.repartition(n), path, ["id"], "seq", newest=[F.col("year").desc()], buckets=2)
+        assert as_rows(K.read_upserted(spark, path).select("v")) == [("c",)]
+
+
+LOAD_SCHEMA = "id bigint, state string, year bigint, price double, seq bigint, load_id bigint"
+
+
+def arrive(spark, source, load, rows, files):
+    frame = spark.createDataFrame([(i, s, y, p, 0, load) for i, s, y, p in rows], LOAD_SCHEMA)
+    frame.repartition(files).write.mode("append").json(source)
+
+
+def replace_new(spark, tmp_path, **options):
+    X.incremental_replace_slice(
+        spark, str(tmp_path / "in"), LOAD_SCHEMA, str(tmp_path / "t"), str(tmp_path / "cp"), ["id"], ["year"], "seq", "load_id", **options
+    )
+    return as_rows(spark.read.parquet(str(tmp_path / "t")).select("id", "price"))
+
+
+@pytest.mark.parametrize("files_per_batch", [1, 3, None])
+def test_a_load_split_over_batches_and_runs_keeps_all_rows(spark, tmp_path, files_per_batch):
+    source = str(tmp_path / "in")
+    first = [(i, "PB" if i % 2 else "CE", 2020 + i % 2, 1.0) for i in range(40)]
+    arrive(spark, source, 1, first, 4)
+    assert replace_new(spark, tmp_path, files_per_batch=files_per_batch) == sorted(((i, p) for i, _, _, p in first), key=str)
+    second = [(i, "PB", 2021, 2.0) for i in range(1, 40, 2)]
+    arrive(spark, source, 2, second[:10], 2)
+    replace_new(spark, tmp_path, files_per_batch=files_per_batch)
+    arrive(spark, source, 2, second[10:], 2)  # the rest of load 2 in a later run
+    arrive(spark, source, 1, [(99, "PB", 2021, 9.0)], 1)  # an older load, late
+    got = dict(replace_new(spark, tmp_path, files_per_batch=files_per_batch))
+    assert got == {**{i: 1.0 for i in range(0, 40, 2)}, **{i: 2.0 for i in range(1, 40, 2)}}
+    before = sorted(f.name for f in (tmp_path / "t").rglob("*.parquet"))
+    assert dict(replace_new(spark, tmp_path)) == got  # nothing new: nothing is rewritten
+    assert sorted(f.name for f in (tmp_path / "t").rglob("*.parquet")) == before
+
+
+def test_a_bad_line_fails_a_load_unless_told_to_skip(spark, tmp_path):
+    arrive(spark, str(tmp_path / "in"), 1, [(1, "PB", 2020, 1.0)], 1)
+    (tmp_path / "in" / "bad.json").write_text('{"id": 2, "state"\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        replace_new(spark, tmp_path)
+    assert replace_new(spark, tmp_path, bad_lines=X.SKIP) == [(1, 1.0)]
+
+
 def test_replace_slice_touches_only_its_slices(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = [(1, "PB", 2023, "a", 1), (2, "PB", 2024, "b", 1), (3, "CE", 2024, "c", 1)]
@@ -154,14 +232,26 @@ def snapshot(spark, **changes):
 
 def publish(df, tmp_path):
     moment = datetime(2026, 5, 1, 12)
-    H.publish_snapshot(df, str(tmp_path / "s"), str(tmp_path / "log"), "r1", date(2026, 5, 1), moment, "v8")
+    run = H.Run("r1", date(2026, 5, 1), moment, "v8", pipeline_mode="full", notes="n")
+    H.publish_snapshot(df, str(tmp_path / "s"), str(tmp_path / "log"), run)
 
 
 def test_snapshot_day_is_replaced_and_run_logged(spark, tmp_path):
     publish(snapshot(spark), tmp_path)
     publish(snapshot(spark, score=60.0), tmp_path)
     assert [r.score for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [60.0]
-    assert sorted(r.score_avg for r in spark.read.parquet(str(tmp_path / "log")).collect()) == [50.0, 60.0]
+    log = spark.read.parquet(str(tmp_path / "log")).collect()
+    assert sorted(r.score_avg for r in log) == [50.0, 60.0]
+    assert {(r.pipeline_mode, r.source_mode, r.notes, r.status) for r in log} == {("full", None, "n", "SUCCESS")}
+    assert spark.read.parquet(str(tmp_path / "s")).columns.count("arrears_missing") == 1
+
+
+def test_refused_snapshot_changes_nothing(spark, tmp_path):
+    publish(snapshot(spark), tmp_path)
+    with pytest.raises(ValueError, match="score_out_of_range"):
+        publish(snapshot(spark, score=101.0), tmp_path)
+    assert [r.score for r in spark.read.parquet(str(tmp_path / "s")).collect()] == [50.0]
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 1
 
 
 @pytest.mark.parametrize(
@@ -204,6 +294,18 @@ def test_ranking_file(spark, tmp_path):
     assert (got["2504009"].name, got["2504009"].state, got["2504009"].grade) == ("Água Branca", "PB", "D")
 
 
+def test_sheets_need_a_header_row_but_not_near_the_top(spark):
+    head = ["UF", "Cod.IBGE", "Município", "CAPAG"]
+    rows = [("a", "capag", 60, 2020, head), ("a", "capag", 61, 2020, ["PB", "2504009", "X", "A"])]
+    schema = "file string, sheet string, row_index long, year int, cells array<string>"
+    assert [r.grade for r in R.discover_columns(spark.createDataFrame(rows, schema)).collect()] == ["A"]
+    rows.append(("b", "capag", 0, 2020, ["PB", "2504009", "X", "A"]))
+    with pytest.raises(Exception, match="no header row in b"):
+        R.discover_columns(spark.createDataFrame(rows, schema)).collect()
+    with pytest.raises(Exception, match="no header row in a"):
+        R.discover_columns(spark.createDataFrame(rows[:2], schema), search_rows=40).collect()
+
+
 def test_ranking_file_contract(spark, tmp_path):
     (tmp_path / "r.csv").write_text("ID_ENTE;UF\n1;PB\n")
     with pytest.raises(ValueError, match="file lacks columns: .*NO_ICF"):

@@ -14,6 +14,7 @@ from riskspark.operators import flags as FL
 from riskspark.operators import ranks as RK
 from riskspark.operators.asof import attach_rating
 from riskspark.plans import history as H
+from riskspark.plans import postprocess as PP
 from riskspark.plans import staging
 from riskspark.plans.postprocess import Window
 
@@ -71,11 +72,45 @@ def test_small_group_metrics(spark):
     assert (row.base, row.n_pairs, row.spearman, row.auc, row.reading) == (P.BASE_TOTAL, 2, None, None, P.READ_TOO_SMALL)
 
 
-def test_student_tail_matches_known_quantiles():
-    # Two-sided 5 % points of Student's t for 1, 10 and 1000 degrees of freedom.
-    for t, degrees in ((12.706205, 1), (2.228139, 10), (1.962339, 1000)):
-        assert RK.student_tail(t, degrees) == pytest.approx(0.05, abs=1e-6)
-        assert RK.student_tail(-t, degrees) == pytest.approx(0.05, abs=1e-6)
+def test_student_tail_matches_known_quantiles(spark):
+    # Two-sided 5 % points of Student's t for 1, 10, 1000 and very many degrees of freedom.
+    points = [(12.706205, 1.0), (2.228139, 10.0), (1.962339, 1000.0), (1.959964, 1e9)]
+    rows = spark.createDataFrame([(s * t, d) for t, d in points for s in (1, -1)], "t double, d double")
+    for row in rows.select(RK.student_tail(F.col("t"), F.col("d")).alias("p")).collect():
+        assert row.p == pytest.approx(0.05, abs=1e-6)
+
+
+def test_value_slices_never_fall(spark):
+    rng = random.Random(4)
+    values = sorted([0.0, 1e-300, -1e-300, 1.0, 2.0, 4.0, 0.1, 1e18] + [s * 10 ** rng.uniform(-14, 14) for s in (1, -1) for _ in range(400)])
+    slices = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").coalesce(1).select(RK.value_slice(F.col("v"))).collect()]
+    assert slices == sorted(slices) and len(set(slices)) > 700
+
+
+def test_null_groups_are_groups(spark):
+    rows = [("a", 1.0, 2.0), ("a", 2.0, 5.0), (None, 1.0, 9.0), (None, 2.0, 1.0)]
+    counts = RK.pair_counts(spark.createDataFrame(rows, "g string, x double, y double"), ["g", "x", "y"])
+    assert as_rows(RK.spearman(counts, ["g"], "x", "y")) == [("a", 2, 1.0), (None, 2, -1.0)]
+    assert {r.g: r.auc for r in RK.auc(counts, ["g"], "x", F.col("y") > 3).collect()} == {"a": 0.0, None: 1.0}
+
+
+def test_default_ratings_and_years_off_the_grid(spark):
+    columns = ("entity_id long, state string, year long, in_grid boolean, has_budget boolean, has_fiscal boolean,"
+               " revenue_planned double, revenue_realized double, arrears_pct double, rating_factor double,"
+               " rating_preliminary boolean, rating_stale boolean, rating_missing boolean")
+
+    def row(entity, state, year, in_grid, pct, factor):
+        return (entity, state, year, in_grid, True, False, 1.0, 1.0, pct, factor, False, False, False)
+
+    rows = [row(1, "PB", 2024, True, 1.0, 1.0), row(1, "PB", 2023, False, 1.0, 0.8), row(2, "PB", 2024, True, None, 0.9),
+            row(3, "CE", 2024, True, None, 0.9), row(4, None, 2024, False, 1.0, 0.9)]
+    got = {r.entity_id: tuple(r)[1:] for r in PP.arrears_rating(spark.createDataFrame(rows, columns)).collect()}
+    assert got == {1: (1.0, False, False, False), 3: (0.8, False, False, True)}
+
+
+def test_periods_that_are_all_null_give_no_budget_row(spark, lines):
+    blank = lines.withColumn("period", F.lit(None).cast("int")).withColumn("entity_id", F.lit(9).cast("long"))
+    assert ACC.budget_pivot(lines.unionByName(blank)).filter("entity_id = 9").count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -194,11 +229,13 @@ def test_coverage_counts(spark):
 def test_first_match_prefers_the_wanted_column(spark):
     rows = [
         (1, 1, "Receita", "Outra", "15"), (1, 2, " receita ", "Valor", "11"), (2, 1, "Receita", "Outra", "42"),
-        (3, 1, "Receita", "Valor", ""), (4, 1, "Receita", "Valor", "x"),
+        (3, 1, "Receita", "Valor", ""), (4, 1, "Receita", "Valor", "x"), (4, 2, "Receita", "Outra", "3"),
+        (5, 1, "Receita", "Outra", "x"), (5, 2**41, "Receita", "Outra", "8"), (5, 2**42, "Receita", "Outra", "9"),
+        (6, 2**43, "Receita", "Valor", "7"), (6, 1, "Receita", None, "5"),
     ]
     df = spark.createDataFrame(rows, "entity_id long, seq long, account_name string, column_label string, value string")
     got = {r.entity_id: r.first_value for r in ACC.first_match(df, ["entity_id"], "Valor").collect()}
-    assert got == {1: 11.0, 2: 42.0, 3: 0.0, 4: None}
+    assert got == {1: 11.0, 2: 42.0, 3: 0.0, 4: None, 5: 8.0, 6: 7.0}
 
 
 def test_flags_row(spark):
