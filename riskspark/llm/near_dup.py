@@ -42,7 +42,7 @@ FIRST_TREES = 3
 PATHS = 40  # minwise tokens kept at full width for branching
 BRANCH = 3
 DEPTH = 3
-NODE = 2048
+NODE = 8192  # members compared at once; a node of that size takes some 10 MB
 
 
 def _minwise(unique: np.ndarray, hashes: int) -> np.ndarray:
