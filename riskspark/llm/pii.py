@@ -315,7 +315,8 @@ def fit(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [body[a:b] for body in batch["_pii_text"] for a, b in regions(body) if b - a <= 400]
-            yield pd.DataFrame({"region": found})
+            if found:
+                yield pd.DataFrame({"region": found})
 
     texts = docs.select(F.col(doc_id).alias("_pii_id"), whole(text).alias("_pii_text"))
     found = texts.join(F.broadcast(chosen), "_pii_id").select("_pii_text").mapInPandas(cut, "region string")
@@ -354,7 +355,8 @@ def find(docs: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", tex
                 counts = [sum(s[0] == k for s in fixed) for k in range(len(KINDS))]
                 digest = hashlib.sha256(listed(fixed).encode()).hexdigest()
                 rows.append((None if pd.isna(key) else int(key), *counts, digest, listed(every), len(every) - len(fixed)))
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+            if rows:
+                yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("_pii_id"), whole(text).alias("_pii_text"))
     return texts.mapInPandas(run, schema)
