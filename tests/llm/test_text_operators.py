@@ -133,6 +133,8 @@ def test_personal_data_of_odd_texts(spark):
     assert all(r.spans == "" and r.base_sha256 == hashlib.sha256(b"").hexdigest() for r in empty)
     assert pii.find(docs(spark, []), {}).count() == 0
     assert pii.fit(docs(spark, [])) == {}
+    scattered = docs(spark, [(i, "no trigger here" if i % 5 else "call +1 (988) 555-2485 now") for i in range(20)]).repartition(20)
+    assert pii.fit(scattered)  # most partitions have no region at all
 
 
 # --- exact copies ------------------------------------------------------------------------
