@@ -38,9 +38,9 @@ from riskspark.llm.common import saved, whole
 from riskspark.llm.elias_fano import CODE_SCALE, Trie
 from riskspark.llm.words import U64, chunks, mix, word_hashes
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
 SHARD_WORDS = 500_000
-SHARD_PAIRS = 1_500_000
+SHARD_PAIRS = 1_000_000
 STRENGTH = 50.0
 END = 0x5EED0F7E27A1C0DE
 UNKNOWN = np.uint32(0xFFFFFFFF)
@@ -50,7 +50,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as byte planes, compressed: small numbers in wide types cost next to nothing."""
     planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), ord(a.dtype.char))]], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(planes))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
@@ -130,7 +130,11 @@ def _level1(blocks: DataFrame, bits: int) -> DataFrame:
         totals = np.zeros(len(found), np.int64)
         np.add.at(totals, index, counts)
         known = totals > 0
-        number = np.where(known, np.cumsum(known) - 1, int(UNKNOWN)).astype(np.uint32)
+        # frequent words get small numbers, which cost little wherever they are sent
+        order = np.lexsort((found, -totals))
+        number = np.empty(len(found), np.uint32)
+        number[order] = np.arange(len(found), dtype=np.uint32)
+        number[~known] = UNKNOWN
         ends = np.cumsum([len(w) for w in words])
         replies = [pack(number[i], totals[i]) for i in np.split(index, ends[:-1])]
         first = np.arange(len(words)) == 0
@@ -152,8 +156,11 @@ def _code(log10p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10p * CODE_SCALE), 0, 65535).astype(np.uint16)
 
 
-def _pairs(blocks: DataFrame, replies: DataFrame, base: dict[int, int], n: int, v: int, shards: int) -> DataFrame:
-    """Pairs of known words per shard, and per block what is known without a trie (``info``)."""
+def _pairs(blocks: DataFrame, replies: DataFrame, word_shards: int, n: int, v: int, shards: int) -> DataFrame:
+    """Pairs of known words per shard, and per block what is known without a trie (``info``).
+
+    A word's number is its rank in its shard times the number of shards, plus the shard.
+    """
     share = max(1.0, n / shards / 4)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +178,7 @@ def _pairs(blocks: DataFrame, replies: DataFrame, base: dict[int, int], n: int,
         numbers, counts = [], []
         for part in batch.column(3)[b]:  # in shard order, which is the order of the hashes
             local, totals = unpack(_bytes(part["reply"]))
-            numbers.append(np.where(local == UNKNOWN, -1, local.astype(np.int64) + base[part["shard"].as_py()]))
+            numbers.append(np.where(local == UNKNOWN, -1, local.astype(np.int64) * word_shards + part["shard"].as_py()))
             counts.append(totals)
         number, count = np.concatenate(numbers), np.concatenate(counts)
         single = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
@@ -279,14 +286,12 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     words, tokens = blocks.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     bits = max(4, (words // SHARD_WORDS).bit_length())
     replies = saved(_level1(blocks, bits), "lm-words")
-    sizes = replies.groupBy("shard").agg(F.sum("n_types").alias("types"), F.sum("n_tokens").alias("tokens")).collect()
-    base, v = {}, 0
-    for row in sorted(sizes, key=lambda r: r["shard"]):
-        base[row["shard"]] = v
-        v += row["types"]
-    n = sum(row["tokens"] for row in sizes)
+    # the first level's shuffle is done with; its files go when the driver collects its garbage
+    docs.sparkSession.sparkContext._jvm.System.gc()
+    sizes = replies.agg(F.sum("n_types").alias("types"), F.sum("n_tokens").alias("tokens")).first()
+    n, v = sizes["tokens"] or 0, sizes["types"] or 0
     shards = max(16, -(-tokens // SHARD_PAIRS))
-    scored = _pairs(blocks, replies, base, n, v, shards).groupBy("shard").applyInArrow(_score_shard, "block_id long, sums binary, info binary")
+    scored = _pairs(blocks, replies, 1 << bits, n, v, shards).groupBy("shard").applyInArrow(_score_shard, "block_id long, sums binary, info binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     gathered = scored.groupBy("block_id").applyInArrow(_gathered, schema)
     return gathered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
