@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from riskspark import params as P
 from riskspark.functions.text import label_matches
 
+GRID_YEARS = (1900, 2199)
 Rule = tuple[str, list[str], str | None, str | None]
 
 
@@ -101,14 +102,15 @@ def fiscal_pivot(lines: DataFrame) -> DataFrame:
 def entity_year_grid(dim: DataFrame, lines: DataFrame, by_state: bool = True) -> DataFrame:
     """Every entity times every year for which its state (or any state) has data.
 
-    The broadcast side has at most 27 states times the fiscal years on file; without the hint the
-    whole dimension would be shuffled onto 27 keys.
+    The broadcast side is bounded by the known states times a range of years, whatever the lines hold;
+    without the hint the whole dimension would be shuffled onto 27 keys.
     """
     has_data = F.col("account_code").isNotNull() & F.col("value").isNotNull()
     if not by_state:
         all_years = lines.filter(has_data).agg(F.collect_set("year")).scalar()
         return dim.select("entity_id", F.explode(all_years).alias("year"))
-    years = lines.filter(has_data).select("state", "year").distinct()
+    sane = F.col("state").isin(list(P.STATE_REGION)) & F.col("year").between(*GRID_YEARS)
+    years = lines.filter(has_data & sane).select("state", "year").distinct()
     return dim.join(F.broadcast(years), "state").select("entity_id", "year")
 
 
