@@ -203,13 +203,12 @@ def discover_columns(rows: DataFrame, search_rows: int | None = None) -> DataFra
     usable = named & F.col("_state").isNotNull() & F.col("_grade").isNotNull() & F.col("_code").isNotNull()
     positions = ["_code", "_name", "_state", "_grade", "_note1", "_note2", "_note3"]
     found = F.struct(F.col("sheet").alias("_sheet"), F.col("row_index").alias("_at"), *positions)
-    header = head.filter(usable).groupBy("file").agg(
-        F.min_by(found, F.struct(sheet_rank(F.col("sheet")), F.col("sheet"), F.col("row_index"))).alias("_h")
-    )
-    body = rows.join(header.select("file", "_h.*"), "file", "left")
-    no_header = F.raise_error(F.concat(F.lit("no header row in "), F.coalesce("file", F.lit("NULL")))).cast("boolean")
-    below = (F.col("sheet") == F.col("_sheet")) & (F.col("row_index") > F.col("_at"))
-    body = body.filter(F.when(F.col("_at").isNull(), no_header).otherwise(below))
+    order = F.when(usable, F.struct(sheet_rank(F.col("sheet")), F.col("sheet"), F.col("row_index")))
+    header = head.groupBy("file").agg(F.min_by(found, order).alias("_h"))
+    no_header = F.raise_error(F.concat(F.lit("no header row in "), F.coalesce("file", F.lit("NULL"))))
+    header = header.withColumn("_h", F.when(F.col("_h").isNull(), no_header).otherwise(F.col("_h")))
+    body = rows.join(header.select("file", "_h.*"), "file")
+    body = body.filter((F.col("sheet") == F.col("_sheet")) & (F.col("row_index") > F.col("_at")))
 
     def cell(position: str) -> Column:
         return F.get(F.col("cells"), F.col(position))
