@@ -11,10 +11,13 @@ windows that hold one of the item's shingles; this leaves out nothing that verif
 At similarity 0.8 about 19 bits differ with a deviation of 4; RADIUS is five deviations above.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. A shingle that f items
-share weighs 1 / f, any other 1.
+share weighs 1 / f, any other 1. Items of the same words count once in f, so repeating an item changes
+no match.
 
 The index is built in the driver from at most ``INDEX_BYTES`` of benchmark text; a larger benchmark is
-cut into parts by a hash of the item id, and all documents are searched once per part.
+cut into parts by a hash of the item, and all documents are searched once per part. The weights are
+counted once over the whole benchmark and are the same in every part, so the parts together give exactly
+the matches of one index. Shared shingles (f > 1) are held in the driver and broadcast, 16 bytes each.
 
 Defined results: NULL text is empty; an empty item matches nothing; an item shorter than the shingle is
 one shingle and matches the same run of words; a document shorter than an item is one window. One row
@@ -26,6 +29,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -57,23 +62,54 @@ def _signs(hashes: np.ndarray) -> np.ndarray:
     return bits.astype(np.float32) * 2 - 1
 
 
+class Weights:
+    """1 / f of the shingles that several items share; any other shingle weighs 1."""
+
+    def __init__(self, hashes: np.ndarray, frequency: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.values = hashes[order], 1.0 / frequency[order]
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            shared = self.hashes[at] == hashes
+            out[shared] = self.values[at[shared]]
+        return out
+
+
+def shared_weights(items: DataFrame) -> Weights:
+    """Weights over all items (column body): f counts the distinct word sequences that hold a shingle."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high in chunks(batch.column(0)):
+                words, at = word_hashes(_lowered(batch.column(0).slice(low, high - low)), alnum_only=True)
+                own = [words[a:b] for a, b in pairwise(at)]
+                held = [np.unique(shingles(w, SIZE)) for w in own]
+                names = [int.from_bytes(blake2b(w.tobytes(), digest_size=8).digest(), "little", signed=True) for w in own]
+                columns = [np.concatenate(held).view(np.int64), np.repeat(np.array(names, np.int64), [len(h) for h in held])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["shingle", "item"])
+
+    found = items.select("body").mapInArrow(cut, "shingle long, item long").distinct()
+    shared = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("f")).filter("f > 1").toArrow()
+    return Weights(shared["shingle"].to_numpy().view(U64), shared["f"].to_numpy())
+
+
 class Index:
     """Items by size, their shingles as anchors, and the multi-index over their fingerprints."""
 
-    def __init__(self, ids: list, texts: list[str], size: int = SIZE, radius: int = RADIUS):
+    def __init__(self, ids: list, texts: list[str], size: int = SIZE, radius: int = RADIUS, weight: Weights | None = None):
         words, at = word_hashes(_lowered(pa.array(texts, pa.string())), alnum_only=True)
         self.size, self.radius = size, radius
+        self.weight = weight or Weights(np.zeros(0, U64), np.zeros(0))
         self.ids, self.lengths, self.shingles = [], [], []
-        frequency: dict[int, int] = defaultdict(int)
         for i, item in enumerate(ids):
             own = words[at[i] : at[i + 1]]
             if len(own):
                 self.ids.append(item)
                 self.lengths.append(len(own))
                 self.shingles.append(shingles(own, size))
-                for h in set(self.shingles[-1].tolist()):
-                    frequency[h] += 1
-        self.weights = {h: 1.0 / f for h, f in frequency.items()}
         holders = defaultdict(set)  # (shingle width, shingle) -> items
         for i, own in enumerate(self.shingles):
             for h in own.tolist():
@@ -95,22 +131,24 @@ class Index:
             reached = np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])
             self.groups[n] = (np.array(items), prints, reached)
 
-    def weight(self, hashes: np.ndarray) -> np.ndarray:
-        return np.array([self.weights.get(h, 1.0) for h in hashes.tolist()], np.float32)
-
     def fingerprints(self, hashes: np.ndarray, width: int) -> np.ndarray:
-        """Fingerprint (bytes) of every run of ``width`` shingles."""
+        """Fingerprint (bytes) of every run of ``width`` shingles.
+
+        Weights are whole multiples of 2**-30 here: sums are exact, wherever the hashes begin.
+        """
         running = np.zeros((len(hashes) + 1, BITS))
-        np.cumsum(_signs(hashes) * self.weight(hashes)[:, None], axis=0, out=running[1:])
-        return np.packbits(running[width:] - running[: len(hashes) - width + 1] > 1e-6, axis=1)
+        weight = np.maximum(1, np.rint(self.weight(hashes) * 2**30))
+        np.cumsum(_signs(hashes) * weight[:, None], axis=0, out=running[1:])
+        return np.packbits(running[width:] - running[: len(hashes) - width + 1] > 0, axis=1)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         counts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
         for side, hashes in enumerate((self.shingles[item], window)):
             for h in hashes.tolist():
                 counts[h][side] += 1
-        shared = sum(self.weights.get(h, 1.0) * min(c) for h, c in counts.items())
-        return shared / sum(self.weights.get(h, 1.0) * max(c) for h, c in counts.items())
+        weights = self.weight(np.array(list(counts), U64)).tolist()
+        shared = sum(w * min(c) for w, c in zip(weights, counts.values(), strict=True))
+        return shared / sum(w * max(c) for w, c in zip(weights, counts.values(), strict=True))
 
     def hits(self, width: int, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
         """(position, item) of every anchor shingle among the hashes."""
@@ -196,12 +234,18 @@ def find(
     parts = -(-total // INDEX_BYTES)
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole(text).alias("text"))
     found = spark.createDataFrame([], schema)
+    if parts:
+        weight = shared_weights(items)
+        weights = spark.sparkContext.broadcast(weight)
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).collect()
-        index = spark.sparkContext.broadcast(Index([r["id"] for r in rows], [r["body"] for r in rows]))
+        rows = items.filter(F.pmod(F.xxhash64("id", "body"), F.lit(parts)) == part).collect()
+        built = Index([r["id"] for r in rows], [r["body"] for r in rows], weight=weight)
+        built.weight = None  # broadcast once for all parts
+        index = spark.sparkContext.broadcast(built)
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             built = index.value
+            built.weight = weights.value
             for batch in batches:
                 out = []
                 for low, high in chunks(batch.column(1)):

@@ -219,6 +219,33 @@ def test_matches_equal_brute_force(spark, monkeypatch):
     assert decontaminate.find(docs(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_a_split_benchmark_gives_exactly_the_unsplit_matches(spark, monkeypatch):
+    common = sentence(910, 25)
+    items = [(i, f"{common} {sentence(911 + i, 25)}") for i in range(12)]
+    rows = [(i, f"{sentence(i, 20)} {edited(items[i % 12][1], i, i // 12 % 2)} {sentence(50 + i, 9)}") for i in range(60)]
+    benchmark = spark.createDataFrame([*items, (None, items[3][1]), (4, items[5][1])], "item_id long, text string")
+    expected = plain_matches(rows, items)
+    found = {}
+    for limit in (decontaminate.INDEX_BYTES, 2000, 300):
+        monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
+        found[limit] = sorted(map(tuple, decontaminate.find(docs(spark, rows), benchmark).collect()), key=repr)
+        own = {r[:2]: r[2] for r in found[limit] if r[1] not in (None, 4)}
+        assert own == pytest.approx({k: v[0] for k, v in expected.items() if k[1] != 4})
+    assert found[2000] == found[300] == found[decontaminate.INDEX_BYTES]
+    assert len(expected) > 30 and min(v[0] for v in expected.values()) < 0.95
+
+
+def test_repeating_an_item_changes_no_match(spark):
+    item = sentence(920, 54)  # 50 shingles, of which the passage holds 45
+    rows = [(1, f"{sentence(921, 30)} {item.rpartition(' ')[0].rsplit(' ', 4)[0]} {sentence(922, 30)}")]
+    once = spark.createDataFrame([(1, item)], "item_id long, text string")
+    twice = spark.createDataFrame([(1, item), (2, item), (3, item.replace(" ", ", ") + "!")], "item_id long, text string")
+    alone = decontaminate.find(docs(spark, rows), once).collect()
+    assert [(r.item_id, r.similarity) for r in alone] == [(1, pytest.approx(45 / 55))]
+    out = decontaminate.find(docs(spark, rows), twice).collect()
+    assert sorted((r.item_id, r.similarity) for r in out) == [(i, pytest.approx(45 / 55)) for i in (1, 2, 3)]
+
+
 def test_block_index_reaches_the_whole_radius():
     index = decontaminate.Index([1], [sentence(5, 30)])
     _, prints, reached = index.groups[30]
