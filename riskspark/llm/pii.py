@@ -1,11 +1,13 @@
 """Personal data: fixed base patterns plus a semi-Markov conditional random field.
 
-Base spans (e-mail, IP, card, phone) follow exact rules. Around every digit and ``@`` a region is cut
-and tokenised; candidate segments of at most ``MAX_TOKENS`` tokens get whole-span features (shape,
-digit count, Luhn, separators, word before), and dynamic programming over bounded segments chooses
-the jointly best boundaries and types. The chosen segments that touch no base span are added.
-
-Training: regions of a bounded sample of documents (``sample_docs`` documents chosen by a hash of the
+Base spans (e-mail, IP, card, phone) follow exact rules. Around every digit, ``@``, bracketed ``at`` and
+word ``at`` before a host with a dot (a point or the word, in any case) a region is cut that holds every
+segment with that trigger, and tokenised; candidate segments of at most ``MAX_TOKENS`` tokens get
+whole-span features (shape, digit count, Luhn, separators, word before), and dynamic programming over
+bounded segments chooses the jointly best boundaries and types. The chosen segments that touch no base span are added.
+
+Training: narrower regions, none of which cuts a base span or holds a spoken form (which no base pattern
+can label), of a bounded sample of documents (``sample_docs`` documents chosen by a hash of the
 id, ``sample_regions`` regions), labelled with their base spans, plus rewritten copies (``name at host
 dot com``, numbers without ``+``, cards in groups of four) that keep the label. The weights maximise
 the conditional likelihood by forward-backward sums.
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -40,7 +43,14 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 GAP = 24
 MAX_TOKENS = 20
 MAX_CHARS = 80
-_TRIGGER = re.compile(r"[0-9@]|\((?:at|AT)\)")
+REACH = MAX_CHARS + GAP  # a segment and the text before it that features look at
+# every e-mail segment holds a sign or the word at; without a dot in the host the word is no trigger
+_SPOKEN = re.compile(rf"[(\[{{]at[)\]}}]|\bat\b(?=[)\]}}]?\s?[^\s.]{{0,{MAX_CHARS}}}(?:\.\S|\.?\s?[(\[{{]?dot\b))", re.I)
+_TRIGGER = re.compile(rf"[0-9@]|{_SPOKEN.pattern}", re.I)
+_AT = re.compile(r"\s?[(\[{]?(?:@|\bat\b)[)\]}]?\s?", re.I)
+_DOT = re.compile(r"\.|[\s(\[{]dot[\s)\]}]", re.I)
+_TAIL = re.compile(r"(?:\.|dot[\s)\]}]\s?)[A-Za-z]{2,6}$", re.I)
+_STRAY = re.compile(r"\s(?![(\[{]?dot\b)(?<!\bdot\s)(?<!\bdot[)\]}]\s)", re.I)  # a blank not beside dot
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\W\d_]+|\s+|.", re.S)
 _CUES = {
     "email": ("mail", "email", "contact", "courriel", "correo"),
@@ -99,29 +109,19 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
-def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text within GAP characters of a digit or at sign, widened to white space."""
-    start = end = -1
+def regions(text: str, apart: int = 2 * REACH) -> Iterator[tuple[int, int]]:
+    """Stretches of triggers at most ``apart`` characters from the next, widened by REACH but not beyond
+    the middle between two stretches; with the default, no widening is cut short."""
+    stretches: list[list[int]] = []
     for match in _TRIGGER.finditer(text):
-        if start >= 0 and match.start() - end <= 2 * GAP:
-            end = match.end()
-            continue
-        if start >= 0:
-            yield _widen(text, start, end)
-        start, end = match.span()
-    if start >= 0:
-        yield _widen(text, start, end)
-
-
-def _widen(text: str, start: int, end: int) -> tuple[int, int]:
-    low, high = max(0, start - GAP), min(len(text), end + GAP)
-    if low > 0:
-        space = re.search(r"\s", text[low:start])
-        low += space.start() if space else 0
-    if high < len(text):
-        space = text.rfind(" ", end, high)
-        high = space if space > 0 else high
-    return low, high
+        if stretches and match.start() - stretches[-1][1] <= apart:
+            stretches[-1][1] = match.end()
+        else:
+            stretches.append(list(match.span()))
+    for i, (start, end) in enumerate(stretches):
+        low = (stretches[i - 1][1] + start) // 2 if i else 0
+        high = (end + stretches[i + 1][0]) // 2 if i + 1 < len(stretches) else len(text)
+        yield max(low, start - REACH), min(high, end + REACH)
 
 
 class Region:
@@ -134,26 +134,35 @@ class Region:
         self.ending: list[list[tuple[int, int, tuple[str, ...]]]] = [[] for _ in self.tokens]
         digits = [0]
         ats = [0]
+        blanks = [0]
         for start, end in self.tokens:
             piece = text[start:end]
             digits.append(digits[-1] + (end - start if piece[0] in "0123456789" else 0))
             ats.append(ats[-1] + (piece == "@" or piece.lower() == "at"))
+            blanks.append(blanks[-1] + (" " in piece))
         if digits[-1] < 4 and not ats[-1]:
             return
+        signs = [k for k in range(len(self.tokens)) if ats[k + 1] > ats[k]]
+        hosts = [self._host_end(k) for k in signs]
         for first, (start, _) in enumerate(self.tokens):
             head = text[start]
             if head.isspace() or not (head in "+(" or head.isalnum()):
                 continue
-            for last in range(first, min(len(self.tokens), first + MAX_TOKENS)):
+            sign = signs[ats[first]] if ats[first] < len(signs) else -1
+            named = first < sign < first + MAX_TOKENS and head not in "+(" and blanks[sign] - blanks[first] <= 1
+            host = hosts[ats[first]] if named else -1
+            numeric = head in "+(" or head.isdigit()
+            stop = min(len(self.tokens), first + MAX_TOKENS)
+            for last in range(first, stop if numeric else min(stop, host + 1)):
                 end = self.tokens[last][1]
                 if end - start > MAX_CHARS:
                     break
                 if not text[end - 1].isalnum():
                     continue
                 n_digits, n_ats = digits[last + 1] - digits[first], ats[last + 1] - ats[first]
-                if n_ats == 1 and last - first >= 4 and head not in "+(":
+                if n_ats == 1 and last - first >= 4 and last <= host:
                     self._add(first, last, 0, n_digits)
-                if n_ats == 0 and n_digits >= 4 and (head in "+(" or head.isdigit()) and text[end - 1].isdigit():
+                if n_ats == 0 and n_digits >= 4 and numeric and text[end - 1].isdigit():
                     if n_digits <= 12 and last - first == 6:
                         self._add(first, last, 1, n_digits)
                     if 12 <= n_digits <= 20 and head.isdigit():
@@ -161,6 +170,15 @@ class Region:
                     if 7 <= n_digits <= 15:
                         self._add(first, last, 3, n_digits)
 
+    def _host_end(self, sign: int) -> int:
+        """The last token that may belong to the host after a sign: blanks stand beside the word dot."""
+        words = [self.text[a:b].lower() for a, b in self.tokens[sign + 1 : sign + 1 + MAX_TOKENS]]
+        for i, word in enumerate(words):
+            bracket = i == 1 and words[0] in ")]}"
+            if word.isspace() and i and not bracket and "dot" not in words[max(0, i - 2) : i + 3]:
+                return sign + i
+        return sign + len(words)
+
     def _add(self, first: int, last: int, kind: int, n_digits: int) -> None:
         features = self._features(first, last, kind, n_digits)
         if features:
@@ -172,12 +190,12 @@ class Region:
         span = text[start:end]
         shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", span)))
         if kind == 0:
-            at = re.search(r"\s?\(?(?:@|\bat\b|\bAT\b)\)?\s?", span)
+            at = _AT.search(span)
             host = span[at.end() :] if at else ""
-            if not at or not host or re.search(r"\s(?!dot\b)(?<!dot\s)", host) or " " in span[: at.start()]:
+            if not at or not at.start() or not host or _STRAY.search(host) or " " in span[: at.start()]:
                 return ()
-            dots = len(re.findall(r"\.|\sdot\s", host))
-            features = [f"dots={min(dots, 3)}", f"sign={'@' in span}", f"tail={bool(re.search(r'(?:[.]|dot )[A-Za-z]{2,6}$', host))}"]
+            dots = len(_DOT.findall(host))
+            features = [f"dots={min(dots, 3)}", f"sign={'@' in span}", f"tail={bool(_TAIL.search(host))}"]
         elif kind == 1:
             parts = span.split(".")
             if len(parts) != 4 or not all(p.isdigit() for p in parts):
@@ -194,7 +212,7 @@ class Region:
                 features += [f"luhn={luhn(_digits(span))}", f"even={even}", f"lead={span[0]}"]
             else:
                 features += [f"shape={shape[:12]}", f"grouped={bool(re.search(r'[0-9]{3}[ .-][0-9]{4}$', span))}"]
-        before = text[max(0, start - 24) : start]
+        before = text[max(0, start - GAP) : start]
         word = re.findall(r"[^\W\d_]+", before.lower())
         cue = bool(word) and word[-1] in _CUES[name]
         left = "edge" if not before else "space" if before[-1].isspace() else "joint" if before[-1].isalnum() else before[-1]
@@ -314,7 +332,18 @@ def fit(
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [body[a:b] for body in batch["_pii_text"] for a, b in regions(body) if b - a <= 400]
+            found = []
+            for body in batch["_pii_text"]:
+                spans = [x for each in base_spans(body).values() for x in each] if _TRIGGER.search(body) else []
+                edges = sorted(spans)
+                starts = [x for x, _ in edges]
+                tops = np.maximum.accumulate([y for _, y in edges]) if edges else []
+                for a, b in regions(body, 2 * GAP):
+                    # per border: the spans that begin before it must end before it
+                    before = [bisect_left(starts, x) - 1 for x in (a, b)]
+                    inside = all(i < 0 or tops[i] <= x for i, x in zip(before, (a, b), strict=True))
+                    if inside and b - a <= 400 + 2 * MAX_CHARS and not _SPOKEN.search(body, a, b):
+                        found.append(body[a:b])
             if found:
                 yield pd.DataFrame({"region": found})
 

@@ -137,6 +137,46 @@ def test_personal_data_of_odd_texts(spark):
     assert pii.fit(scattered)  # most partitions have no region at all
 
 
+def test_spoken_addresses_and_long_hosts_are_found(spark):
+    spoken = [
+        "bob at mail dot example dot com",
+        "ann (at) department-of-statistics.example.com",
+        "ann [AT] statistics [dot] example [dot] com",
+        "Ann.Lee At Mail Dot Example Dot Com",
+    ]
+    far = f"{sentence(77, 60)} {spoken[0]} {sentence(78, 60)}"
+    rows = [(i, t) for i, t in enumerate(spoken)] + [(302, spoken[0]), (303, far), (304, "we met at noon. then we left")]
+    rows += [(1000 + i, f"{sentence(i, 8)} {sentence(i, 1)}.x@{sentence(i + 500, 1)[:2]}box{'-y' * (i % 3)}.example.com {sentence(i + 900, 8)}") for i in range(60)]
+    rows += [(2000 + i, f"{sentence(i, 9)} on day {i} at {sentence(i + 40, 9)}") for i in range(60)]
+    frame = docs(spark, rows)
+    out = {r.doc_id: r.spans for r in pii.find(frame, pii.fit(frame)).collect()}
+    for i, text in enumerate(spoken):
+        assert out[i] == f"email:0:{len(text)}", text
+    assert out[302] == f"email:0:{len(spoken[0])}"
+    at = far.index("bob")
+    assert out[303] == f"email:{at}:{at + len(spoken[0])}"
+    assert out[304] == ""
+
+
+def test_regions_hold_every_segment_of_a_trigger():
+    rng = random.Random(3)
+    pieces = ["a", "at", " ", "dot", ".", "(at)", "[AT]", "@", "b-c", "1234", "x" * 30, " lorem" * 30, "\n", "éat"]
+    for _ in range(400):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(40)))
+
+        def candidates(low, high, text=text):
+            region = pii.Region(text[low:high])
+            return {
+                (low + region.tokens[c[0]][0], low + region.tokens[last][1], c[1], c[2])
+                for last, cs in enumerate(region.ending)
+                for c in cs
+                if "email:dots=0" not in c[2]
+            }
+
+        cut = set().union(*(candidates(*r) for r in pii.regions(text)), set())
+        assert cut == candidates(0, len(text)), text
+
+
 # --- exact copies ------------------------------------------------------------------------
 
 
