@@ -10,10 +10,12 @@ sums to 1 over all words and one unknown word, for every context.
 
 How it runs. Documents are cut into blocks of whole texts; a block holds its distinct word hashes and
 its tokens as indices. Level 1: distinct words go to shards by hash, are counted there, numbered, and
-counts and numbers go back to the blocks. Level 2: pairs of known words go to shards by context; a
-context too frequent for one shard is split by its successors. A shard counts its training pairs, builds
-a trie (monotone pointers, coded probabilities, memory-mapped), looks up every pair of every document
-and returns sums per document. Shards and blocks have a bounded size; their number follows the corpus.
+counts and numbers go back to the blocks. Level 2: a block's distinct pairs of known words go to shards
+by context, each with its count of training tokens; a context too frequent for one shard is split by its
+successors. A shard adds the counts, builds a trie (monotone pointers, coded probabilities,
+memory-mapped), looks up every pair and returns its probability to the block, which sums them per
+document. The number of shards and blocks follows the corpus. However often a pair occurs, its shard
+gets one entry per block: a pair of all blocks adds SHARD_PAIRS entries at about 2 TB of text.
 
 Words are 64-bit hashes. Probabilities are quantised to 1/2048 of a factor of ten, so a score is off by
 at most 0.0005 per token.
@@ -26,6 +28,7 @@ p = 1 and N is 0. An empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,7 @@ SHARD_PAIRS = 1_000_000
 STRENGTH = 50.0
 END = 0x5EED0F7E27A1C0DE
 UNKNOWN = np.uint32(0xFFFFFFFF)
+UNSEEN = 0xFFFF  # code of a pair without training counts
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -156,127 +160,127 @@ def _code(log10p: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(-log10p * CODE_SCALE), 0, 65535).astype(np.uint16)
 
 
-def _pairs(blocks: DataFrame, replies: DataFrame, word_shards: int, n: int, v: int, shards: int) -> DataFrame:
-    """Pairs of known words per shard, and per block what is known without a trie (``info``).
+class Block:
+    """One block's tokens with their counts, and its distinct pairs of known words by shard, context, successor.
 
     A word's number is its rank in its shard times the number of shards, plus the shard.
     """
-    share = max(1.0, n / shards / 4)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*one(batch, b), strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                    names=["shard", "block_id", "payload", "info"],
-                )
-
-    def one(batch: pa.RecordBatch, b: int) -> list[tuple]:
-        block = batch.column(0)[b].as_py()
-        ids, present, held, lengths = unpack(_bytes(batch.column(1)[b]))
+    def __init__(self, batch: pa.RecordBatch, b: int, word_shards: int, n: int, v: int, shards: int):
+        self.id = batch.column(0)[b].as_py()
+        self.ids, self.present, self.held, self.lengths = unpack(_bytes(batch.column(1)[b]))
         (index,) = unpack(_bytes(batch.column(2)[b]))
         numbers, counts = [], []
         for part in batch.column(3)[b]:  # in shard order, which is the order of the hashes
             local, totals = unpack(_bytes(part["reply"]))
             numbers.append(np.where(local == UNKNOWN, -1, local.astype(np.int64) * word_shards + part["shard"].as_py()))
             counts.append(totals)
-        number, count = np.concatenate(numbers), np.concatenate(counts)
-        single = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
-        doc = np.repeat(np.arange(len(ids)), lengths)
-        context = np.roll(index, 1)  # the last token is an end mark, as before every first word
-        alone = single[index]
-        known = (count[index] > 0) & (count[context] > 0)
-        # no trie needed: an unknown context leaves p(v), an unknown word has no pair
-        back = np.where(count[context] > 0, np.log10(STRENGTH / (count[context] + STRENGTH)), 0.0)
-        local = np.bincount(doc, np.where(known, 0.0, alone + back), len(ids))
-        info = pack(ids, present, held, lengths, np.bincount(doc, count[index] > 0, len(ids)), np.bincount(doc, alone, len(ids)), local)
-        rows = [(block % shards, block, None, info)]
-        at = np.flatnonzero(known)
-        w, s = context[at].astype(np.int64), index[at].astype(np.int64)
-        pieces = np.ceil(count[w] / share).astype(np.int64)
-        spread = mix(number[s].astype(U64) + U64(99)) % pieces.astype(U64)
-        shard = (mix(number[w].astype(U64) * U64(31) + spread) % U64(shards)).astype(np.int64)
-        order = np.lexsort((s, w, shard))
-        at, w, s, shard = at[order], w[order], s[order], shard[order]
-        codes = _code(single)
-        cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(at)]]) if len(at) else [0]
-        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            part = slice(low, high)
-            heads = np.concatenate([[0], np.flatnonzero(w[part][1:] != w[part][:-1]) + 1])
-            who = w[part][heads]
-            payload = pack(
-                number[who], count[who], np.diff(np.append(heads, high - low)).astype(np.uint32),
-                number[s[part]], codes[s[part]], doc[at[part]].astype(np.uint32), held,
-            )
-            rows.append((int(shard[low]), block, payload, None))
+        self.number, self.count = np.concatenate(numbers), np.concatenate(counts)
+        self.single = np.log10((self.count + 0.5) / (n + 0.5 * (v + 1)))
+        self.index, self.context = index, np.roll(index, 1)  # the last token is an end mark, as before every first word
+        self.doc = np.repeat(np.arange(len(self.ids)), self.lengths)
+        self.known = (self.count[index] > 0) & (self.count[self.context] > 0)
+        self.at = np.flatnonzero(self.known)
+        pairs = self.context[self.at].astype(np.int64) * len(self.number) + index[self.at]
+        distinct, place = np.unique(pairs, return_inverse=True)
+        w, s = np.divmod(distinct, len(self.number))
+        pieces = np.ceil(self.count[w] / max(1.0, n / shards / 4)).astype(np.int64)
+        spread = mix(self.number[s].astype(U64) + U64(99)) % pieces.astype(U64)
+        shard = (mix(self.number[w].astype(U64) * U64(31) + spread) % U64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        self.w, self.s, self.shard = w[order], s[order], shard[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.pair = rank[place]  # of each token in ``at``
+        self.training = np.bincount(self.pair, ~self.held[self.doc[self.at]], len(order)).astype(np.uint32)
+
+    def dealt(self) -> list[tuple]:
+        """(shard, block, payload): contexts, their counts and numbers of pairs; successors, their coded p(v), training counts."""
+        if not len(self.w):
+            return []
+        rows, codes = [], _code(self.single)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.shard)) + 1, [len(self.w)]])
+        for low, high in pairwise(cuts):
+            w, s = self.w[low:high], self.s[low:high]
+            heads = np.concatenate([[0], np.flatnonzero(np.diff(w)) + 1])
+            who, lengths = w[heads], np.diff(np.append(heads, high - low)).astype(np.uint32)
+            payload = pack(self.number[who], self.count[who], lengths, self.number[s], codes[s], self.training[low:high])
+            rows.append((int(self.shard[low]), self.id, payload))
         return rows
 
+    def scored(self, codes: np.ndarray) -> list[pa.Array]:
+        """Columns of the result, given the codes of all distinct pairs."""
+        times, alone = self.count[self.w], self.single[self.index]
+        # a pair without training counts and an unknown word leave the weighted p(v), an unknown context leaves p(v)
+        unseen = self.single[self.s] + np.log10(STRENGTH / (times + STRENGTH))
+        value = np.where(codes == UNSEEN, unseen, codes / -CODE_SCALE)
+        before = self.count[self.context]
+        token = alone + np.where(before > 0, np.log10(STRENGTH / (before + STRENGTH)), 0.0)
+        token[self.at] = value[self.pair]
+        size = len(self.ids)
+        return [
+            pa.array(self.ids, pa.int64(), mask=~self.present),
+            pa.array(self.held, pa.bool_()),
+            pa.array(self.lengths, pa.int64()),
+            pa.array(np.bincount(self.doc, self.count[self.index] > 0, size).astype(np.int64), pa.int64()),
+            pa.array(np.bincount(self.doc, alone, size), pa.float64()),
+            pa.array(np.bincount(self.doc, token, size), pa.float64()),
+        ]
+
+
+def _pair_codes(rows: pa.Table) -> pa.Table:
+    """Add the training counts of the shard's pairs, build its trie, look up all pairs for every block."""
+    parts = [unpack(_bytes(payload)) for payload in rows["payload"]]
+    context = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
+    times = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
+    successor, prior, training = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+    order = np.lexsort((successor, context))
+    first = np.ones(len(order), bool)
+    first[1:] = (context[order][1:] != context[order][:-1]) | (successor[order][1:] != successor[order][:-1])
+    group = np.cumsum(first) - 1
+    counts = np.bincount(group, training[order], int(group[-1]) + 1)
+    lead = order[first]
+    lower = 10.0 ** (-prior[lead].astype(float) / CODE_SCALE)
+    smooth = np.log10((counts + STRENGTH * lower) / (times[lead] + STRENGTH))
+    seen = counts > 0
+    pair = context[lead], successor[lead]
+    trie = Trie(pair[0][seen], pair[1][seen], np.minimum(_code(smooth[seen]), UNSEEN - 1), int(successor.max()) + 1)
+    code = trie.lookup(*pair)
+    trie.close()
+    found = np.empty(len(order), np.uint16)
+    found[order] = np.where(code >= 0, code, UNSEEN).astype(np.uint16)[group]
+    ends = np.cumsum([len(p[3]) for p in parts])
+    codes = [pack(c) for c in np.split(found, ends[:-1])]
+    return pa.table({"shard": rows["shard"], "block_id": rows["block_id"], "codes": pa.array(codes, pa.binary())})
+
+
+def _scored(blocks: DataFrame, replies: DataFrame, word_shards: int, n: int, v: int, shards: int) -> DataFrame:
+    """One row per document. Both passes over the blocks read the same shuffle."""
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                rows = Block(batch, b, word_shards, n, v, shards).dealt()
+                if rows:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["shard", "block_id", "payload"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(batch.num_rows):
+                answers = batch.column(4)[b]
+                codes = [unpack(_bytes(a["codes"]))[0] for a in answers] if answers.is_valid else []
+                block = Block(batch, b, word_shards, n, v, shards)
+                yield pa.RecordBatch.from_arrays(block.scored(np.concatenate([np.zeros(0, np.uint16), *codes])), names=names)
+
     listed = replies.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("shard", "reply"))).alias("replies"))
     joined = blocks.select("block_id", "docs", "tokens").join(listed, "block_id")
-    return joined.mapInArrow(deal, "shard long, block_id long, payload binary, info binary")
-
-
-def _score_shard(rows: pa.Table) -> pa.Table:
-    """Build the shard's trie from training pairs, look up all pairs, sum per document."""
-    out: dict[str, list] = {"block_id": [], "sums": [], "info": []}
-    own, parts = [], []
-    for block, payload, info in zip(rows["block_id"], rows["payload"], rows["info"], strict=True):
-        if payload.is_valid:
-            own.append(block.as_py())
-            parts.append(unpack(_bytes(payload)))
-        else:
-            out["block_id"].append(block.as_py())
-            out["sums"].append(None)
-            out["info"].append(_bytes(info))
-    if parts:
-        context = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
-        times = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-        successor, prior = (np.concatenate([p[i] for p in parts]) for i in (3, 4))
-        training = np.concatenate([~p[6][p[5]] for p in parts])
-        order = np.lexsort((successor, context))
-        first = np.ones(len(order), bool)
-        first[1:] = (context[order][1:] != context[order][:-1]) | (successor[order][1:] != successor[order][:-1])
-        group = np.cumsum(first) - 1
-        counts = np.bincount(group, training[order], int(group[-1]) + 1)
-        lead = order[first]
-        lower = 10.0 ** (-prior[lead].astype(float) / CODE_SCALE)
-        smooth = np.log10((counts + STRENGTH * lower) / (times[lead] + STRENGTH))
-        seen = counts > 0
-        pair = context[lead], successor[lead]
-        trie = Trie(pair[0][seen], pair[1][seen], _code(smooth[seen]), int(successor.max()) + 1)
-        code = trie.lookup(*pair)
-        trie.close()
-        # pairs without training counts fall back to the weighted single-word probability
-        fallback = np.log10(STRENGTH * lower / (times[lead] + STRENGTH))
-        value = np.empty(len(order))
-        value[order] = np.where(code >= 0, -code / CODE_SCALE, fallback)[group]
-        at = 0
-        for block, p in zip(own, parts, strict=True):
-            sums = np.bincount(p[5], value[at : at + len(p[5])], len(p[6]))
-            at += len(p[5])
-            out["block_id"].append(block)
-            out["sums"].append(pack(sums.astype(np.float32)))
-            out["info"].append(None)
-    return pa.table({"block_id": pa.array(out["block_id"], pa.int64()), "sums": pa.array(out["sums"], pa.binary()), "info": pa.array(out["info"], pa.binary())})
-
-
-def _gathered(rows: pa.Table) -> pa.Table:
-    """Documents of one block with all sums added."""
-    info = next(unpack(_bytes(i)) for i in rows["info"] if i.is_valid)
-    ids, present, held, lengths, n_known, base, score = info
-    for sums in rows["sums"]:
-        if sums.is_valid:
-            score = score + unpack(_bytes(sums))[0].astype(float)
-    return pa.table(
-        {
-            "doc_id": pa.array(ids, pa.int64(), mask=~present),
-            "held_out": pa.array(held, pa.bool_()),
-            "n_tokens": pa.array(lengths, pa.int64()),
-            "n_known": pa.array(n_known.astype(np.int64), pa.int64()),
-            "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(score, pa.float64()),
-        }
-    )
+    dealt = joined.mapInArrow(deal, "shard long, block_id long, payload binary")
+    coded = dealt.groupBy("shard").applyInArrow(_pair_codes, "shard long, block_id long, codes binary")
+    answers = coded.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("shard", "codes"))).alias("answers"))
+    return joined.join(answers, "block_id", "left").mapInArrow(finish, schema)
 
 
 def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -291,7 +295,5 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     sizes = replies.agg(F.sum("n_types").alias("types"), F.sum("n_tokens").alias("tokens")).first()
     n, v = sizes["tokens"] or 0, sizes["types"] or 0
     shards = max(16, -(-tokens // SHARD_PAIRS))
-    scored = _pairs(blocks, replies, 1 << bits, n, v, shards).groupBy("shard").applyInArrow(_score_shard, "block_id long, sums binary, info binary")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    gathered = scored.groupBy("block_id").applyInArrow(_gathered, schema)
+    gathered = _scored(blocks, replies, 1 << bits, n, v, shards)
     return gathered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -127,6 +127,26 @@ def test_scores_equal_the_formula(spark, monkeypatch, small):
         assert a[5] == pytest.approx(b[5], abs=1e-3 * b[1] + 1e-6 * abs(b[5]))
 
 
+def test_a_pair_that_is_everywhere_does_not_fill_a_shard(spark, monkeypatch):
+    for name, value in (("BLOCK_BYTES", 10_000), ("SHARD_PAIRS", 1000)):
+        monkeypatch.setattr(lm_score, name, value)
+    rows = [(i, f"{'junk ' * 60}{sentence(i, 20)}") for i in range(300)]
+    name = "_pair_codes" if hasattr(lm_score, "_pair_codes") else "_score_shard"
+    run, unpack = getattr(lm_score, name), lm_score.unpack
+
+    def bounded(table):
+        held = [unpack(p.as_buffer().to_pybytes()) for p in table["payload"] if p.is_valid]
+        assert sum(len(h[3]) for h in held) <= 3000
+        return run(table)
+
+    monkeypatch.setattr(lm_score, name, bounded)
+    out = lm_score.score(docs(spark, rows), fold_of("doc_id", 5) == 1).collect()
+    plain = {i: e for (i, _), e in zip(rows, plain_scores(rows), strict=True)}
+    assert len(out) == len(rows)
+    for r in out:
+        assert r.score == pytest.approx(plain[r.doc_id][5], abs=1e-3 * r.n_tokens)
+
+
 def test_model_sums_to_one():
     rows = [(2, "a b a b c"), (3, "a c"), (4, "b")]
     tokens = [[*split(t), None] for _, t in rows]
