@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskspark.operators.dedupe import dedupe_latest
+from riskspark.operators.quality import key_checks, raise_on_violations
 from riskspark.session import path_exists, work_path
 from riskspark.sinks.storage import remove
 from riskspark.sinks.tables import replace_partitions, replace_slice, upsert
@@ -88,7 +89,8 @@ def incremental_replace_slice(
     lands in its own place again. When no file is left, every slice whose newest landed load differs
     from what the target holds is replaced by all landed rows of that load. So a load may be split over
     any number of batches and runs, an older load that arrives late changes nothing, and a run that died
-    half way is completed by the next one. The target keeps the load number.
+    half way is completed by the next one. The target keeps the load number. A landed row with a blank
+    key, state, slice column or load number fails the job until it is removed from the landing folder.
     """
     parts = ["state", *[c for c in slice_columns if c != "state"]]
     landing = f"{checkpoint.rstrip('/')}-landing"
@@ -100,6 +102,7 @@ def incremental_replace_slice(
     if not path_exists(spark, landing):
         return
     landed = spark.read.schema(f"{schema}, _batch bigint").parquet(landing).drop("_batch")
+    raise_on_violations(key_checks(landed, list(dict.fromkeys([*keys, *parts, load_column]))))
     complete = dedupe_latest(newest_loads(landed, parts, load_column), keys, [sequence])
     wanted = _fingerprint(complete, parts, load_column)
     if path_exists(spark, target):

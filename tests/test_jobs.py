@@ -191,6 +191,17 @@ def test_a_load_split_over_batches_and_runs_keeps_all_rows(spark, tmp_path, file
     assert sorted(f.name for f in (tmp_path / "t").rglob("*.parquet")) == before
 
 
+@pytest.mark.parametrize(
+    ("row", "load", "message"),
+    [((2, None, 2020, 1.0), 1, "blank_state=1"), ((2, "PB", None, 1.0), 1, "blank_year=1"), ((2, "PB", 2020, 1.0), None, "blank_load_id=1")],
+)
+def test_a_landed_row_without_state_slice_or_load_fails_the_job(spark, tmp_path, row, load, message):
+    arrive(spark, str(tmp_path / "in"), 1, [(1, "PB", 2020, 1.0)], 1)
+    arrive(spark, str(tmp_path / "in"), load, [row], 1)
+    with pytest.raises(ValueError, match=message):
+        replace_new(spark, tmp_path)
+
+
 def test_a_bad_line_fails_a_load_unless_told_to_skip(spark, tmp_path):
     arrive(spark, str(tmp_path / "in"), 1, [(1, "PB", 2020, 1.0)], 1)
     (tmp_path / "in" / "bad.json").write_text('{"id": 2, "state"\n')
