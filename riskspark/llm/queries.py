@@ -11,11 +11,14 @@ from riskspark.llm import (
     chat_format,
     decontaminate,
     exact_dedup,
+    language,
     lm_score,
     mixing,
     near_dup,
+    periodic_runs,
     pii,
     quality,
+    ranked_search,
     token_files,
     url_filter,
 )
@@ -172,3 +175,64 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the files know no ids: the n-th document of a source file is its n-th row
     ids = docs.select("doc_id", source, F.col("_metadata.row_index").alias("number"))
     return counts.join(ids, ["source_file", "number"]).select("doc_id", "n_tokens")
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH found AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+totals AS (SELECT count(*) FILTER (WHERE len(terms) > 0) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM found),
+lengths AS (SELECT r, doc_id, 100 - 50 + ((50 * len(terms) * n_docs) // n_terms) AS m FROM found, totals WHERE len(terms) > 0),
+uses AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM found) GROUP BY r, term),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM uses, totals GROUP BY term, n_docs),
+scored AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM items JOIN uses USING (term) JOIN weights USING (term) JOIN lengths USING (r)
+  GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank
+      FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every whole text; a tenth of the texts have their end replaced by repeats first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = periodic_runs.with_runs(docs, seed=F.when(h % 10 == 0, F.floor(h / 10)))
+    runs = F.col("found.runs")
+    top = periodic_runs.strongest(runs)
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size(runs).cast("bigint").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        "found.runs_sha256",
+        "found.collapsed_sha256",
+    )
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; rows with remainder 2 are held out of all fitting."""
+    docs, held_out = table(spark, sf_dir, "documents"), fold_of("doc_id", 4) == 2
+    model = language.fit(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
