@@ -23,8 +23,8 @@ text alone; other columns are carried along, but for the two results, which are
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,13 +36,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark.llm.common import saved, whole
+from riskspark.llm.words import chunks
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
 START = "▁"  # fixed value: how the vocabulary marks the start of a word
 MAX_LANGUAGES = 200
-CACHE_WORDS = 200_000
 TINY = 1e-150
+# words of up to this length are scored many at a time, without a scale of their own
+SHORT_WORD = 30
+# probabilities remembered by a task, and text scored at a time, per language
+CACHE_CELLS = 2_000_000
+CHUNK_CELLS = 8 << 20
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -68,6 +74,12 @@ class Model:
     prior: np.ndarray  # logarithms
 
 
+def _characters(words: list[str]) -> np.ndarray:
+    """One row of code points per word, filled up with zeros."""
+    width = max(map(len, words))
+    return np.array(words, f"<U{width}").view(np.uint32).reshape(len(words), width)
+
+
 class Lattice:
     """Piece probabilities with a look-up by text; scores words by the forward algorithm."""
 
@@ -76,6 +88,78 @@ class Lattice:
         self.longest = max((len(p) for p in pieces), default=1)
         self.unknown = len(pieces)
         self.probabilities = probabilities
+        self.beginnings: list[tuple[np.ndarray, np.ndarray]] | None = None
+
+    def _beginnings(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per length: the sorted hashes of what pieces begin with, and the piece of that text or -1."""
+        if self.beginnings is None:
+            self.beginnings = []
+            for n in range(1, self.longest + 1):
+                starts = sorted({p[:n] for p in self.number if len(p) >= n})
+                codes = _characters(starts).astype(np.uint64)
+                hashes = np.zeros(len(starts), np.uint64)
+                for column in codes.T:
+                    hashes = hashes * _BASE + column
+                order = np.argsort(hashes)
+                self.beginnings.append((hashes[order], np.array([self.number.get(x, -1) for x in starts])[order]))
+        return self.beginnings
+
+    def _all_edges(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[tuple[int, int]]]:
+        """Marked lengths of the words; row, start, length and piece of all edges; slices of one end and length.
+
+        Slices come by end, and a word has one edge at most in a slice.
+        """
+        marked = [START + word for word in words]
+        codes = _characters(marked).astype(np.uint64)
+        lengths = np.array([len(x) for x in marked])
+        row, at = np.nonzero(np.arange(codes.shape[1]) < lengths[:, None])
+        hashes = np.zeros(len(row), np.uint64)
+        edges = []
+        for n, (known, piece) in enumerate(self._beginnings(), 1):
+            inside = at + n <= lengths[row]
+            row, at, hashes = row[inside], at[inside], hashes[inside]
+            if not len(row):
+                break
+            hashes = hashes * _BASE + codes[row, at + n - 1]
+            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            found = known[place] == hashes
+            here = np.where(found, piece[place], -1)
+            if n == 1:
+                edges.append((row, at, np.ones(len(row), np.int64), np.where(here < 0, self.unknown, here)))
+            else:
+                whole_piece = np.flatnonzero(here >= 0)
+                edges.append((row[whole_piece], at[whole_piece], np.full(len(whole_piece), n), here[whole_piece]))
+            row, at, hashes = row[found], at[found], hashes[found]
+        row, at, size, piece = (np.concatenate(c) for c in zip(*edges, strict=True))
+        step = (at + size) * (self.longest + 1) + size
+        order = np.argsort(step, kind="stable")
+        cuts = np.flatnonzero(np.diff(step[order])) + 1
+        slices = list(itertools.pairwise([0, *cuts.tolist(), len(step)]))
+        return lengths, [x[order] for x in (row, at, size, piece)], slices
+
+    def forward_all(self, words: list[str]) -> np.ndarray:
+        """``forward`` of many words of at most ``SHORT_WORD`` letters, one row each."""
+        lengths, (row, at, size, piece), slices = self._all_edges(words)
+        sums = np.zeros((lengths.max() + 1, len(words), self.probabilities.shape[1]))
+        sums[0] = 1
+        for a, b in slices:
+            start, rows = at[a], row[a:b]
+            sums[start + size[a], rows] += sums[start, rows] * self.probabilities[piece[a:b]]
+        return np.log(sums[lengths, np.arange(len(words))])
+
+    def expected_all(self, words: list[str], languages: np.ndarray, weights: np.ndarray, into: np.ndarray) -> None:
+        """``expected`` of many words of at most ``SHORT_WORD`` letters, each in its language."""
+        lengths, (row, at, size, piece), slices = self._all_edges(words)
+        p = self.probabilities[piece, languages[row]]
+        left, right = (np.zeros((lengths.max() + 1, len(words))) for _ in range(2))
+        left[0] = 1
+        right[lengths, np.arange(len(words))] = 1
+        for a, b in slices:
+            left[at[a] + size[a], row[a:b]] += left[at[a], row[a:b]] * p[a:b]
+        for a, b in reversed(slices):
+            right[at[a], row[a:b]] += right[at[a] + size[a], row[a:b]] * p[a:b]
+        uses = left[at, row] * p * right[at + size, row] / right[0, row] * weights[row]
+        np.add.at(into, (piece, languages[row]), uses)
 
     def edges(self, marked: str) -> list[list[tuple[int, int]]]:
         """For each end 1..n the (start, piece number) of the pieces that end there."""
@@ -110,7 +194,7 @@ class Lattice:
                 scale += np.log(total)
         return scale + np.log(sums[-1])
 
-    def expected(self, word: str, language: int, weight: float, into: dict[tuple[int, int], float]) -> None:
+    def expected(self, word: str, language: int, weight: float, into: np.ndarray) -> None:
         """Add the expected number of uses of each piece over all cuts of the word in one language."""
         marked = START + word
         p = self.probabilities[:, language]
@@ -132,7 +216,7 @@ class Lattice:
         for end, here in enumerate(edges, 1):
             for start, k in here:
                 share = math.exp(left_log[start] + math.log(p[k]) + right_log[end] - left_log[n])
-                into[language, k] = into.get((language, k), 0.0) + weight * share
+                into[k, language] += weight * share
 
 
 def _sample(docs: DataFrame, lang: str, doc_id: str, text: str, languages: list[str], sample_docs: int) -> DataFrame:
@@ -165,15 +249,19 @@ def _round(counts: DataFrame, pieces: tuple[str, ...], now: np.ndarray, smooth:
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(pieces, now)
-        into: dict[tuple[int, int], float] = {}
+        into = np.zeros_like(now)
         for batch in batches:
-            for language, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                lattice.expected(word, language, n, into)
-        if into:
-            columns = [[k[0] for k in into], [k[1] for k in into], list(into.values())]
-            types = (pa.int32(), pa.int32(), pa.float64())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["language", "piece", "uses"])
+            language, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            words = batch.column(1).to_pylist()
+            short = [k for k, word in enumerate(words) if len(word) <= SHORT_WORD]
+            if short:
+                lattice.expected_all([words[k] for k in short], language[short], n[short], into)
+            for k in set(range(len(words))) - set(short):
+                lattice.expected(words[k], language[k], n[k], into)
+        piece, language = np.nonzero(into)
+        if len(piece):
+            columns = [pa.array(language, pa.int32()), pa.array(piece, pa.int32()), pa.array(into[piece, language])]
+            yield pa.RecordBatch.from_arrays(columns, names=["language", "piece", "uses"])
 
     found = counts.select("language", "word", "n").mapInArrow(expect, "language int, piece int, uses double")
     uses = np.zeros_like(now)
@@ -217,31 +305,46 @@ class Scorer:
     def __init__(self, model: Model):
         self.model = model
         self.lattice = Lattice(model.pieces, model.probabilities)
-        self.known: dict[str, np.ndarray] = {}
-
-    def log_probabilities(self, text: str) -> np.ndarray | None:
-        """Logarithm of prior times probability in each language; None for a text without letters."""
-        counts = Counter(words_of(text))
-        if not counts:
-            return None
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        total = self.model.prior.copy()
-        for word, n in sorted(counts.items()):
-            value = self.known.get(word)
-            if value is None:
-                value = self.lattice.forward(word)
-                if len(word) < 100:
-                    self.known[word] = value
-            total += n * value
-        return total
-
-    def predict(self, text: str) -> tuple[str, float]:
-        logs = self.log_probabilities(text) if self.model.languages else None
-        if logs is None:
-            return UNDETERMINED, 0.0
-        best = int(np.argmax(logs))
-        return self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
+        self.limit = max(1, CACHE_CELLS // max(1, len(model.languages)))
+        self.known: dict[str, int] = {}
+        self.values = np.zeros((0, len(model.languages)))
+
+    def _learn(self, words: set[str]) -> None:
+        """Hold the probabilities of all ``words``."""
+        fresh = [w for w in words if w not in self.known]
+        if len(self.known) + len(fresh) > self.limit:
+            self.known, self.values, fresh = {}, self.values[:0], list(words)
+        short = [w for w in fresh if len(w) <= SHORT_WORD]
+        long = [w for w in fresh if len(w) > SHORT_WORD]
+        parts = [self.values]
+        if short:
+            parts.append(self.lattice.forward_all(short))
+        parts += [self.lattice.forward(w)[None] for w in long]
+        self.values = np.concatenate(parts)
+        for word in (*short, *long):
+            self.known[word] = len(self.known)
+
+    def log_probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithm of prior times probability per text and language, and the texts' numbers of words."""
+        found = [words_of(text) for text in texts]
+        counts = np.array([len(words) for words in found])
+        flat = [word for words in found for word in words]
+        total = np.tile(self.model.prior, (len(texts), 1))
+        if flat:
+            self._learn(set(flat))
+            values = self.values[np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))]
+            some = np.flatnonzero(counts)
+            total[some] += np.add.reduceat(values, (np.cumsum(counts) - counts)[some], axis=0)
+        return total, counts
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        if not self.model.languages:
+            return [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        logs, counts = self.log_probabilities(texts)
+        best = logs.argmax(axis=1)
+        share = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        names = [self.model.languages[k] if n else UNDETERMINED for k, n in zip(best, counts, strict=True)]
+        return names, np.where(counts > 0, share, 0.0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -250,9 +353,14 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     @F.arrow_udf("struct<lang_pred:string,score:double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(model)
+        limit = CHUNK_CELLS // max(1, len(model.languages))
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch]
-            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            names, scores = [], [np.zeros(0)]
+            for a, b in chunks(batch, limit):
+                found, score = scorer.predict(batch.slice(a, b - a).to_pylist())
+                names += found
+                scores.append(score)
+            columns = [pa.array(names, pa.string()), pa.array(np.concatenate(scores))]
             yield pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
 
     own = ("lang_pred", "score")

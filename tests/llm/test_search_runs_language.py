@@ -248,11 +248,38 @@ def test_forward_sums_all_cuts(lattice):
                 value = np.prod(lattice.probabilities[numbers], axis=0)
                 total += value
                 for k in numbers:
-                    uses[1, k] += value[1]
+                    uses[k, 1] += value[1]
         assert lattice.forward(word) == pytest.approx(np.log(total))
-        found: dict = {}
+        found, many = np.zeros_like(lattice.probabilities), np.zeros_like(lattice.probabilities)
         lattice.expected(word, 1, 2.0, found)
-        assert {k: v for k, v in found.items() if v} == pytest.approx({k: 2 * v / total[1] for k, v in uses.items()})
+        lattice.expected_all([word, "ab", word], np.array([1, 0, 1]), np.array([1, 5, 1]), many)
+        wanted = np.zeros_like(found)
+        for k, value in uses.items():
+            wanted[k] = 2 * value / total[1]
+        assert found == pytest.approx(wanted)
+        assert many[:, 1] == pytest.approx(wanted[:, 1])
+
+
+def test_many_words_at_once_score_as_one_by_one(lattice):
+    rng = random.Random(1)
+    found = ["".join(rng.choice("abnéxζ") for _ in range(rng.randint(1, language.SHORT_WORD))) for _ in range(500)]
+    assert lattice.forward_all(found) == pytest.approx(np.stack([lattice.forward(w) for w in found]))
+    assert lattice.forward_all(["a"]) == pytest.approx(lattice.forward("a")[None])
+
+
+def test_a_small_memory_changes_no_score(lattice, monkeypatch):
+    pieces = tuple(lattice.number)
+    model = language.Model(("xa", "xb", "xc"), pieces, lattice.probabilities, np.log([0.2, 0.3, 0.5]))
+    rng = random.Random(2)
+    texts = ["", "1 2", *(" ".join("".join(rng.choices("abné", k=rng.randint(1, 40))) for _ in range(rng.randint(1, 30))) for _ in range(60))]
+    expected, counts = language.Scorer(model).log_probabilities(texts)
+    for text, row, n in zip(texts, expected, counts, strict=True):
+        words = language.words_of(text)
+        assert n == len(words)
+        assert row == pytest.approx(model.prior + sum((lattice.forward(w) for w in words), np.zeros(3)))
+    monkeypatch.setattr(language, "CACHE_CELLS", 60)
+    scorer = language.Scorer(model)
+    assert np.concatenate([scorer.log_probabilities([t])[0] for t in texts]) == pytest.approx(expected)
 
 
 def test_very_long_words_stay_in_range(lattice):
@@ -260,9 +287,9 @@ def test_very_long_words_stay_in_range(lattice):
     assert np.isfinite(long).all()
     more = lattice.forward("ab" * 40)
     assert long == pytest.approx(once + (more - once) / 20 * (40_000 - 20), rel=1e-6)
-    found: dict = {}
+    found = np.zeros_like(lattice.probabilities)
     lattice.expected("ab" * 2000, 0, 1.0, found)
-    assert sum(found.values()) > 1000
+    assert found.sum() > 1000
 
 
 def test_held_out_languages_are_told_apart(spark):
