@@ -42,6 +42,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 UNDETERMINED = "und"
 START = "▁"  # fixed value: how the vocabulary marks the start of a word
 MAX_LANGUAGES = 200
+SAMPLE_PARTS = 64
 TINY = 1e-150
 # words of up to this length are scored many at a time, without a scale of their own
 SHORT_WORD = 30
@@ -221,12 +222,14 @@ class Lattice:
 
 def _sample(docs: DataFrame, lang: str, doc_id: str, text: str, languages: list[str], sample_docs: int) -> DataFrame:
     """(language, text) of the first documents of each language by a hash of the id."""
-    first = Window.partitionBy("_li_lang").orderBy("_li_order", "_li_id")
     known = docs.filter(F.col(lang).isin(languages) & F.col(doc_id).isNotNull())
     rows = known.select(F.col(lang).alias("_li_lang"), F.col(doc_id).alias("_li_id"))
-    rows = rows.distinct().withColumn("_li_order", F.xxhash64("_li_id", F.lit("language")))
-    chosen = rows.withColumn("_li_n", F.row_number().over(first)).filter(F.col("_li_n") <= sample_docs)
-    chosen = saved(chosen.select("_li_lang", "_li_id"), "language-sample")
+    chosen = rows.withColumn("_li_order", F.xxhash64("_li_id", F.lit("language")))
+    # a language may hold most rows: the first of each part of it, then the first of these
+    for part in ([F.pmod(F.col("_li_order"), F.lit(SAMPLE_PARTS))], []):
+        first = Window.partitionBy("_li_lang", *part).orderBy("_li_order", "_li_id")
+        chosen = chosen.withColumn("_li_n", F.row_number().over(first)).filter(F.col("_li_n") <= sample_docs)
+    chosen = saved(chosen.select("_li_lang", "_li_id").distinct(), "language-sample")
     texts = known.select(F.col(lang).alias("_li_lang"), F.col(doc_id).alias("_li_id"), whole(text).alias("_li_text"))
     # languages x sample_docs ids at most
     return texts.join(F.broadcast(chosen), ["_li_lang", "_li_id"]).select("_li_lang", "_li_text")
