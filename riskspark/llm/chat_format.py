@@ -24,7 +24,7 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,9 @@ WINDOWS = (
     "conv_id long, window int, text string, first_turn int, n_turns int, n_repeated int, n_tokens int, "
     "over_budget boolean, loss_starts array<int>, loss_ends array<int>"
 )
+_TYPES = {
+    "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()),
+}
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _ROLE = {"\\": "\\\\", "\n": "\\n", "\r": "\\r"}
 
@@ -116,13 +119,16 @@ class _Windows:
         return row
 
 
-def _ordered(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple]:
+def _ordered(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    """Rows as exact Python values (longs beside a NULL stay whole numbers)."""
     for batch in batches:
-        yield from zip(*(batch[c] for c in columns), strict=True)
+        yield from zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
 
 
-def _id(value):
-    return None if pd.isna(value) else int(value)
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = [pa.array(c, _TYPES[kind]) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=[name for name, _ in fields])
 
 
 def windows(
@@ -133,23 +139,22 @@ def windows(
     measure: Callable[[str], int] = count_tokens,
 ) -> DataFrame:
     """Formatted windows of all conversations (columns conv_id, turn, role, text; others are ignored)."""
-    names = [f.split()[0] for f in re.sub(r"array<int>", "array", WINDOWS).split(", ")]
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for conv, turns in groupby(_ordered(batches, ["conv_id", "role", "text"]), key=lambda r: _id(r[0])):
+        for conv, turns in groupby(_ordered(batches, ["conv_id", "role", "text"]), key=lambda r: r[0]):
             made = _Windows(conv, budget, history, history_tokens, measure)
             for _, role, text in turns:
                 rows.extend(made.add(role, text))
                 if len(rows) >= 1000:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield _batch(rows, WINDOWS)
                     rows = []
             rows.append(made.close())
         if rows:
-            yield pd.DataFrame(rows, columns=names)
+            yield _batch(rows, WINDOWS)
 
-    turns = conversations.select("conv_id", "turn", whole("role").alias("role"), whole("text").alias("text"))
-    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(build, WINDOWS)
+    turns = conversations.select(F.col("conv_id").cast("long"), "turn", whole("role").alias("role"), whole("text").alias("text"))
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(build, WINDOWS)
 
 
 def parse(text: str) -> list[tuple[str, str, int, int]]:
@@ -172,10 +177,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
         "formatted_chars long, n_windows long"
     )
 
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         columns = ["conv_id", "text", "n_repeated", "loss_starts", "loss_ends"]
-        for conv, parts in groupby(_ordered(batches, columns), key=lambda r: _id(r[0])):
+        for conv, parts in groupby(_ordered(batches, columns), key=lambda r: r[0]):
             turns_hash, loss_hash = hashlib.sha256(), hashlib.sha256()
             n_turns = loss_chars = chars = n_windows = 0
             for _, text, repeated, starts, ends in parts:
@@ -190,10 +195,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 n_windows += 1
             rows.append((conv, n_turns, turns_hash.hexdigest(), loss_chars, loss_hash.hexdigest(), chars, n_windows))
             if len(rows) >= 5000:
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+                yield _batch(rows, schema)
                 rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+            yield _batch(rows, schema)
 
     kept = formatted.select("conv_id", "window", "text", "n_repeated", "loss_starts", "loss_ends")
-    return kept.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInPandas(digest, schema)
+    return kept.repartition("conv_id").sortWithinPartitions("conv_id", "window").mapInArrow(digest, schema)

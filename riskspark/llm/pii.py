@@ -27,6 +27,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -376,16 +377,20 @@ def find(docs: DataFrame, weights: dict[str, float], doc_id: str = "doc_id", tex
     """doc_id, counts of base spans per kind, digest of the base spans, all spans as text, n_added."""
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in schema.split(", ")]
+        types = [pa.int64()] * len(KINDS) + [pa.string(), pa.string(), pa.int64()]
         for batch in batches:
             rows = []
-            for key, body in zip(batch["_pii_id"], batch["_pii_text"], strict=True):
+            for body in batch.column(1).to_pylist():
                 fixed, every = spans_of(body, weights) if _TRIGGER.search(body) else ([], [])
                 counts = [sum(s[0] == k for s in fixed) for k in range(len(KINDS))]
                 digest = hashlib.sha256(listed(fixed).encode()).hexdigest()
-                rows.append((None if pd.isna(key) else int(key), *counts, digest, listed(every), len(every) - len(fixed)))
+                rows.append((*counts, digest, listed(every), len(every) - len(fixed)))
             if rows:
-                yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+                # ids stay Arrow values: other frames turn longs beside a NULL into doubles
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     texts = docs.select(F.col(doc_id).cast("long").alias("_pii_id"), whole(text).alias("_pii_text"))
-    return texts.mapInPandas(run, schema)
+    return texts.mapInArrow(run, schema)

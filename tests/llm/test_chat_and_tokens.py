@@ -29,6 +29,8 @@ def odd_turns():
             text = "".join(rng.choice(PIECES) for _ in range(rng.randrange(12))) if conv % 3 else sentence(conv * 50 + turn, rng.choice([3, 60, 700]))
             rows.append((conv, turn, role, rng.choice([text, text, text, None, ""])))
     rows += [(77, None, "user", "null turn"), (77, 0, "assistant", "x"), (77, 0, "assistant", "x"), (None, 0, "assistant", "no id"), (None, None, None, None)]
+    # ids beyond 2**53 beside a missing one
+    rows += [((1 << 60) + 1, 0, "user", "first"), ((1 << 60) + 3, 0, "assistant", "second"), ((1 << 53) + 1, 1, "user", "third")]
     rows += [(500, t, "assistant" if t % 2 else "user", f"turn {t}") for t in range(3000)]
     return rows
 

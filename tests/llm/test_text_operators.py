@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskspark.llm import exact_dedup, pii, quality, queries, url_filter
 from riskspark.llm.common import fold_of
@@ -137,6 +138,16 @@ def test_personal_data_of_odd_texts(spark):
     assert pii.fit(scattered)  # most partitions have no region at all
 
 
+def test_ids_beyond_doubles_stay_as_they_are(spark):
+    large = [(1 << 60) + 1, (1 << 60) + 3, (1 << 53) + 1, None, -(1 << 62) - 1]
+    frame = docs(spark, [(i, f"mail a{k}@b.com" if k else "none") for k, i in enumerate(large)]).coalesce(1)
+    weights = pii.fit(frame)
+    assert [r.doc_id for r in pii.find(frame, weights).collect()] == large
+    model = quality.fit(frame, frame.select("doc_id", F.lit(1).alias("quality")))
+    assert [r.doc_id for r in quality.score(frame, model).collect()] == large
+    assert {r.doc_id for r in exact_dedup.exact_groups(frame).collect()} == set(large)
+
+
 def test_spoken_addresses_and_long_hosts_are_found(spark):
     spoken = [
         "bob at mail dot example dot com",
