@@ -163,13 +163,29 @@ CONTRACT = ["entity_id", "year", "delivered", "budget_exec", "arrears_pct", "fis
 )
 def src_union_states(t: Tables) -> DataFrame:
     """Two state folders lack a required column and are skipped."""
+    union, _skipped = R.union_state_files(t.spark, state_files(t), CONTRACT)
+    return union
+
+
+def state_files(t: Tables) -> str:
     base = t.path("states")
     rows = I.indicators(t).select("state", *CONTRACT)
     broken = F.col("state").isin("AC", "PB")
     rows.filter(~broken).write.partitionBy("state").parquet(base)
     rows.filter(broken).drop("budget_exec").write.mode("append").partitionBy("state").parquet(base)
-    union, _skipped = R.union_state_files(t.spark, base, CONTRACT)
-    return union
+    return base
+
+
+@query(
+    "src_skipped_files",
+    "state:s missing:s",
+    "SELECT DISTINCT state, 'budget_exec' AS missing FROM x_indicators WHERE state IN ('AC', 'PB')",
+)
+def src_skipped_files(t: Tables) -> DataFrame:
+    """What the column contract reports: each state with a skipped file, and the columns that it lacks."""
+    _union, skipped = R.union_state_files(t.spark, state_files(t), CONTRACT)
+    rows = sorted({(f.state, ", ".join(f.missing)) for f in skipped})
+    return t.spark.createDataFrame(rows, "state string, missing string")
 
 
 SHEET_GRADES = {"1": "A+", "2": "a", "3": " B ", "4": "n.d.", "5": "C"}
@@ -408,12 +424,17 @@ def schema_evolve(t: Tables) -> DataFrame:
               entity_id || ',' || state || ',' || name || ',' || population FROM x_dim""",
 )
 def export_csv(t: Tables) -> DataFrame:
-    """The lines of the exported file in their order, and whether they start with the byte-order mark."""
+    """The lines of a sorted export into several files, numbered through all of them in order.
+
+    Each file starts with the byte-order mark and the header; only the first header is shown.
+    """
     path = t.path("export")
-    K.export_csv(S.dim(t), path, [F.col("state"), F.col("entity_id")], single_file=True)
-    lines = t.spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("line", "raw"))
-    marked = F.startswith("raw", F.lit(K.BYTE_ORDER_MARK))
-    return lines.select("line", marked.alias("has_mark"), F.when(marked, F.substring("raw", 2, 10_000)).otherwise(F.col("raw")).alias("text"))
+    K.export_csv(S.dim(t), path, [F.col("state"), F.col("entity_id")])
+    lines = R.number_lines(t.spark, path).join(K.marked_files(t.spark, path), "file")
+    head = F.col("line_of_file") == 0
+    again = head & (F.col("file_number") > 0) & F.col("has_mark")  # a header without its mark would show
+    line = (F.col("line") - F.col("file_number")).alias("line")
+    return lines.filter(~again).select(line, (head & F.col("has_mark")).alias("has_mark"), F.col("value").alias("text"))
 
 
 @query(
@@ -478,18 +499,24 @@ def stream_upsert(t: Tables) -> DataFrame:
        UNION ALL SELECT id, state, year, price * 2e0 FROM x_ledger WHERE year >= 2000""",
 )
 def stream_replace_slice(t: Tables) -> DataFrame:
-    """Each load lies in several files, taken one per batch; files of the first load arrive last."""
+    """Each load lies in several files, taken one per batch; files of the first load arrive last.
+
+    Markers say how many rows each load brings to a slice; those of the second come before its rows.
+    """
     source, target = t.path("landing"), t.path("slices")
-    checkpoint = t.path("stream-checkpoint")
+    checkpoint, markers = t.path("stream-checkpoint"), t.path("markers")
     schema = "id bigint, state string, year bigint, price double, seq bigint, load_id bigint"
     rows = ledger(t).drop("status_code")
     second = rows.filter("year >= 2000").withColumn("price", F.col("price") * 2.0)
     late = F.col("price") > 150_000.0
-    arrivals = ((0, rows.filter(~late)), (1, second), (0, rows.filter(late)))
-    for number, load in arrivals:
+    arrivals = ((0, rows.filter(~late), second, 1), (1, second, None, None), (0, rows.filter(late), rows, 0))
+    for number, load, announced, of in arrivals:
         load.withColumn("load_id", F.lit(number)).repartition(3).write.mode("append").json(source)
+        if announced is not None:
+            told = announced.groupBy("state", "year").agg(F.count("*").alias("expected_rows"))
+            told.withColumn("load_id", F.lit(of)).write.mode("append").json(markers)
         X.incremental_replace_slice(
-            t.spark, source, schema, target, checkpoint, ["id"], ["year"], "seq", "load_id", files_per_batch=1
+            t.spark, source, schema, target, checkpoint, ["id"], ["year"], "seq", "load_id", markers, files_per_batch=1
         )
     return t.spark.read.parquet(target)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from riskspark.functions.text import blank_or_null
@@ -32,30 +32,75 @@ def accepted_values(df: DataFrame, column: str, accepted: list) -> DataFrame:
     return foreign.groupBy(F.col(column).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def key_checks(df: DataFrame, keys: list[str], state: str | None = None) -> DataFrame:
-    """Blank keys, and rows of another state where one is expected."""
+def key_conditions(keys: list[str], state: str | None = None) -> dict[str, Column]:
     checks = {f"blank_{k}": blank_or_null(F.col(k).cast("string")) for k in keys}
     if state is not None:
         checks["foreign_state"] = F.upper("state") != state.upper()
-    return count_violations(df, checks)
+    return checks
+
+
+def key_checks(df: DataFrame, keys: list[str], state: str | None = None) -> DataFrame:
+    """Blank keys, and rows of another state where one is expected."""
+    return count_violations(df, key_conditions(keys, state))
+
+
+class Watch:
+    """Checks counted while rows are written, so that they cost no pass of their own.
+
+    ``rows`` is the frame to write (or to derive the written rows from); after the write,
+    ``raise_on_violations`` reports what was seen.
+    """
+
+    ROWS = "rows_seen"
+
+    def __init__(self, df: DataFrame, checks: dict[str, Column]):
+        self.checks = list(checks)
+        self._seen = Observation()
+        counts = [F.count_if(F.coalesce(checks[n], F.lit(False))).alias(n) for n in self.checks]
+        self.rows = df.observe(self._seen, F.count(F.lit(1)).alias(self.ROWS), *counts)
+
+    def counts(self, written: DataFrame) -> dict[str, int]:
+        """What was counted. Spark drops the counters of a plan that it finds to be empty."""
+        try:
+            found = self._seen.get
+        except Exception:
+            if not written.isEmpty():
+                raise
+            found = {}
+        return {name: found.get(name) or 0 for name in (self.ROWS, *self.checks)}
+
+    def raise_on_violations(self, written: DataFrame) -> int:
+        """Stop with the failing checks; else the number of rows seen. ``written`` is the result read back."""
+        counts = self.counts(written)
+        bad = [f"{name}={counts[name]}" for name in self.checks if counts[name]]
+        if bad:
+            raise ValueError("; ".join(bad))
+        return counts[self.ROWS]
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 
 
-def snapshot_checks(df: DataFrame, classes: list[str]) -> DataFrame:
-    """Everything a snapshot must satisfy before it is published."""
-    row_checks = {
+def snapshot_conditions(classes: list[str]) -> dict[str, Column]:
+    return {
         "null_entity": F.col("entity_id").isNull(),
         "unknown_class": F.col("risk_class").isNotNull() & ~F.col("risk_class").isin(classes),
         "score_out_of_range": ~F.col("score").between(0, 100),
         "bad_state": F.coalesce(F.length(F.trim("state")) != 2, F.lit(True)),
     }
-    rows = count_violations(df, row_checks)
-    repeated = unique(df.filter("entity_id IS NOT NULL"), ["entity_id"]).agg(
+
+
+def repeated_entities(df: DataFrame) -> DataFrame:
+    return unique(df.filter("entity_id IS NOT NULL"), ["entity_id"]).agg(
         F.lit("duplicate_entity").alias("check_name"), F.count(F.lit(1)).alias("violations")
     )
+
+
+def snapshot_checks(df: DataFrame, classes: list[str]) -> DataFrame:
+    """Everything a snapshot must satisfy before it is published."""
+    rows = count_violations(df, snapshot_conditions(classes))
+    repeated = repeated_entities(df)
     empty = df.limit(1).agg(
         F.lit("empty_snapshot").alias("check_name"), (1 - F.count(F.lit(1))).alias("violations")
     )

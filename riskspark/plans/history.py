@@ -13,7 +13,7 @@ from riskspark.functions.numbers import exact_mean
 from riskspark.functions.text import zero_pad
 from riskspark.operators.dedupe import keep_first, top_rows
 from riskspark.operators.ordered import number_rows, trailing
-from riskspark.operators.quality import missing_columns, raise_on_violations, snapshot_checks
+from riskspark.operators.quality import Watch, missing_columns, raise_on_violations, repeated_entities, snapshot_conditions
 from riskspark.session import work_path
 from riskspark.sinks.storage import remove, swap_partitions
 from riskspark.sinks.tables import append_rows, replace_partitions, typed
@@ -169,11 +169,15 @@ def publish_snapshot(scored: DataFrame, path: str, run_log_path: str, run: Run)
     spark = scored.sparkSession
     staged = work_path(spark, "snapshot")
     rows = snapshot_rows(scored, run.run_id, run.day, run.ts, run.methodology)
-    replace_daily_snapshot(rows, staged)
+    classes = [*P.RISK_CLASSES, P.NO_DATA_CLASS]
+    watch = Watch(rows, snapshot_conditions(classes))
+    replace_daily_snapshot(watch.rows, staged)
     # the type of a partition column is not in the files
     written = spark.read.schema(rows.schema).parquet(staged)
     try:
-        raise_on_violations(snapshot_checks(written, [*P.RISK_CLASSES, P.NO_DATA_CLASS]))
+        if not watch.raise_on_violations(written):
+            raise ValueError("empty_snapshot=1")
+        raise_on_violations(repeated_entities(written))
         log = run_log(written, run)
         log_rows = log.collect()  # one row per state
     except Exception:

@@ -1,13 +1,15 @@
 """Writers: append, keyed upsert, slice replacement, partitioned materialisation, exports.
 
-Slices are replaced by Spark's dynamic partition overwrite, upserts and snapshots by renaming staged
-partition folders into place. Either way a failed write leaves the old rows; a job that dies between two
-renames leaves some partitions new and some old, and a rerun completes it.
+Rows are checked while they are written to a staging folder beside the target, and put in place by renames
+once the checks have passed, so a batch is evaluated once and a failed write leaves the old rows. An upserted
+table changes when its next note appears, whole or not at all. Slices and snapshots are swapped folder by
+folder; what a job leaves that dies between two renames is made good by the next one.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,15 +17,27 @@ from pyspark.sql import types as T
 
 from riskspark import params as P
 from riskspark.operators.dedupe import dedupe_keep_last, keep_first
-from riskspark.operators.quality import key_checks, missing_columns, raise_on_violations
-from riskspark.session import work_path
-from riskspark.sinks.storage import read_note, remove, swap_partitions, write_note
+from riskspark.operators.quality import Watch, key_conditions, missing_columns
+from riskspark.session import list_dirs, work_path
+from riskspark.sinks.storage import add_files, claim, read_note, recover_folder, remove, replace_folder, swap_partitions, write_note
 
 BUCKET = "_bucket"
 
 
 def append_rows(df: DataFrame, path: str, truncate: bool = False) -> None:
-    df.write.mode("overwrite" if truncate else "append").parquet(path)
+    """Add rows to a plain table; with ``truncate`` the old rows go once the new ones are all written."""
+    spark = df.sparkSession
+    recover_folder(spark, path)
+    if not truncate:
+        df.write.mode("append").parquet(path)
+        return
+    staged = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(staged)
+    except Exception:
+        remove(spark, staged)
+        raise
+    replace_folder(spark, staged, path.rstrip("/"))
 
 
 def replace_partitions(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str] | None = None) -> None:
@@ -44,19 +58,36 @@ def materialize(df: DataFrame, path: str, partition_by: list[str], cluster_by: l
     replace_partitions(df, path, partition_by, cluster_by)
 
 
-def _checked_batch(
+def _stage(
     batch: DataFrame,
+    folder: str,
     keys: list[str],
-    extra: list[str],
     sequence: str,
-    state: str | None,
+    parts: list[str] | None = None,
+    state: str | None = None,
     newest: list[Column] | None = None,
-) -> DataFrame:
-    missing = missing_columns(batch, [*keys, *extra])
+) -> tuple[DataFrame, int]:
+    """The checked batch with one row per key, written to ``folder`` in the one pass that evaluates it.
+
+    Returns the rows read back, and how many rows the batch had. A batch that breaks a check leaves nothing.
+    """
+    spark = batch.sparkSession
+    needed = [*keys, *[c for c in parts or [] if c not in keys]]
+    missing = missing_columns(batch, needed)
     if missing:
         raise ValueError(f"batch lacks key columns: {', '.join(missing)}")
-    raise_on_violations(key_checks(batch, [*keys, *[c for c in extra if c not in keys]], state))
-    return keep_first(batch, keys, newest) if newest else dedupe_keep_last(batch, keys, sequence)
+    watch = Watch(batch, key_conditions(needed, state))
+    rows = keep_first(watch.rows, keys, newest) if newest else dedupe_keep_last(watch.rows, keys, sequence)
+    try:
+        if parts:
+            rows.hint("rebalance", *parts).write.partitionBy(*parts).parquet(folder)
+        else:
+            rows.write.parquet(folder)
+        written = spark.read.schema(batch.schema).parquet(folder)
+        return written, watch.raise_on_violations(written)
+    except Exception:
+        remove(spark, folder)
+        raise
 
 
 def merge_rows(target: DataFrame, batch: DataFrame, keys: list[str], newest: list[Column] | None = None) -> DataFrame:
@@ -100,18 +131,28 @@ def upsert(
     newest: list[Column] | None = None,
     state: str | None = None,
     buckets: int | None = None,
+    batch_id: tuple[str, int] | None = None,
 ) -> None:
-    """Keyed merge into a Parquet table partitioned by a hash bucket of the key.
+    """Keyed merge into a Parquet table kept in hash buckets of the key.
 
     Bucket count, column types and keys are stored with the table at its first load and hold from then
     on: later batches are fitted to them, another bucket count or key is an error, new columns are
     added. Without ``buckets`` the first load sets their number by its rows. Only buckets that the
-    batch touches are read, and each is written once. Ties of ``newest`` are settled by the sequence
-    and then by all columns, so the result does not depend on partitioning.
+    batch touches are read, and each is written once, to a folder of this load. The table's next note
+    then names the folder of every bucket: readers see the load as a whole or not at all, and a job that
+    dies anywhere leaves the table as it was. The load before stays on disk for readers under way.
+
+    ``batch_id``, a source's name and a number that grows, is remembered with the table: a batch that is
+    in the table already changes nothing when it comes again. Ties of ``newest`` are settled by the
+    sequence and then by all columns, so the result does not depend on partitioning.
     """
     spark = batch.sparkSession
-    note = read_note(spark, path)
+    number, note = read_note(spark, path)
+    places, batches = {}, {}
     if note:
+        places, batches = note["places"], note["batches"]
+        if batch_id and batches.get(batch_id[0], -1) >= batch_id[1]:
+            return
         stored = T.StructType.fromJson(note["schema"])
         if note["keys"] != keys:
             raise ValueError(f"the table's key is {note['keys']}, not {keys}")
@@ -120,35 +161,54 @@ def upsert(
         buckets, batch = note["buckets"], fitted(batch, stored, keys)
     rest = [c for c in sorted(batch.columns) if c not in keys]
     total = [*newest, F.col(sequence).desc_nulls_last(), *[F.col(c).desc_nulls_last() for c in rest]] if newest else None
-    staged_batch, staged = work_path(spark, "upsert-batch"), work_path(spark, "upsert-merged")
-    _checked_batch(batch, keys, [], sequence, state, total).write.parquet(staged_batch)
-    clean = spark.read.schema(batch.schema).parquet(staged_batch)
+    staged = work_path(spark, "upsert-batch")
+    clean, rows = _stage(batch, staged, keys, sequence, None, state, total)
     if buckets is None:
-        buckets = max(64, -(-clean.count() // ROWS_PER_BUCKET))
+        buckets = max(64, -(-rows // ROWS_PER_BUCKET))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in batch.schema])
-    clean = clean.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     merged = clean
-    if note:
-        touched = [r[BUCKET] for r in clean.select(BUCKET).distinct().collect()]  # at most ``buckets`` ints
-        target = _stored_rows(spark, path, schema).filter(F.col(BUCKET).isin(touched))
-        merged = merge_rows(target, clean, [*keys, BUCKET], total)
-    # the schema only ever grows, so the old files read well with the new note
-    write_note(spark, path, {"buckets": buckets, "keys": keys, "schema": json.loads(schema.json())})
-    merged.hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(staged)
-    swap_partitions(spark, staged, path)
-    remove(spark, staged_batch)
-
-
-def _stored_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(T.StructType([*schema, T.StructField(BUCKET, T.IntegerType())])).parquet(path)
+    if places:
+        touched = [str(r[0]) for r in clean.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        held = _rows_at(spark, path, {b: places[b] for b in touched if b in places}, schema)
+        merged = merge_rows(held, clean, keys, total)
+    claim(spark, path)
+    load = f"load-{number + 1:010d}-{uuid.uuid4().hex[:8]}"
+    merged.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{load}")
+    written = [name.partition("=")[2] for name in list_dirs(spark, f"{path}/{load}")]
+    places = {**places, **{b: load for b in written}}
+    if batch_id:
+        batches = {**batches, batch_id[0]: batch_id[1]}
+    changed = {"buckets": buckets, "keys": keys, "schema": json.loads(schema.json()), "places": places, "batches": batches}
+    write_note(spark, path, number + 1, changed)
+    remove(spark, staged)
+    sweep(spark, path)
+
+
+def sweep(spark: SparkSession, path: str) -> None:
+    """Remove the buckets that neither the newest note nor the one before it names."""
+    number, note = read_note(spark, path)
+    _, before = read_note(spark, path, back=1)
+    named = {f"{load}/{BUCKET}={b}" for n in (note, before) if n for b, load in n["places"].items()}
+    for load in list_dirs(spark, path):
+        if load.startswith("load-") and int(load.split("-")[1]) <= number:
+            held = {f"{load}/{name}" for name in list_dirs(spark, f"{path}/{load}")}
+            old = held - named
+            remove(spark, *([f"{path}/{load}"] if old == held else [f"{path}/{name}" for name in old]))
+
+
+def _rows_at(spark: SparkSession, path: str, places: dict[str, str], schema: T.StructType) -> DataFrame:
+    if not places:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/{load}/{BUCKET}={b}" for b, load in sorted(places.items())])
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
     """All rows with the table's stored columns, whichever files have them."""
-    note = read_note(spark, path)
+    _, note = read_note(spark, path)
     if note is None:
         raise ValueError(f"{path} is no upserted table")
-    return _stored_rows(spark, path, T.StructType.fromJson(note["schema"])).drop(BUCKET)
+    return _rows_at(spark, path, note["places"], T.StructType.fromJson(note["schema"]))
 
 
 def typed(df: DataFrame, schema: dict[str, str]) -> DataFrame:
@@ -162,11 +222,12 @@ def typed(df: DataFrame, schema: dict[str, str]) -> DataFrame:
 
 
 def typed_upsert(
-    batch: DataFrame, path: str, schema: dict[str, str], keys: list[str], sequence: str, buckets: int | None = None
+    batch: DataFrame, path: str, schema: dict[str, str], keys: list[str], sequence: str, buckets: int | None = None,
+    batch_id: tuple[str, int] | None = None,
 ) -> None:
     """Upsert with declared types; ``updated_at`` is stamped on inserted and updated rows only."""
     rows = typed(batch, {**schema, sequence: "bigint"}).withColumn("updated_at", F.current_timestamp())
-    upsert(rows, path, keys, sequence, buckets=buckets)
+    upsert(rows, path, keys, sequence, buckets=buckets, batch_id=batch_id)
 
 
 def replace_slice(
@@ -177,7 +238,9 @@ def replace_slice(
     The batch must be the complete picture of its slices.
     """
     parts = ["state", *[c for c in slice_columns if c != "state"]]
-    replace_partitions(_checked_batch(batch, keys, parts, sequence, state), path, parts)
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    _stage(batch, staged, keys, sequence, parts, state)
+    swap_partitions(batch.sparkSession, staged, path, len(parts))
 
 
 def append_slice(
@@ -185,8 +248,9 @@ def append_slice(
 ) -> None:
     """Same checks as replace_slice, append only: for a first load into empty slices."""
     parts = ["state", *[c for c in slice_columns if c != "state"]]
-    clean = _checked_batch(batch, keys, parts, sequence, state)
-    clean.hint("rebalance", *parts).write.mode("append").partitionBy(*parts).parquet(path)
+    staged = f"{path}/_staged-{uuid.uuid4().hex}"
+    _stage(batch, staged, keys, sequence, parts, state)
+    add_files(batch.sparkSession, staged, path, len(parts))
 
 
 def fill_columns(df: DataFrame, defaults: dict[str, tuple[str, object]], order: list[str]) -> DataFrame:
@@ -211,6 +275,18 @@ def export_csv(df: DataFrame, path: str, order: list[Column], single_file: bool
     marked.write.mode("overwrite").option("header", True).csv(path)
 
 
+def marked_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, has_mark) of an export: whether each file starts with the byte-order mark.
+
+    The text reader leaves out the mark and the line ends; whatever else is missing from a file's size is no mark.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("n")
+    )
+    files = lines.groupBy("file", "size").agg(F.sum(F.col("n") + 1).alias("n"))
+    return files.select("file", (F.col("size") - F.col("n") == len(BYTE_ORDER_MARK.encode())).alias("has_mark"))
+
+
 # --- serving records ---------------------------------------------------------------------
 
 HISTORY_TYPE = (

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskspark import params as P
 from riskspark.functions.text import normalize_key
-from riskspark.operators.quality import missing_columns
-from riskspark.session import list_dirs, path_exists
+from riskspark.session import list_dirs, path_exists, work_path
 
 SURVEY_DATE_PREFIX = "Data da Pesquisa: "
 NO_DATA_MARKER = "_sem_dados"
@@ -33,24 +34,41 @@ def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", True).csv(path)
 
 
-def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files; a file that is not valid UTF-8 as a whole is read as Latin-1.
+# what is learned of a file takes some hundred bytes: at most this many files' facts are broadcast
+BROADCAST_FILES = 20_000
 
-    Which files those are is found first. The driver lists all files anyway, so their names are no
-    more than it holds already, and no line is shuffled.
+
+def _learned_lines(
+    spark: SparkSession, path: str, is_header: Column, date_text: Column | None, separator: str
+) -> tuple[DataFrame, list[str]]:
+    """Lines of text files with their file's date, if they have one, and the names in the common header.
+
+    One pass learns per file its encoding (a file that is not valid UTF-8 as a whole is Latin-1), its header
+    line and its last date; these facts, one row per file, are written and joined to the lines, which are read
+    once more. Neither the plan nor the driver grows with the number of files.
     """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"))
-    other = [r["_file"] for r in raw.filter(~F.is_valid_utf8("value")).select("_file").distinct().collect()]
+    header = F.when(is_header, F.col("value").cast("binary"))
+    facts = raw.groupBy("_file").agg(
+        F.bool_and(F.is_valid_utf8("value")).alias("_utf8"),
+        F.min(header).alias("_header"),
+        (F.min(header) < F.max(header)).alias("_mixed"),
+        F.max(date_text if date_text is not None else F.lit(None).cast("string")).alias("_date"),
+    )
+    place = work_path(spark, "file-facts")
+    facts.write.parquet(place)
+    facts = spark.read.schema(facts.schema).parquet(place)
+    text = F.when(F.col("_utf8"), F.col("_header").cast("string")).otherwise(F.decode("_header", "ISO-8859-1"))
+    text = F.rtrim(F.regexp_replace(text, "^\ufeff", ""), F.lit("\r"))
+    heads = facts.filter("_header IS NOT NULL").select(text.alias("header"), "_mixed").distinct().take(2)
+    if len(heads) != 1 or heads[0]["_mixed"]:
+        raise ValueError(f"expected one common header line, found {[h['header'] for h in heads] or 'none'}")
+    names = [name.strip().strip('"') for name in heads[0]["header"].split(separator)]
+    few = facts.limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    lines = raw.join(F.broadcast(facts) if few else facts, "_file")
     latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-    lines = raw.withColumn("value", F.when(F.col("_file").isin(other), latin).otherwise(F.col("value")))
-    return lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
-
-
-def _header_names(lines: DataFrame, is_header: Column, separator: str) -> list[str]:
-    found = [r.value for r in lines.filter(is_header).select("value").distinct().take(2)]
-    if len(found) != 1:
-        raise ValueError(f"expected one common header line, found {found or 'none'}")
-    return [name.strip().strip('"') for name in found[0].rstrip("\r").split(separator)]
+    value = F.regexp_replace(F.when(F.col("_utf8"), F.col("value")).otherwise(latin), "^\ufeff", "")
+    return lines.select(value.alias("value"), "_date"), names
 
 
 def _parse_rows(lines: DataFrame, names: list[str], separator: str, keep: list[Column]) -> DataFrame:
@@ -61,9 +79,8 @@ def _parse_rows(lines: DataFrame, names: list[str], separator: str, keep: list[C
 
 def read_separated(spark: SparkSession, path: str, required: list[str], separator: str = ";") -> DataFrame:
     """Separated all-string file whose header starts with ``required[0]``; checks the contract."""
-    lines = decoded_lines(spark, path)
-    is_header = F.regexp_replace(F.split_part("value", F.lit(separator), F.lit(1)), '"', "") == required[0]
-    names = _header_names(lines, is_header, separator)
+    is_header = F.regexp_replace(F.split_part("value", F.lit(separator), F.lit(1)), '["\ufeff]', "") == required[0]
+    lines, names = _learned_lines(spark, path, is_header, None, separator)
     missing = sorted(set(required) - set(names))
     if missing:
         raise ValueError(f"file lacks columns: {', '.join(missing)}")
@@ -74,20 +91,47 @@ def read_preamble_csv(spark: SparkSession, path: str, key_word: str = "IBGE", se
     """Bulk file with preamble lines: the survey date of each file becomes a column.
 
     Lines are told apart by content (header names the key, preamble lines lack separators), so
-    splits of a large file can be read by different tasks.
+    splits of a large file can be read by different tasks. Of several dates in a file the last counts.
     """
-    lines = decoded_lines(spark, path)
     is_date = F.col("value").contains(SURVEY_DATE_PREFIX)
     is_header = F.upper("value").contains(key_word) & F.col("value").contains(separator)
-    names = _header_names(lines, is_header, separator)
-    date_text = F.trim(F.replace(F.regexp_replace("value", '"', ""), F.lit(SURVEY_DATE_PREFIX), F.lit("")))
-    found = lines.filter(is_date).groupBy(date_text.alias("date")).agg(F.collect_set("_file").alias("files")).collect()
-    # a date line per file: the files' names again, by date; the last date of a file counts
-    date_of = [F.when(F.col("_file").isin(r["files"]), r["date"]) for r in sorted(found, key=lambda r: r["date"], reverse=True)]
-    survey_date = F.coalesce(*date_of, F.lit(None).cast("string")).alias("survey_date")
+    cleaned = F.regexp_replace("value", '["\ufeff]', "")
+    date_text = F.when(is_date, F.trim(F.replace(cleaned, F.lit(SURVEY_DATE_PREFIX), F.lit(""))))
+    lines, names = _learned_lines(spark, path, is_header & ~is_date, date_text, separator)
     n_separators = F.length("value") - F.length(F.replace("value", F.lit(separator), F.lit("")))
     rows = lines.filter(~is_date & ~is_header & (n_separators >= len(names) - 1))
-    return _parse_rows(rows, names, separator, [survey_date])
+    return _parse_rows(rows, names, separator, [F.col("_date").alias("survey_date")])
+
+
+def number_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of a folder of text files with their numbers: value, file, file_number, line_of_file, line (all from 0).
+
+    Files follow each other by name. The lines of a block of a file are read in order by one task, which
+    numbers them; the blocks' counts, one row per block, give the numbers where blocks and files start.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
+    )
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    place = work_path(spark, "line-blocks")
+    blocks.write.parquet(place)
+    blocks = spark.read.schema(blocks.schema).parquet(place)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = blocks.groupBy("file").agg(F.sum("n").alias("lines"))
+    in_order = Window.orderBy("file")  # a row per file
+    files = files.select(
+        "file",
+        (F.row_number().over(in_order) - 1).alias("file_number"),
+        F.coalesce(F.sum("lines").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("lines_before"),
+    )
+    starts = blocks.withColumn("in_file", before).join(files, "file").drop("n")
+    line_of_file = F.col("at") - F.col("first") + F.col("in_file")
+    return lines.join(starts, ["file", "block"]).select(
+        "value", "file", "file_number", line_of_file.alias("line_of_file"), (F.col("lines_before") + line_of_file).alias("line")
+    )
 
 
 def read_jsonl_checked(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -99,22 +143,42 @@ def read_jsonl_checked(spark: SparkSession, path: str, schema: T.StructType) ->
     return clean.drop("_corrupt_record", NO_DATA_MARKER)
 
 
-def union_state_files(spark: SparkSession, base: str, required: list[str]) -> tuple[DataFrame, list[str]]:
-    """Union of the ``state=XX`` folders that meet the column contract, and the states skipped.
+SCHEMA_THREADS = 16
+
+
+def file_columns(spark: SparkSession, files: list[str]) -> dict[str, list[str]]:
+    """The columns of every file, each from its own footer, which a task reads; several at a time."""
+    with ThreadPoolExecutor(SCHEMA_THREADS) as pool:
+        return dict(zip(files, pool.map(lambda file: spark.read.parquet(file).columns, files), strict=True))
+
+
+@dataclass(frozen=True)
+class SkippedFile:
+    state: str
+    file: str
+    missing: tuple[str, ...]
+
+
+def union_state_files(spark: SparkSession, base: str, required: list[str]) -> tuple[DataFrame, list[SkippedFile]]:
+    """Union of the files in the ``state=XX`` folders that meet the column contract, and the files that do not.
 
-    At most 27 folders; the contract is checked on footers only.
+    Every file is judged by its own columns, so a folder may hold both kinds. Files of the same columns are
+    read by one scan.
     """
-    frames, skipped = [], []
+    skipped, alike = [], {}
     for folder in list_dirs(spark, base):
         state = folder.partition("=")[2]
-        df = spark.read.parquet(f"{base}/{folder}").withColumn("state", F.lit(state))
-        if missing_columns(df, required):
-            skipped.append(state)
-        else:
-            frames.append(df)
-    if not frames:
-        raise ValueError("no state folder meets the column contract")
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames), skipped
+        for file, columns in file_columns(spark, spark.read.parquet(f"{base}/{folder}").inputFiles()).items():
+            missing = tuple(sorted(set(required) - set(columns)))
+            if missing:
+                skipped.append(SkippedFile(state, file, missing))
+            else:
+                alike.setdefault(tuple(c for c in columns if c != "state"), []).append(file)
+    if not alike:
+        raise ValueError("no state file meets the column contract")
+    frames = [spark.read.option("basePath", base).parquet(*files) for files in alike.values()]
+    union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return union.withColumn("state", F.col("state").cast("string")), skipped
 
 
 def first_source(
@@ -186,10 +250,12 @@ def discover_columns(rows: DataFrame, search_rows: int | None = None) -> DataFra
 
     ``rows``: file, sheet, row_index, year, cells (array of text). Per file the header is the
     first row, by sheet preference, that names a code, a state and a grade column, among all rows or
-    the first ``search_rows`` of a sheet. A file without such a row fails the job.
+    the first ``search_rows`` of a sheet. A file without such a row fails the job, also if none of its rows is
+    searched; rows without a file name are a file.
     """
     keys = F.transform("cells", normalize_key)
-    head = (rows.filter(F.col("row_index") < search_rows) if search_rows else rows).withColumn("_keys", keys)
+    # rows beyond the search stay in their file's group, without keys
+    head = rows.withColumn("_keys", F.when(F.col("row_index") < search_rows, keys) if search_rows else keys)
     head = head.withColumns(
         {
             "_code": find_column(F.col("_keys"), CODE_EXACT, CODE_CONTAINS),
@@ -207,7 +273,8 @@ def discover_columns(rows: DataFrame, search_rows: int | None = None) -> DataFra
     header = head.groupBy("file").agg(F.min_by(found, order).alias("_h"))
     no_header = F.raise_error(F.concat(F.lit("no header row in "), F.coalesce("file", F.lit("NULL"))))
     header = header.withColumn("_h", F.when(F.col("_h").isNull(), no_header).otherwise(F.col("_h")))
-    body = rows.join(header.select("file", "_h.*"), "file")
+    header = header.select(F.col("file").alias("_of"), "_h.*")
+    body = rows.join(header, F.col("file").eqNullSafe(F.col("_of")))
     body = body.filter((F.col("sheet") == F.col("_sheet")) & (F.col("row_index") > F.col("_at")))
 
     def cell(position: str) -> Column:

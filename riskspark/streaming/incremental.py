@@ -6,16 +6,18 @@ arrive in, and replaying a micro-batch changes nothing.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskspark.operators.dedupe import dedupe_latest
-from riskspark.operators.quality import key_checks, raise_on_violations
-from riskspark.session import path_exists, work_path
-from riskspark.sinks.storage import remove
+from riskspark.functions.text import blank_or_null
+from riskspark.operators.dedupe import dedupe_latest, keep_first
+from riskspark.session import list_dirs, path_exists, work_path
+from riskspark.sinks.storage import claim, read_note, remove, write_note
 from riskspark.sinks.tables import replace_partitions, replace_slice, upsert
 
 FAIL, SKIP = "FAILFAST", "DROPMALFORMED"  # skipping bad lines is the rule for procurement files only
@@ -49,25 +51,161 @@ def incremental_upsert(
     buckets: int | None = None,
     bad_lines: str = FAIL,
 ) -> None:
-    """Keep the newest version of each key in ``target``."""
+    """Keep the newest version of each key in ``target``, which remembers the micro-batches it holds."""
 
-    def load(batch: DataFrame, _batch_id: int) -> None:
-        upsert(batch, target, keys, sequence, newest=newest, buckets=buckets)
+    def load(batch: DataFrame, number: int) -> None:
+        upsert(batch, target, keys, sequence, newest=newest, buckets=buckets, batch_id=(checkpoint, number))
 
     load_new_files(spark, source, schema, checkpoint, load, files_per_batch, bad_lines)
 
 
-def newest_loads(landed: DataFrame, parts: list[str], load: str) -> DataFrame:
-    """All landed rows of each slice's newest load."""
-    last = landed.groupBy(*parts).agg(F.max(load).alias("_last"))
-    return landed.join(last, parts).filter(F.col(load) == F.col("_last")).drop("_last")
+# --- slices that arrive in loads ----------------------------------------------------------
 
+STATE_OF_LOADS = "_landed bigint, _expected bigint, _clashing boolean, _blank bigint, _batches array<bigint>, _rows bigint, _digest decimal(38,0)"
 
-def _fingerprint(rows: DataFrame, parts: list[str], load: str) -> DataFrame:
-    """Per slice: its load and an order-free digest of its rows."""
-    columns = sorted(rows.columns)
-    digest = F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))
-    return rows.groupBy(*parts).agg(F.max(load).alias("_load"), F.count(F.lit(1)).alias("_rows"), digest.alias("_digest"))
+
+def _digest(columns: list[str]) -> Column:
+    """An order-free digest of rows."""
+    return F.sum(F.xxhash64(*sorted(columns)).cast("decimal(38,0)"))
+
+
+def _batch_numbers(spark: SparkSession, folder: str) -> list[int]:
+    return sorted(int(n.partition("=")[2]) for n in list_dirs(spark, folder) if "=" in n) if path_exists(spark, folder) else []
+
+
+class SliceLoads:
+    """What has landed of each (state, slice, load), what is expected, and what was published.
+
+    The ledger is a small table beside the checkpoint with one row per slice and load: landed rows and the
+    batches that hold them, the rows that the load's marker announces, and, once published, the rows
+    and digest of the slice. Each settlement writes the next version, which a numbered note names together with the
+    batches it has seen, so a settlement that died is repeated from the version before. Loads at or below
+    the published one of their slice are left out.
+    """
+
+    def __init__(self, spark: SparkSession, checkpoint: str, slice_fields: dict[str, str], load: str):
+        base = checkpoint.rstrip("/")
+        self.spark, self.load, self.parts = spark, load, list(slice_fields)
+        self.landing, self.arrivals = f"{base}-landing", f"{base}-arrivals"
+        self.markers, self.ledger = f"{base}-markers", f"{base}-ledger"
+        self.key = [*self.parts, load]
+        self.key_types = ", ".join(f"{name} {kind}" for name, kind in {**slice_fields, load: "bigint"}.items())
+
+    # landing
+
+    def land(self, batch: DataFrame, number: int, keys: list[str]) -> None:
+        """Write a batch and count its rows by slice and load; a replayed batch lands in its own place."""
+        replace_partitions(batch.withColumn("_batch", F.lit(number)), self.landing, ["_batch"])
+        landed = self.spark.read.schema(batch.schema).parquet(f"{self.landing}/_batch={number}")
+        blank = F.count_if(reduce(lambda a, b: a | b, [blank_or_null(F.col(c).cast("string")) for c in keys]))
+        counted = landed.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_landed"), blank.alias("_blank"))
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{self.arrivals}/_batch={number}")
+
+    def announce(self, markers: DataFrame, number: int) -> None:
+        rows = markers.select(*self.key, F.col("expected_rows").alias("_expected"))
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.markers}/_batch={number}")
+
+    # settlement
+
+    def news(self) -> tuple[int, dict, list[int], list[int]]:
+        """Number and content of the ledger's note, and the batches of rows and markers it has not seen."""
+        number, note = read_note(self.spark, self.ledger)
+        note = note or {"version": None, "arrivals": -1, "markers": -1}
+        arrivals = [n for n in _batch_numbers(self.spark, self.arrivals) if n > note["arrivals"]]
+        markers = [n for n in _batch_numbers(self.spark, self.markers) if n > note["markers"]]
+        return number, note, arrivals, markers
+
+    def _read(self, folder: str, numbers: list[int], schema: str) -> DataFrame:
+        if not numbers:
+            return self.spark.createDataFrame([], f"{schema}, _batch bigint")
+        paths = [f"{folder}/_batch={n}" for n in numbers]
+        return self.spark.read.option("basePath", folder).schema(f"{schema}, _batch bigint").parquet(*paths)
+
+    def held(self, note: dict) -> DataFrame:
+        schema = f"{self.key_types}, {STATE_OF_LOADS}"
+        if note["version"] is None:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.ledger}/{note['version']}")
+
+    def merged(self, note: dict, arrivals: list[int], markers: list[int]) -> DataFrame:
+        """The ledger with the unseen batches added, one row per slice and load."""
+        new = self._read(self.arrivals, arrivals, f"{self.key_types}, _landed bigint, _blank bigint")
+        told = self._read(self.markers, markers, f"{self.key_types}, _expected bigint")
+        rows = self.held(note).withColumn("_least", F.col("_expected"))
+        rows = rows.unionByName(new.withColumn("_batches", F.array("_batch")).drop("_batch"), allowMissingColumns=True)
+        rows = rows.unionByName(told.drop("_batch").withColumn("_least", F.col("_expected")), allowMissingColumns=True)
+        return rows.groupBy(*self.key).agg(
+            F.coalesce(F.sum("_landed"), F.lit(0)).alias("_landed"),
+            F.max("_expected").alias("_expected"),
+            (F.min("_least") < F.max("_expected")).alias("_clashing"),
+            F.coalesce(F.sum("_blank"), F.lit(0)).alias("_blank"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("_batches")))).alias("_batches"),
+            F.max("_rows").alias("_rows"),
+            F.max("_digest").alias("_digest"),
+        )
+
+    def refuse(self, rows: DataFrame) -> None:
+        """Stop on rows that belong to no slice or load, and on markers that contradict themselves."""
+        checks = {f"blank_{c}": F.when(blank_or_null(F.col(c).cast("string")), F.col("_landed")) for c in self.key}
+        checks |= {"blank_key": F.col("_blank"), "clashing_markers": F.col("_clashing").cast("bigint")}
+        checks["expected_rows_below_1"] = (F.col("_expected") < 1).cast("bigint")
+        found = rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in checks.items()]).first().asDict()
+        bad = [f"{name}={n}" for name, n in found.items() if n]
+        if bad:
+            raise ValueError("; ".join(bad))
+
+    def open_loads(self, rows: DataFrame) -> DataFrame:
+        """Loads newer than the published one of their slice."""
+        last = F.max(F.when(F.col("_rows").isNotNull(), F.col(self.load))).over(Window.partitionBy(*self.parts))
+        return rows.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col(self.load) > F.col("_last"))).drop("_last")
+
+    def settle(self, schema: str, target: str, keys: list[str], sequence: str) -> None:
+        """Publish the newest complete load of every slice that has a new one."""
+        number, note, arrivals, markers = self.news()
+        if not arrivals and not markers:
+            return
+        spark, work = self.spark, work_path(self.spark, "slice-loads")
+        self.merged(note, arrivals, markers).write.parquet(f"{work}/rows")
+        rows = spark.read.schema(f"{self.key_types}, {STATE_OF_LOADS}").parquet(f"{work}/rows")
+        self.refuse(rows)
+        ready = self.open_loads(rows).filter("_landed >= _expected")
+        # landed files of these loads; at most one number per batch reaches the driver
+        numbers = sorted(r[0] for r in ready.select(F.explode("_batches")).distinct().collect())
+        published = rows.filter("_rows IS NOT NULL")
+        if numbers:
+            landed = self._read(self.landing, numbers, schema).drop("_batch")
+            wanted = landed.join(ready.select(*self.key, "_expected"), self.key)
+            rows_of = dedupe_latest(wanted, [*keys, *[c for c in self.key if c not in keys]], [sequence])
+            rows_of.write.parquet(f"{work}/complete")
+            staged = spark.read.schema(rows_of.schema).parquet(f"{work}/complete")
+            counted = staged.groupBy(*self.key).agg(
+                F.max("_expected").alias("_expected"),
+                F.count(F.lit(1)).alias("_rows"),
+                _digest([c for c in staged.columns if c != "_expected"]).alias("_digest"),
+            )
+            counted.write.parquet(f"{work}/counted")
+            counted = spark.read.schema(counted.schema).parquet(f"{work}/counted")
+            over = counted.filter("_rows > _expected").select(*self.key, "_expected", "_rows").take(3)
+            if over:
+                raise ValueError(f"more rows landed than the markers announce: {[tuple(r) for r in over]}")
+            newest = [F.col(self.load).desc()]
+            chosen = keep_first(counted.filter("_rows = _expected"), self.parts, newest)
+            chosen.write.parquet(f"{work}/chosen")
+            chosen = spark.read.schema(chosen.schema).parquet(f"{work}/chosen")
+            if not chosen.isEmpty():
+                new_rows = staged.join(chosen.select(*self.key), self.key, "left_semi").drop("_expected")
+                replace_slice(new_rows, target, keys, self.parts, sequence)
+                done = rows.drop("_rows", "_digest").join(chosen.select(*self.key, "_rows", "_digest"), self.key)
+                published = published.unionByName(done)
+        open_rows = self.open_loads(rows.filter("_rows IS NULL").unionByName(published)).filter("_rows IS NULL")
+        newest = keep_first(published, self.parts, [F.col(self.load).desc()])
+        version = f"version-{number + 1:010d}-{uuid.uuid4().hex[:8]}"
+        claim(spark, self.ledger)
+        both = open_rows.unionByName(newest)
+        both.select(*self.key, *[f.split()[0] for f in STATE_OF_LOADS.split(", ")]).coalesce(1).write.parquet(f"{self.ledger}/{version}")
+        changed = {"version": version, "arrivals": max([note["arrivals"], *arrivals]), "markers": max([note["markers"], *markers])}
+        write_note(spark, self.ledger, number + 1, changed)
+        remove(spark, work, *([f"{self.ledger}/{note['version']}"] if note["version"] else []))
 
 
 def incremental_replace_slice(
@@ -80,40 +218,32 @@ def incremental_replace_slice(
     slice_columns: list[str],
     sequence: str,
     load_column: str,
+    markers: str,
     files_per_batch: int | None = None,
     bad_lines: str = FAIL,
 ) -> None:
-    """Each (state, slice) of ``target`` holds all rows of its newest load, numbered by ``load_column``.
-
-    Micro-batches only land their rows beside the checkpoint, one folder per batch, so a replayed batch
-    lands in its own place again. When no file is left, every slice whose newest landed load differs
-    from what the target holds is replaced by all landed rows of that load. So a load may be split over
-    any number of batches and runs, an older load that arrives late changes nothing, and a run that died
-    half way is completed by the next one. The target keeps the load number. A landed row with a blank
-    key, state, slice column or load number fails the job until it is removed from the landing folder.
+    """Each (state, slice) of ``target`` holds all rows of its newest complete load.
+
+    Loads are numbered by ``load_column``. A marker, a JSON record in the folder ``markers`` with the state,
+    the slice's columns, the load and ``expected_rows`` (rows of different keys), says what the load
+    brings to a slice; it may come before, among or after the rows. Micro-batches only land their rows beside the checkpoint
+    and count them. A load is shown, as a whole, once as many rows as announced have landed; until then
+    the slice stays as it was. So loads may be split over any number of files, batches and runs; an older
+    load that completes late, a repeated file and a replayed batch change nothing, and rows of a
+    load that is published already are ignored. A run without new files reads neither landed rows nor target.
+    The job fails on landed rows with a blank key, state, slice column or load number, until their batch is
+    removed from the landing and arrivals folders; on markers that differ for one load, or announce
+    less than one row; and when more rows land than announced. The target keeps the load number.
     """
+    fields = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(schema)}
     parts = ["state", *[c for c in slice_columns if c != "state"]]
-    landing = f"{checkpoint.rstrip('/')}-landing"
+    loads = SliceLoads(spark, checkpoint, {c: fields[c] for c in parts}, load_column)
 
-    def land(batch: DataFrame, batch_id: int) -> None:
-        replace_partitions(batch.withColumn("_batch", F.lit(batch_id)), landing, ["_batch"])
+    def land(batch: DataFrame, number: int) -> None:
+        loads.land(batch, number, keys)
 
     load_new_files(spark, source, schema, checkpoint, land, files_per_batch, bad_lines)
-    if not path_exists(spark, landing):
-        return
-    landed = spark.read.schema(f"{schema}, _batch bigint").parquet(landing).drop("_batch")
-    raise_on_violations(key_checks(landed, list(dict.fromkeys([*keys, *parts, load_column]))))
-    complete = dedupe_latest(newest_loads(landed, parts, load_column), keys, [sequence])
-    wanted = _fingerprint(complete, parts, load_column)
-    if path_exists(spark, target):
-        held = _fingerprint(spark.read.schema(complete.schema).parquet(target), parts, load_column)
-        same = [*parts, "_load", "_rows", "_digest"]
-        held = held.withColumnsRenamed({c: f"_h{c}" for c in same})
-        equal = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_h{c}")) for c in same])
-        wanted = wanted.join(held, equal, "left_anti")
-    changed = work_path(spark, "changed-slices")
-    wanted.select(*parts).write.parquet(changed)
-    slices = spark.read.parquet(changed)
-    if not slices.isEmpty():
-        replace_slice(complete.join(slices, parts, "left_semi"), target, keys, slice_columns, sequence)
-    remove(spark, changed)
+    if path_exists(spark, markers):
+        told = f"{loads.key_types}, expected_rows bigint"
+        load_new_files(spark, markers, told, f"{checkpoint.rstrip('/')}-marker-stream", loads.announce)
+    loads.settle(schema, target, keys, sequence)

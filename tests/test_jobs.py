@@ -158,58 +158,6 @@ def test_upsert_settles_ties_by_sequence_then_content(spark, tmp_path):
         assert as_rows(K.read_upserted(spark, path).select("v")) == [("c",)]
 
 
-LOAD_SCHEMA = "id bigint, state string, year bigint, price double, seq bigint, load_id bigint"
-
-
-def arrive(spark, source, load, rows, files):
-    frame = spark.createDataFrame([(i, s, y, p, 0, load) for i, s, y, p in rows], LOAD_SCHEMA)
-    frame.repartition(files).write.mode("append").json(source)
-
-
-def replace_new(spark, tmp_path, **options):
-    X.incremental_replace_slice(
-        spark, str(tmp_path / "in"), LOAD_SCHEMA, str(tmp_path / "t"), str(tmp_path / "cp"), ["id"], ["year"], "seq", "load_id", **options
-    )
-    return as_rows(spark.read.parquet(str(tmp_path / "t")).select("id", "price"))
-
-
-@pytest.mark.parametrize("files_per_batch", [1, 3, None])
-def test_a_load_split_over_batches_and_runs_keeps_all_rows(spark, tmp_path, files_per_batch):
-    source = str(tmp_path / "in")
-    first = [(i, "PB" if i % 2 else "CE", 2020 + i % 2, 1.0) for i in range(40)]
-    arrive(spark, source, 1, first, 4)
-    assert replace_new(spark, tmp_path, files_per_batch=files_per_batch) == sorted(((i, p) for i, _, _, p in first), key=str)
-    second = [(i, "PB", 2021, 2.0) for i in range(1, 40, 2)]
-    arrive(spark, source, 2, second[:10], 2)
-    replace_new(spark, tmp_path, files_per_batch=files_per_batch)
-    arrive(spark, source, 2, second[10:], 2)  # the rest of load 2 in a later run
-    arrive(spark, source, 1, [(99, "PB", 2021, 9.0)], 1)  # an older load, late
-    got = dict(replace_new(spark, tmp_path, files_per_batch=files_per_batch))
-    assert got == {**{i: 1.0 for i in range(0, 40, 2)}, **{i: 2.0 for i in range(1, 40, 2)}}
-    before = sorted(f.name for f in (tmp_path / "t").rglob("*.parquet"))
-    assert dict(replace_new(spark, tmp_path)) == got  # nothing new: nothing is rewritten
-    assert sorted(f.name for f in (tmp_path / "t").rglob("*.parquet")) == before
-
-
-@pytest.mark.parametrize(
-    ("row", "load", "message"),
-    [((2, None, 2020, 1.0), 1, "blank_state=1"), ((2, "PB", None, 1.0), 1, "blank_year=1"), ((2, "PB", 2020, 1.0), None, "blank_load_id=1")],
-)
-def test_a_landed_row_without_state_slice_or_load_fails_the_job(spark, tmp_path, row, load, message):
-    arrive(spark, str(tmp_path / "in"), 1, [(1, "PB", 2020, 1.0)], 1)
-    arrive(spark, str(tmp_path / "in"), load, [row], 1)
-    with pytest.raises(ValueError, match=message):
-        replace_new(spark, tmp_path)
-
-
-def test_a_bad_line_fails_a_load_unless_told_to_skip(spark, tmp_path):
-    arrive(spark, str(tmp_path / "in"), 1, [(1, "PB", 2020, 1.0)], 1)
-    (tmp_path / "in" / "bad.json").write_text('{"id": 2, "state"\n')
-    with pytest.raises(Exception, match="(?i)malformed"):
-        replace_new(spark, tmp_path)
-    assert replace_new(spark, tmp_path, bad_lines=X.SKIP) == [(1, 1.0)]
-
-
 def test_replace_slice_touches_only_its_slices(spark, tmp_path):
     path = str(tmp_path / "t")
     rows = [(1, "PB", 2023, "a", 1), (2, "PB", 2024, "b", 1), (3, "CE", 2024, "c", 1)]
