@@ -596,7 +596,7 @@ WHERE r.entity_id IS NOT NULL OR f.entity_id IS NOT NULL OR a.entity_id IS NOT N
 
 @query("postprocess", POST_SPEC, source="x_postprocess")
 def postprocess(t: Tables) -> DataFrame:
-    return PP.postprocess(base(t), S.ratings(t), S.WINDOW)
+    return PP.postprocess(S.dim(t), S.budget_lines(t), S.fiscal_lines(t), S.ratings(t), S.WINDOW)
 
 
 # --- first match, plans ------------------------------------------------------------------

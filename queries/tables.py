@@ -572,6 +572,19 @@ def dq_keys(t: Tables) -> DataFrame:
     return Q.key_checks(S.raw_contracts(t), ["contract_id", "no_data"], "pb")
 
 
+@query(
+    "dq_grid",
+    CHECK_SPEC,
+    sql_checks("x_budget_lines", {"unknown_state": "account_code IS NOT NULL AND value IS NOT NULL AND state = 'BA'",
+                                  "year_out_of_range": "account_code IS NOT NULL AND value IS NOT NULL AND year = 1997"}),
+)
+def dq_grid(t: Tables) -> DataFrame:
+    """Lines that the grid leaves out; here a state's name and a year are spoilt."""
+    spoilt = {"state": F.when(F.col("state") == "BA", "??").otherwise(F.col("state")),
+              "year": F.when(F.col("year") == 1997, 19970).otherwise(F.col("year"))}
+    return Q.grid_checks(S.budget_lines(t).withColumns(spoilt))
+
+
 @query(
     "dq_snapshot",
     CHECK_SPEC,

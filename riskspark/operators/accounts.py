@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from riskspark import params as P
 from riskspark.functions.text import label_matches
 
-GRID_YEARS = (1900, 2199)
+GRID_YEARS = P.GRID_YEARS
+GRID_STATES = sorted(P.STATE_REGION)
 Rule = tuple[str, list[str], str | None, str | None]
 
 
@@ -61,59 +62,90 @@ def priority_regime(lines: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def has_data() -> Column:
+    return F.col("account_code").isNotNull() & F.col("value").isNotNull()
+
+
+def in_grid_range() -> Column:
+    """Lines that may put a year into the grid: of a known state and a year within ``GRID_YEARS``."""
+    return F.col("state").isin(GRID_STATES) & F.col("year").between(*GRID_YEARS)
+
+
+def reporting_states() -> Column:
+    """The states whose lines have data, as one bit each: 27 states fit a number, so the sum stays a hash aggregate."""
+    position = F.array_position(F.array(*[F.lit(s) for s in GRID_STATES]), F.col("state")) - 1
+    return F.bit_or(F.when(has_data() & in_grid_range(), F.pow(F.lit(2.0), position).cast("bigint")))
+
+
+def budget_periods(lines: DataFrame) -> DataFrame:
+    """(entity, year, period): measures, and the states that report data in ``_states``."""
+    return pivot_lines(lines, ["entity_id", "year", "period"], P.BUDGET_RULES, reporting_states().alias("_states"))
+
+
+def budget_measures() -> list[Column]:
+    """Aggregates that take the measures of the last reported period."""
+    return [F.max("period").alias("budget_period"), *[F.max_by(name, "period").alias(name) for name in P.BUDGET_RULES]]
+
+
 def budget_pivot(lines: DataFrame) -> DataFrame:
     """(entity, year): measures of the last reported period."""
-    by_period = pivot_lines(lines, ["entity_id", "year", "period"], P.BUDGET_RULES).filter("period IS NOT NULL")
-    return by_period.groupBy("entity_id", "year").agg(
-        F.max("period").alias("budget_period"),
-        *[F.max_by(name, "period").alias(name) for name in P.BUDGET_RULES],
-    )
+    return budget_periods(lines).filter("period IS NOT NULL").groupBy("entity_id", "year").agg(*budget_measures())
 
 
-def fiscal_pivot(lines: DataFrame) -> DataFrame:
-    """(entity, year): cash measures of the preferred regime's last period.
+def fiscal_records(lines: DataFrame) -> DataFrame:
+    """(entity, year, regime, period) with an exact-annex line: the record, and its order of preference.
 
-    The period is chosen from exact-annex lines, the data from every line whose annex starts
-    with that name.
+    The period is chosen from exact-annex lines, the data from every line whose annex starts with that name.
     """
     has_exact = F.bool_or(F.col("annex") == P.FISCAL_ANNEX).alias("_exact")
     by_period = pivot_lines(lines, ["entity_id", "year", "regime", "period"], P.FISCAL_RULES, has_exact)
-    chosen = by_period.filter(F.col("_exact") & F.col("period").isNotNull())
     # one struct per record, so that all columns come from the same one; regime settles equal ranks
     record = F.struct("regime", "period", *P.FISCAL_RULES)
     choice = F.struct(-regime_rank(F.col("regime")), F.col("period"), F.col("regime"))
-    best = chosen.groupBy("entity_id", "year").agg(F.max_by(record, choice).alias("_r"))
-    wide = best.select(
-        "entity_id", "year", F.col("_r.regime").alias("fiscal_regime"), F.col("_r.period").alias("fiscal_period"),
-        *[f"_r.{name}" for name in P.FISCAL_RULES],
-    )
-    return wide.select(
-        "entity_id",
-        "year",
-        "fiscal_regime",
-        "fiscal_period",
-        F.coalesce("cash_after_iv", "cash_after_iii").alias("cash_after_total"),
-        "cash_after_pension",
-        F.coalesce("cash_before_iv", "cash_before_iii").alias("cash_before_total"),
-        "cash_before_pension",
-    )
+    chosen = by_period.filter(F.col("_exact") & F.col("period").isNotNull())
+    return chosen.select("entity_id", "year", record.alias("_record"), choice.alias("_choice"))
+
+
+def fiscal_columns(record: Column) -> dict[str, Column]:
+    """Cash measures of a fiscal record."""
+    return {
+        "fiscal_regime": record["regime"],
+        "fiscal_period": record["period"],
+        "cash_after_total": F.coalesce(record["cash_after_iv"], record["cash_after_iii"]),
+        "cash_after_pension": record["cash_after_pension"],
+        "cash_before_total": F.coalesce(record["cash_before_iv"], record["cash_before_iii"]),
+        "cash_before_pension": record["cash_before_pension"],
+    }
+
+
+def fiscal_pivot(lines: DataFrame) -> DataFrame:
+    """(entity, year): cash measures of the preferred regime's last period."""
+    best = fiscal_records(lines).groupBy("entity_id", "year").agg(F.max_by("_record", "_choice").alias("_r"))
+    return best.select("entity_id", "year", *[c.alias(n) for n, c in fiscal_columns(F.col("_r")).items()])
 
 
 def entity_year_grid(dim: DataFrame, lines: DataFrame, by_state: bool = True) -> DataFrame:
     """Every entity times every year for which its state (or any state) has data.
 
     The broadcast side is bounded by the known states times a range of years, whatever the lines hold;
-    without the hint the whole dimension would be shuffled onto 27 keys.
+    without the hint the whole dimension would be shuffled onto 27 keys. What falls outside is counted by
+    ``quality.grid_checks``.
     """
-    has_data = F.col("account_code").isNotNull() & F.col("value").isNotNull()
     if not by_state:
-        all_years = lines.filter(has_data).agg(F.collect_set("year")).scalar()
+        all_years = lines.filter(has_data()).agg(F.collect_set("year")).scalar()
         return dim.select("entity_id", F.explode(all_years).alias("year"))
-    sane = F.col("state").isin(list(P.STATE_REGION)) & F.col("year").between(*GRID_YEARS)
-    years = lines.filter(has_data & sane).select("state", "year").distinct()
+    years = lines.filter(has_data() & in_grid_range()).select("state", "year").distinct()
     return dim.join(F.broadcast(years), "state").select("entity_id", "year")
 
 
+def grid_of_periods(dim: DataFrame, periods: DataFrame) -> DataFrame:
+    """The grid by state from the ``_states`` of pivoted lines, without another scan of the lines."""
+    by_year = periods.filter("_states IS NOT NULL").groupBy("year").agg(F.bit_or("_states").alias("_states"))
+    known = F.array(*[F.struct(F.lit(s).alias("state"), F.lit(1 << k).alias("bit")) for k, s in enumerate(GRID_STATES)])
+    years = by_year.select("year", "_states", F.inline(known)).filter(F.col("_states").bitwiseAND(F.col("bit")) != 0)
+    return dim.join(F.broadcast(years.select("state", "year")), "state").select("entity_id", "year")
+
+
 def merge_on_key(keys: list[str], parts: list[DataFrame], combine: Callable[[str], Column]) -> DataFrame:
     """Full outer merge of frames with one row per key: one union and one shuffle, no joins."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

@@ -227,7 +227,7 @@ def expand_liquidity_pick(df: DataFrame) -> DataFrame:
 def autonomy_base(accounts: DataFrame, as_of: date) -> DataFrame:
     """Tax share of current revenue over the last five uniformly released years."""
     newest = F.least(F.coalesce(F.max("year"), F.lit(as_of.year - 2)), F.lit(as_of.year - 2))
-    limit = accounts.agg(newest.cast("int")).scalar()
+    limit = accounts.agg(newest.cast("int")).first()[0]  # one year; as a literal it reaches the scan's filters
     rows = accounts.filter(F.col("year").between(limit - 4, limit))
     ratio = half_away(guarded_ratio(F.col("tax_revenue"), F.col("current_revenue")), 6)
     return rows.select("entity_id", "year", "population", "tax_revenue", "current_revenue", ratio.alias("autonomy"))

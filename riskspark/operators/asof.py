@@ -38,9 +38,8 @@ def rating_flags(year: Column) -> dict[str, Column]:
     }
 
 
-def attach_rating(targets: DataFrame, ratings: DataFrame) -> DataFrame:
-    """Targets at (entity, year) with the resolved rating columns."""
-    records = ratings.select(
+def rating_records(ratings: DataFrame) -> DataFrame:
+    return ratings.select(
         "entity_id",
         "year",
         F.col("year").alias("rating_year"),
@@ -48,5 +47,9 @@ def attach_rating(targets: DataFrame, ratings: DataFrame) -> DataFrame:
         F.col("grade").alias("rating_grade"),
         F.col("factor").alias("rating_factor"),
     )
-    joined = asof_attach(targets, records, "entity_id", "year", RATING_FIELDS)
+
+
+def attach_rating(targets: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Targets at (entity, year) with the resolved rating columns."""
+    joined = asof_attach(targets, rating_records(ratings), "entity_id", "year", RATING_FIELDS)
     return joined.withColumns(rating_flags(F.col("year")))

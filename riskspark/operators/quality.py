@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from riskspark import params as P
 from riskspark.functions.text import blank_or_null
 
 
@@ -78,6 +79,14 @@ class Watch:
         return counts[self.ROWS]
 
 
+def grid_checks(lines: DataFrame) -> DataFrame:
+    """Lines with data that put no year into the entity grid: their state is unknown or their year is out of range."""
+    with_data = F.col("account_code").isNotNull() & F.col("value").isNotNull()
+    known = F.coalesce(F.col("state").isin(list(P.STATE_REGION)), F.lit(False))
+    sane = F.coalesce(F.col("year").between(*P.GRID_YEARS), F.lit(False))
+    return count_violations(lines, {"unknown_state": with_data & ~known, "year_out_of_range": with_data & ~sane})
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return sorted(set(required) - set(df.columns))
 

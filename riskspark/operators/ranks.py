@@ -17,6 +17,7 @@ from riskspark import params as P
 from riskspark.functions.numbers import exact_mean, half_even
 from riskspark.functions.ratings import auc_strength, correlation_strength, executive_reading
 from riskspark.operators.ordered import join_null_safe
+from riskspark.session import written
 
 SLICES_PER_DOUBLING = 1024
 SMALLEST_EXPONENT = -40  # magnitudes below 2**-40 share the slice of zero
@@ -171,42 +172,85 @@ def pair_counts(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def metrics_by_group(pairs: DataFrame, group: str, min_pairs: int = 30) -> DataFrame:
     """Rank correlation, AUC and levels per group.
 
-    The complete era is the base where it has enough pairs, otherwise all pairs. Both bases are
-    computed from one pre-aggregation and the better one is kept, so pairs are shuffled once.
-    ``pairs``: entity_id, era, score, outcome and the group column.
+    The complete era is the base where it has enough pairs, otherwise all pairs. ``pairs``: entity_id,
+    era, score, outcome and the group column. Pairs are shuffled once, to counts per (base, score,
+    outcome). The scores and the outcomes of all bases are stacked as rows (group, base, measure, value,
+    counts), and one pass gives each value the totals of the smaller ones; ranks, medians, AUC and levels
+    all come from these. Counts and totals are written once, since three branches read them.
     """
     rows = pairs.filter(F.col(group).isNotNull())
     bases = F.when(F.col("era") == "completa", F.array(F.lit(P.BASE_COMPLETE), F.lit(P.BASE_TOTAL))).otherwise(
         F.array(F.lit(P.BASE_TOTAL))
     )
-    counts = pair_counts(rows, [group, "era", "score", "outcome"]).withColumn("base", F.explode(bases))
+    counts = written(pair_counts(rows, [group, "era", "score", "outcome"]), "metric-counts")
+    counts = counts.withColumn("base", F.explode(bases))
     keys = [group, "base"]
+    paired = F.col("score").isNotNull() & F.col("outcome").isNotNull()
     event = F.col("outcome") > P.CHRONIC_ARREARS_PCT
-    levels = counts.groupBy(*keys).agg(
-        F.sum("n").alias("n_pairs"),
-        F.sum(F.when(event, F.col("n")).otherwise(0)).alias("positives"),
-        (F.sum((F.col("n") * F.col("score")).cast("decimal(38,4)")).cast("double") / F.sum("n")).alias("_mean"),
+
+    def of(condition: Column) -> Column:
+        return F.when(condition, F.col("n")).otherwise(0)
+
+    measures = F.array(
+        *[
+            F.struct(F.lit(name).alias("measure"), F.col(name).cast("double").alias("value"))
+            for name in ("score", "outcome")
+        ]
+    )
+    sums = {"n": F.col("n"), "ranked": of(paired), "pos": of(event), "neg": F.when(event, 0).otherwise(F.col("n"))}
+    stacked = counts.select(*keys, *[c.alias(k) for k, c in sums.items()], F.inline(measures))
+    per_value = stacked.groupBy(*keys, "measure", "value").agg(*[F.sum(c).alias(c) for c in sums])
+    # the median leaves missing values out, so they must not be counted below the others
+    per_value = per_value.withColumn("known", F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0))
+    totals = written(running_totals(per_value, [*keys, "measure"], "value", ["known", "ranked", "pos", "neg"]), "metric-totals")
+
+    mean_rank = F.col("before_ranked") + (F.col("ranked") + 1) / 2.0 - (F.col("all_ranked") + 1) / 2.0
+    ranks = totals.filter("ranked > 0").select(*keys, "measure", "value", mean_rank.alias("rank"))
+    crossed = counts.filter(paired)
+    for name in ("score", "outcome"):
+        of_measure = ranks.filter(F.col("measure") == name)
+        of_measure = of_measure.select(*keys, F.col("value").alias(name), F.col("rank").alias(f"rank_{name}"))
+        crossed = join_null_safe(crossed.withColumn(name, F.col(name).cast("double")), of_measure, [*keys, name])
+    crossed = crossed.select(*keys, (F.col("n") * F.col("rank_score") * F.col("rank_outcome")).alias("cross"))
+
+    is_score, is_outcome = F.col("measure") == "score", F.col("measure") == "outcome"
+    wins = F.col("pos").cast("decimal(19,0)") * (F.col("before_neg") * 2 + F.col("neg")).cast("decimal(19,0)")
+
+    def middle(position: Column) -> Column:
+        inside = (F.col("before_known") <= position) & (position < F.col("before_known") + F.col("known"))
+        return F.max(F.when(is_outcome & inside, F.col("value")))
+
+    table = totals.withColumn("rank", mean_rank).unionByName(crossed, allowMissingColumns=True).groupBy(*keys).agg(
+        F.sum(F.when(is_score, F.col("n"))).alias("n_pairs"),
+        F.sum(F.when(is_score, F.col("pos"))).alias("positives"),
+        F.sum(F.when(is_score, F.col("neg"))).alias("_neg"),
+        F.sum(F.when(is_score, (F.col("n") * F.col("value")).cast("decimal(38,4)"))).cast("double").alias("_total"),
+        F.sum(F.when(is_score, wins)).cast("double").alias("_wins"),
+        F.sum("cross").alias("_cross"),
+        F.sum(F.when(is_score, F.col("ranked") * F.col("rank") * F.col("rank"))).alias("_spread_x"),
+        F.sum(F.when(is_outcome, F.col("ranked") * F.col("rank") * F.col("rank"))).alias("_spread_y"),
+        middle(F.floor((F.col("all_known") - 1) / 2.0)).alias("_low"),
+        middle(F.ceil((F.col("all_known") - 1) / 2.0)).alias("_high"),
     )
-    areas = auc(counts, keys, "score", event, min_positives=3).select(*keys, "auc")
-    correlations = spearman(counts, keys, "score", "outcome").select(*keys, "spearman")
-    medians = group_median(counts, keys, "outcome", "_median")
     entities = rows.groupBy(group).agg(
         F.count_distinct("entity_id").alias("entities"), F.count(F.lit(1)).alias("n_total")
     )
-    table = levels.join(areas, keys, "left").join(correlations, keys, "left").join(medians, keys, "left")
     usable = (F.col("base") == P.BASE_TOTAL) | (F.col("n_pairs") >= min_pairs)
     best = table.filter(usable).groupBy(group).agg(
         F.min_by(F.struct(*table.columns), F.when(F.col("base") == P.BASE_COMPLETE, 0).otherwise(1)).alias("_row")
     )
     chosen = best.select(group, *[F.col(f"_row.{c}").alias(c) for c in table.columns if c != group])
     large = F.col("n_pairs") >= 3
+    spread = F.sqrt(F.col("_spread_x") * F.col("_spread_y"))
+    possible = F.col("positives").cast("double") * F.col("_neg") * 2.0
+    area = F.lit(1.0) - F.col("_wins") / F.when(possible > 0, possible)
     result = chosen.join(entities, group).withColumns(
         {
             "pct_positives": half_even(F.col("positives") * 100.0 / F.col("n_pairs"), 1),
-            "spearman": F.when(large, F.col("spearman")),
-            "auc": F.when(large, F.col("auc")),
-            "score_mean": half_even(F.col("_mean"), 2),
-            "outcome_median": half_even(F.col("_median"), 2),
+            "spearman": F.when(large, half_even(F.col("_cross") / F.when(spread > 0, spread), 4)),
+            "auc": F.when(large & (F.col("positives") >= 3), half_even(area, 4)),
+            "score_mean": half_even(F.col("_total") / F.col("n_pairs"), 2),
+            "outcome_median": half_even((F.col("_low") + F.col("_high")) / 2.0, 2),
         }
     )
     return (
@@ -217,9 +261,12 @@ def metrics_by_group(pairs: DataFrame, group: str, min_pairs: int = 30) -> DataF
                 "reading": executive_reading(F.col("spearman"), F.col("auc")),
             }
         )
-        .drop("_mean", "_median")
+        .select(
+            group, "base", "n_pairs", "positives", "auc", "spearman", "entities", "n_total", "pct_positives",
+            "score_mean", "outcome_median", "spearman_strength", "auc_strength", "reading",
+        )
         .orderBy(F.col("n_pairs").desc(), F.col(group))
-    )
+    )
 
 
 def outcome_by_class(pairs: DataFrame, threshold: float = P.CHRONIC_ARREARS_PCT) -> DataFrame:

@@ -243,3 +243,6 @@ def state_rows(overrides: dict[str, StateOverride] | None = None) -> list[dict]:
             row[f"k_{tier}"] = float(k)
         rows.append(row)
     return rows
+
+# years that may stand in an entity's grid; lines outside are counted, not shown
+GRID_YEARS = (1900, 2199)

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskspark.operators.accounts import budget_pivot, entity_year_grid, fiscal_pivot, merge_on_key
+from riskspark import params as P
+from riskspark.operators import accounts as ACC
+from riskspark.operators.asof import RATING_FIELDS, rating_flags, rating_records
+from riskspark.session import written
 
 KEY = ["entity_id", "year"]
 PRESENCE = ["in_grid", "has_budget", "has_fiscal"]
+ATTRIBUTES = ["entity_id", "state", "name", "population"]
 
 
 def entity_year_union(dim: DataFrame, budget_lines: DataFrame, fiscal_lines: DataFrame) -> DataFrame:
@@ -18,15 +24,49 @@ def entity_year_union(dim: DataFrame, budget_lines: DataFrame, fiscal_lines: Dat
     )
 
 
+def _merged(dim: DataFrame, budget_lines: DataFrame, fiscal_lines: DataFrame, ratings: DataFrame | None) -> DataFrame:
+    """Grid, budget, fiscal and rating rows as one row per (entity, year), laid out by entity.
+
+    The line tables are read once and reduced before any shuffle. Everything after that is one union, dealt
+    by entity, so that windows, aggregates and joins by entity need no further shuffle.
+    """
+    periods = written(ACC.budget_periods(budget_lines), "budget-periods")
+    parts = [
+        ACC.grid_of_periods(dim, periods).withColumn("in_grid", F.lit(True)),
+        periods.filter("period IS NOT NULL").drop("_states").withColumn("has_budget", F.lit(True)),
+        ACC.fiscal_records(fiscal_lines).withColumn("has_fiscal", F.lit(True)),
+    ]
+    if ratings is not None:
+        record = F.struct(*RATING_FIELDS)
+        parts.append(rating_records(ratings).select(*KEY, record.alias("_rating")))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    rating = [F.max("_rating").alias("_rating")] if ratings is not None else []
+    merged = stacked.repartition("entity_id").groupBy(*KEY).agg(
+        *[F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag) for flag in PRESENCE],
+        *ACC.budget_measures(),
+        F.max_by("_record", "_choice").alias("_r"),
+        *rating,
+    )
+    kept = [*KEY, *PRESENCE, "budget_period", *P.BUDGET_RULES]
+    fiscal = [c.alias(n) for n, c in ACC.fiscal_columns(F.col("_r")).items()]
+    return merged.select(*kept, *fiscal, *(["_rating"] if rating else []))
+
+
 def base_annual(dim: DataFrame, budget_lines: DataFrame, fiscal_lines: DataFrame) -> DataFrame:
-    """Grid, budget and fiscal measures merged on (entity, year).
+    """Grid, budget and fiscal measures merged on (entity, year)."""
+    merged = _merged(dim, budget_lines, fiscal_lines, None)
+    return merged.join(dim.select(*ATTRIBUTES), "entity_id", "left")
+
+
+def rated_annual(dim: DataFrame, budget_lines: DataFrame, fiscal_lines: DataFrame, ratings: DataFrame) -> DataFrame:
+    """The yearly base with the newest rating up to each year.
 
-    The line tables are each shuffled once, after map-side aggregation; the merge is one union
-    and one small shuffle instead of two outer joins.
+    A row per (entity, year) is certain here, so the window of an entity has one row per year.
     """
-    grid = entity_year_grid(dim, budget_lines).withColumn("in_grid", F.lit(True))
-    budget = budget_pivot(budget_lines).withColumn("has_budget", F.lit(True))
-    fiscal = fiscal_pivot(fiscal_lines).withColumn("has_fiscal", F.lit(True))
-    merged = merge_on_key(KEY, [grid, budget, fiscal], F.max)
-    merged = merged.withColumns({flag: F.coalesce(flag, F.lit(False)) for flag in PRESENCE})
-    return merged.join(dim.select("entity_id", "state", "name", "population"), "entity_id", "left")
+    merged = _merged(dim, budget_lines, fiscal_lines, ratings)
+    so_far = Window.partitionBy("entity_id").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
+    rated = merged.withColumn("_rating", F.last("_rating", ignorenulls=True).over(so_far))
+    rated = rated.filter(" OR ".join(PRESENCE))
+    rated = rated.withColumns({name: F.col("_rating")[name] for name in RATING_FIELDS}).drop("_rating")
+    rated = rated.withColumns(rating_flags(F.col("year")))
+    return rated.join(dim.select(*ATTRIBUTES), "entity_id", "left")

@@ -6,14 +6,15 @@ from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from riskspark import params as P
 from riskspark.functions.numbers import guarded_ratio, half_away
 from riskspark.operators import annual as A
 from riskspark.operators.asof import attach_rating
-from riskspark.operators.lookup import with_state_params
+from riskspark.operators.lookup import state_params
+from riskspark.plans.base import rated_annual
+from riskspark.session import written
 
 
 @dataclass(frozen=True)
@@ -36,18 +37,21 @@ class Window:
         return self.as_of.year - 1
 
 
+def with_ratios(rated: DataFrame) -> DataFrame:
+    """The two raw ratios the aggregates need."""
+    exec_pct = guarded_ratio(F.col("revenue_realized"), F.col("revenue_planned"), 100.0)
+    return rated.withColumns({"budget_exec": half_away(exec_pct, 6), "arrears_pct": half_away(A.arrears_ratio(), 2)})
+
+
 def rated_base(base: DataFrame, ratings: DataFrame) -> DataFrame:
     """Yearly base with resolved ratings and the two raw ratios the aggregates need."""
-    exec_pct = guarded_ratio(F.col("revenue_realized"), F.col("revenue_planned"), 100.0)
-    return attach_rating(base, ratings).withColumns(
-        {"budget_exec": half_away(exec_pct, 6), "arrears_pct": half_away(A.arrears_ratio(), 2)}
-    )
+    return with_ratios(attach_rating(base, ratings))
 
 
 def entity_profile(rated: DataFrame, window: Window) -> DataFrame:
     """Coverage, chronic years, recency mean, rating means and liquidity pick: one shuffle.
 
-    ``rated`` comes out of a window over entity_id, so this groupBy reuses its partitioning.
+    ``rated`` is laid out by entity_id, so this groupBy reuses its partitioning.
     """
     in_years = F.col("year").between(window.start_year, window.end_year)
     with_budget = F.col("has_budget") & in_years
@@ -73,38 +77,61 @@ def entity_profile(rated: DataFrame, window: Window) -> DataFrame:
     return A.expand_liquidity_pick(rows)
 
 
+MAX_STATES = 1000
+
+
 def default_arrears(grouped: DataFrame) -> DataFrame:
     """Default ratings for all grid entities of a state in which none has a valid arrears year.
 
-    Works on one row per entity; needs _state, _in_grid and _valid, which leave.
+    Works on one row per entity, written once; which states those are is one small aggregate, and no more than
+    ``MAX_STATES`` names reach the driver. Needs _state, _in_grid and _valid, which leave.
     """
-    any_valid = F.bool_or("_valid").over(SqlWindow.partitionBy("_state"))
-    unrated = F.col("_in_grid") & ~any_valid
+    marked = written(grouped, "entity-profile")
+    by_state = marked.groupBy("_state").agg(F.bool_or("_valid").alias("_any"))
+    bare = [r[0] for r in by_state.filter(~F.coalesce("_any", F.lit(False))).limit(MAX_STATES + 1).collect()]
+    if len(bare) > MAX_STATES:
+        raise ValueError(f"more than {MAX_STATES} states without a valid arrears year")
+    named = F.col("_state").isin([s for s in bare if s is not None])
+    unrated = F.col("_in_grid") & (F.coalesce(named, F.lit(False)) | (F.col("_state").isNull() & F.lit(None in bare)))
     defaults = {
         "arrears_factor": P.NO_RATING_FACTOR,
         "arrears_preliminary": False,
         "arrears_stale": False,
         "arrears_missing": True,
     }
-    marked = grouped.withColumn("_unrated", unrated)
-    filled = {c: F.when(F.col("_unrated"), F.lit(v)).otherwise(F.col(c)) for c, v in defaults.items()}
-    return marked.withColumns(filled).drop("_unrated", "_state", "_in_grid", "_valid")
+    filled = {c: F.when(unrated, F.lit(v)).otherwise(F.col(c)) for c, v in defaults.items()}
+    return marked.withColumns(filled).drop("_state", "_in_grid", "_valid")
+
+
+def autonomy_means(accounts: DataFrame, ratings: DataFrame, as_of: date) -> DataFrame:
+    """Mean autonomy and rating per entity."""
+    rated = attach_rating(A.autonomy_base(accounts, as_of), ratings)
+    return rated.groupBy("entity_id").agg(*A.autonomy_aggs())
+
+
+def critical_autonomy(rows: DataFrame, overrides: dict | None = None) -> DataFrame:
+    """Add the regional critical flag; needs ``state`` and ``autonomy_mean``."""
+    limits = state_params(rows.sparkSession, overrides).select("state", "critical_autonomy")
+    limited = rows.join(F.broadcast(limits), "state", "left")
+    critical = F.coalesce(F.col("autonomy_mean") < F.col("critical_autonomy"), F.lit(False))
+    return limited.withColumn("autonomy_critical", critical).drop("critical_autonomy")
 
 
 def autonomy_profile(
     accounts: DataFrame, ratings: DataFrame, dim: DataFrame, as_of: date, overrides: dict | None = None
 ) -> DataFrame:
     """Mean autonomy and rating per entity, with the regional critical flag."""
-    rated = attach_rating(A.autonomy_base(accounts, as_of), ratings)
-    means = rated.groupBy("entity_id").agg(*A.autonomy_aggs())
-    limits = with_state_params(means.join(dim.select("entity_id", "state"), "entity_id"), overrides)
-    critical = F.coalesce(F.col("autonomy_mean") < F.col("critical_autonomy"), F.lit(False))
-    return limits.select(*means.columns, critical.alias("autonomy_critical"))
+    means = autonomy_means(accounts, ratings, as_of)
+    of_state = critical_autonomy(means.join(dim.select("entity_id", "state"), "entity_id"), overrides)
+    return of_state.select(*means.columns, "autonomy_critical")
 
 
-def postprocess(base: DataFrame, ratings: DataFrame, window: Window) -> DataFrame:
+def postprocess(
+    dim: DataFrame, budget_lines: DataFrame, fiscal_lines: DataFrame, ratings: DataFrame, window: Window
+) -> DataFrame:
     """The post-processed table: entities that have any of the three indicator groups."""
-    profile = entity_profile(rated_base(base, ratings), window)
+    rated = with_ratios(rated_annual(dim, budget_lines, fiscal_lines, ratings))
+    profile = entity_profile(rated, window)
     return profile.filter("processed").drop("processed", "population")
 
 

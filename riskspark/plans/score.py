@@ -17,8 +17,8 @@ from riskspark.operators.flags import flags_severity, text_severity
 from riskspark.operators.lookup import hub_join, with_state_params
 from riskspark.operators.ordered import number_rows
 from riskspark.plans import staging
-from riskspark.plans.base import base_annual
-from riskspark.plans.postprocess import Window, autonomy_profile, entity_profile, rated_base
+from riskspark.plans.base import rated_annual
+from riskspark.plans.postprocess import Window, autonomy_means, critical_autonomy, entity_profile, with_ratios
 
 FLAGS = ("preliminary", "stale", "missing")
 HUB_DEFAULTS = {
@@ -33,7 +33,6 @@ HUB_DEFAULTS = {
     "liquidity_partial": False,
     "liquidity_suspect": False,
     "liquidity_stale": False,
-    "autonomy_critical": False,
     **{f"{part}_{flag}": False for part in ("budget", "arrears", "autonomy") for flag in FLAGS},
     **{f"liquidity_rating_{flag}": False for flag in FLAGS},
 }
@@ -62,13 +61,13 @@ class Inputs:
 def indicator_hub(inputs: Inputs, window: Window, overrides: dict | None = None) -> DataFrame:
     """One row per entity with every indicator the score needs."""
     spine = inputs.dim.select("entity_id", "state", "name", "population")
-    rated = rated_base(base_annual(inputs.dim, inputs.budget_lines, inputs.fiscal_lines), inputs.ratings)
+    rated = with_ratios(rated_annual(inputs.dim, inputs.budget_lines, inputs.fiscal_lines, inputs.ratings))
     profile = entity_profile(rated, window).drop("processed")
-    autonomy = autonomy_profile(inputs.accounts, inputs.ratings, inputs.dim, window.as_of, overrides)
+    autonomy = autonomy_means(inputs.accounts, inputs.ratings, window.as_of)
     market = contracts_agg(inputs.contracts, window.as_of)
     market = market.withColumn("award_alert", direct_award_alert(F.col("pct_waiver")))
     parts = [profile, flags_severity(inputs.flags), autonomy, market]
-    return hub_join(spine, parts, "entity_id", HUB_DEFAULTS)
+    return critical_autonomy(hub_join(spine, parts, "entity_id", HUB_DEFAULTS), overrides)
 
 
 def score_components(hub: DataFrame, window: Window, overrides: dict | None = None) -> DataFrame:

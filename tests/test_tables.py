@@ -444,3 +444,18 @@ def test_a_file_without_searched_rows_fails_by_name(spark):
         R.discover_columns(spark.createDataFrame(rows, schema), search_rows=40).collect()
     nameless = [(None, *r[1:]) for r in rows[2:]]
     assert R.discover_columns(spark.createDataFrame(nameless, schema), search_rows=40).count() == 1
+
+
+# --- plans -------------------------------------------------------------------------------
+
+
+def shuffles(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum(plan.count(f"Exchange {kind}") for kind in ("hashpartitioning", "rangepartitioning", "SinglePartition", "RoundRobin"))
+
+
+@pytest.mark.parametrize(("query", "limit"), [("score_job", 14), ("postprocess", 5), ("metrics_by_group", 12), ("base_annual", 3)])
+def test_plans_stay_within_their_shuffles(spark, query, limit):
+    from queries import catalog
+
+    assert shuffles(catalog.REGISTRY[query].run(spark, "/root/testdata/sf0.001")) <= limit
