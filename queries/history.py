@@ -15,6 +15,7 @@ from riskspark.operators.asof import attach_rating
 from riskspark.plans import backtest as BT
 from riskspark.plans import grades as G
 from riskspark.plans import history as H
+from riskspark.plans import history_state as HS
 
 FIRST, LAST = S.FIRST_YEAR, S.LAST_YEAR
 
@@ -71,6 +72,41 @@ def flag_persistence(t: Tables) -> DataFrame:
     return H.flag_persistence(S.snapshots(t))
 
 
+def newest_state(t: Tables) -> DataFrame:
+    """The state of the newest snapshots after two publications, the second with some days again."""
+
+    def build(t: Tables) -> DataFrame:
+        path, rows = t.path("history-state"), S.snapshots(t)
+        day = F.col("snapshot_date")
+        last = rows.agg(F.max("snapshot_date")).first()[0]
+        first = rows.filter(day < F.date_sub(F.lit(last), 10)).withColumn("score", F.lit(0.0))
+        HS.update_state(first, first, path)
+        HS.update_state(rows, rows, path)
+        return HS.read_state(t.spark, path)
+
+    return t.shared("newest_state", build)
+
+
+@query(
+    "state_diff",
+    "run_id:s snapshot_date:dt state:s entity_id:s score:d previous_score:d delta_score:d risk_class:s"
+    " previous_risk_class:s class_changed:b n_severe:l previous_n_severe:l previous_compliance_risk:d previous_run_id:s",
+    source="x_snapshot_diff",
+)
+def state_diff(t: Tables) -> DataFrame:
+    return HS.diff_from_state(newest_state(t))
+
+
+@query(
+    "state_persistence",
+    "run_id:s snapshot_date:dt state:s entity_id:s n_severe:l has_severe:b n_severe_last_6:l n_severe_last_12:l"
+    " persistent_6:b persistent_12:b",
+    f"SELECT * FROM (SELECT *, row_number() OVER ({NEWEST}) AS place FROM x_flag_persistence) WHERE place = 1",
+)
+def state_persistence(t: Tables) -> DataFrame:
+    return HS.persistence_from_state(newest_state(t))
+
+
 @query(
     "run_summary",
     "snapshot_date:dt state:s rows_written:l rows_scored:l rows_no_data:l score_avg:d score_median:d score_min:d score_max:d",

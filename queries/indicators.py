@@ -14,7 +14,7 @@ from riskspark.functions import dates as D
 from riskspark.operators import accounts as ACC
 from riskspark.operators import annual as A
 from riskspark.operators import lookup, reports
-from riskspark.operators.asof import attach_rating
+from riskspark.operators.asof import asof_attach_sliced, attach_rating
 from riskspark.plans import base as B
 from riskspark.plans import postprocess as PP
 from riskspark.plans import staging
@@ -243,6 +243,26 @@ def target_years(t: Tables) -> DataFrame:
     return target_frame(t)
 
 
+@query(
+    "asof_sliced",
+    "o_orderkey:l entity_id:l day:dt last_price:d last_order:l",
+    """SELECT l.o_orderkey, l.entity_id, l.day, r.last_price, r.last_order
+       FROM x_owned l ASOF LEFT JOIN (
+         SELECT entity_id, day, price AS last_price, o_orderkey AS last_order FROM (
+           SELECT *, row_number() OVER (PARTITION BY entity_id, day ORDER BY price DESC, o_orderkey DESC) AS place
+           FROM x_owned WHERE status_code = 'F') WHERE place = 1) r
+       ON l.entity_id = r.entity_id AND l.day >= r.day""",
+)
+def asof_sliced(t: Tables) -> DataFrame:
+    """Every order with the newest finished one up to its day."""
+    rows = S.owned_orders(t)
+    finished = rows.filter("status_code = 'F'").select(
+        "entity_id", "day", F.col("price").alias("last_price"), F.col("o_orderkey").alias("last_order")
+    )
+    left = rows.select("o_orderkey", "entity_id", "day")
+    return asof_attach_sliced(left, finished, ["entity_id"], "day", ["last_price", "last_order"], lambda day: F.trunc(day, "quarter"))
+
+
 @query("asof_rating", f"{KEYS} {RATING_SPEC}", source="x_resolved")
 def asof_rating(t: Tables) -> DataFrame:
     return attach_rating(target_frame(t), S.ratings(t))

@@ -23,6 +23,7 @@ from riskspark.operators import quality as Q
 from riskspark.plans import history as H
 from riskspark.plans import score, staging
 from riskspark.plans.grades import sheet_counts as sheets_per_year
+from riskspark.sinks import serving
 from riskspark.sinks import tables as K
 from riskspark.sources import files as R
 from riskspark.streaming import incremental as X
@@ -463,6 +464,15 @@ def serving_records(t: Tables) -> DataFrame:
     )
 
 
+@query("serving_sync", "entity_id:l state:s name:s population:l", source="x_dim")
+def serving_sync(t: Tables) -> DataFrame:
+    """Entities sent twice to a keyed store in batches, at first with other values, and read back from it."""
+    path = t.path("store")
+    for rows in (S.dim(t).withColumn("population", F.lit(0).cast("bigint")), S.dim(t)):
+        serving.send_records(rows, "riskspark.sinks.serving:FolderStore", {"path": path})
+    return t.spark.read.schema("entity_id bigint, state string, name string, population bigint").json(path)
+
+
 # --- incremental loads -------------------------------------------------------------------
 
 

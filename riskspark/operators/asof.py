@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskspark import params as P
+from riskspark.operators.ordered import join_null_safe
 
 RATING_FIELDS = ["rating_year", "rating_status", "rating_grade", "rating_factor"]
 
@@ -13,19 +16,46 @@ RATING_FIELDS = ["rating_year", "rating_status", "rating_grade", "rating_factor"
 def asof_attach(left: DataFrame, right: DataFrame, by: str, at: str, payload: list[str]) -> DataFrame:
     """Give each left row the payload of the last right row with ``right.at <= left.at``.
 
-    Union plus a running ``last``: one shuffle, linear in the input, no range join. Both sides
-    hold at most one row per (by, at), so a key never has more rows than there are points in time.
+    Union plus a running ``last``: one shuffle, linear in the input, no range join. All rows of a key meet in
+    one task, so this is for keys with few rows, as one per year; ``asof_attach_sliced`` serves others. Of
+    several records at one time the largest counts.
     """
     record = F.struct(*[F.col(c) for c in payload])
     records = right.select(by, at, record.alias("_record"), F.lit(0).alias("_is_left"))
     stacked = left.withColumn("_is_left", F.lit(1)).unionByName(records, allowMissingColumns=True)
-    running = Window.partitionBy(by).orderBy(at, "_is_left").rowsBetween(Window.unboundedPreceding, 0)
+    running = Window.partitionBy(by).orderBy(at, "_is_left", "_record").rowsBetween(Window.unboundedPreceding, 0)
     attached = stacked.withColumn("_last", F.last("_record", ignorenulls=True).over(running))
     return attached.filter(F.col("_is_left") == 1).select(
         *left.columns, *[F.col(f"_last.{c}").alias(c) for c in payload]
     )
 
 
+def asof_attach_sliced(
+    left: DataFrame, right: DataFrame, by: list[str], at: str, payload: list[str], time_slice: Callable[[Column], Column]
+) -> DataFrame:
+    """``asof_attach`` for histories of any length, repeated points in time and hot keys.
+
+    Both sides are first reduced to one row per (key, time) with the largest record, which a task does
+    before any shuffle. ``time_slice`` must not fall as the time rises; a running ``last`` works inside each
+    (key, slice), and the last record of each slice is carried into the slices after it by a window over one
+    row per slice. So a key's history lies in as many tasks as it has slices. NULL is a key like any
+    other, and a NULL time comes before all others.
+    """
+    record = F.struct(*[F.col(c) for c in payload])
+    points = left.select(*by, at).unionByName(right.select(*by, at, record.alias("_record")), allowMissingColumns=True)
+    points = points.groupBy(*by, at).agg(F.max("_record").alias("_record")).withColumn("_slice", time_slice(F.col(at)))
+    known = F.when(F.col("_record").isNotNull(), F.struct(at))
+    ends = points.groupBy(*by, "_slice").agg(F.max_by("_record", known).alias("_end"))
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(*by, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy(*by, "_slice").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    local = points.withColumn("_record", F.last("_record", ignorenulls=True).over(inside))
+    found = join_null_safe(local, carried, [*by, "_slice"])
+    found = found.select(*by, at, F.coalesce("_record", "_carry").alias("_last"))
+    attached = join_null_safe(left, found, [*by, at])
+    return attached.select(*left.columns, *[F.col(f"_last.{c}").alias(c) for c in payload])
+
+
 def rating_flags(year: Column) -> dict[str, Column]:
     """Defaults and flags of a resolved rating; call after asof_attach."""
     return {

@@ -12,8 +12,10 @@ from riskspark.operators import accounts as ACC
 from riskspark.operators import annual as A
 from riskspark.operators import flags as FL
 from riskspark.operators import ranks as RK
-from riskspark.operators.asof import attach_rating
+from riskspark.operators.asof import asof_attach, asof_attach_sliced, attach_rating
+from riskspark.operators.dedupe import keep_first
 from riskspark.plans import history as H
+from riskspark.plans import history_state as HS
 from riskspark.plans import postprocess as PP
 from riskspark.plans import staging
 from riskspark.plans.postprocess import Window
@@ -199,6 +201,50 @@ def test_asof_uses_newest_earlier_rating(spark):
     assert got[2, 2020].rating_missing
 
 
+@pytest.mark.parametrize("width", [1, 7, 100, 10_000])
+def test_sliced_asof_equals_the_plain_window(spark, width):
+    rng = random.Random(4)
+    times = [None, *range(-50, 300)]
+    # one entity holds most rows, some rows have no entity, points in time repeat on both sides
+    keys = [1] * 8 + [2, 3, None]
+    left = [(n, rng.choice(keys), rng.choice(times)) for n in range(1500)]
+    right = [(rng.choice(keys), rng.choice(times), rng.choice([None, rng.random()]), n) for n in range(400)]
+    left = spark.createDataFrame(left, "n long, k long, t long")
+    right = spark.createDataFrame(right, "k long, t long, x double, m long")
+    sliced = asof_attach_sliced(left, right, ["k"], "t", ["x", "m"], lambda t: F.floor(t / width))
+    assert as_rows(sliced) == as_rows(asof_attach(left, right, "k", "t", ["x", "m"]))
+    assert asof_attach_sliced(left.limit(0), right, ["k"], "t", ["x"], lambda t: t).count() == 0
+    assert asof_attach_sliced(left, right.limit(0), ["k"], "t", ["x"], lambda t: t).filter("x IS NULL").count() == 1500
+
+
+def test_state_of_newest_snapshots_follows_the_history(spark, tmp_path):
+    rng = random.Random(6)
+    path = str(tmp_path / "state")
+    schema = "run_id string, snapshot_ts timestamp, snapshot_date date, state string, entity_id string, score double, risk_class string, n_severe long, compliance_risk double"
+    history: dict = {}
+    for step in range(40):
+        day = date(2026, 1, 1) + timedelta(days=step if step % 5 else max(0, step - 3))  # now and then a day again
+        for state in ("PB", "CE") if step % 4 else ("PB",):
+            moment = datetime(day.year, day.month, day.day, 12)
+            entities = [e for e in range(12) if rng.random() < 0.9]  # an entity may be missing from a repeated day
+            history[day, state] = [
+                (f"r{step}", moment, day, state, str(e), rng.random(), rng.choice("ab"), rng.choice([0, 1, 1, 1, None]), 0.5) for e in entities
+            ]
+        new = [r for state in ("PB", "CE") if step % 4 or state == "PB" for r in history[day, state]]
+        if step % 8 == 7 or step > 30:
+            every = spark.createDataFrame([r for rows in history.values() for r in rows], schema).coalesce(2)
+            published = every if step <= 31 else spark.createDataFrame(new, schema).coalesce(2)
+            HS.update_state(published, every, path)
+            if step in (7, 31, 35, 39):
+                state = HS.read_state(spark, path)
+                names = H.diff_last_run(every).columns
+                assert as_rows(HS.diff_from_state(state).select(names)) == as_rows(H.diff_last_run(every))
+                columns = ["run_id", "state", "entity_id", "n_severe_last_6", "n_severe_last_12", "persistent_6", "persistent_12", "has_severe"]
+                full = keep_first(H.flag_persistence(every), H.ENTITY, [F.col("snapshot_ts").desc(), F.col("run_id").desc()])
+                assert as_rows(HS.persistence_from_state(state).select(columns)) == as_rows(full.select(columns))
+                assert as_rows(HS.latest_from_state(state).select("run_id", "entity_id")) == as_rows(H.latest(every).select("run_id", "entity_id"))
+
+
 def test_weighted_recency_ignores_the_open_year(spark):
     rows = spark.createDataFrame([(1, 2025, 100.0), (1, 2026, 15.0)], "entity_id long, year long, x double")
     weight = A.recency_weight(F.col("year"), 2025, 2021)
