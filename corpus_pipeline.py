@@ -1,8 +1,10 @@
 """A training-data pipeline over the documents table: filter, deduplicate, decontaminate, mix.
 
 Every stage works on all rows that its predecessor kept, written as Parquet and read again. NULL texts
-count as empty; columns besides doc_id and text are carried along untouched, whatever their names.
-An empty table passes through all stages.
+count as empty; columns besides doc_id and text are carried along untouched, but for mix_tokens, mix_rate
+and mix_copies, which the last stage sets. Rows that share an id stay or go by their own text, except that a near
+copy or a contaminated text takes all rows of its id along; of tied copies the largest id (exact) or the smallest
+(near) stays. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from riskspark.llm import decontaminate, exact_dedup, mixing, near_dup, quality
 from riskspark.llm.common import bounded, saved, table
 
 TARGETS = {"clean": 0.95, "low": 0.03, "toxic": 0.02}
+MIXED = ("mix_tokens", "mix_rate", "mix_copies")
 # SQL has neither the compression classifier nor the later stages' methods: tested by brute force
 ORACLE_SQL = None
 
@@ -47,12 +50,21 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their rate and number of copies; those with no copy are left out."""
+    """Documents with mix_tokens, mix_rate and mix_copies; those with no copy are left out.
+
+    What is joined to the texts is a written table of a few numbers per id, broadcast where its counted size
+    allows; beyond that the texts are shuffled once.
+    """
     labels = mixing.quality_domains(table(spark, sf_dir, "labels"))
-    mixed = mixing.mix(docs, labels, TARGETS).select(F.col("doc_id").alias("_cp_id"), "n_tokens", "rate", "copies")
-    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "rate", "copies")]
-    joined = docs.drop("n_tokens", "rate", "copies").join(mixed.filter("copies > 0"), F.col("doc_id").eqNullSafe(F.col("_cp_id")))
-    return joined.select(*own, "n_tokens", "rate", "copies")
+    mixed = mixing.mix(docs, labels, TARGETS).filter("copies > 0")
+    mixed = mixed.select(
+        F.col("doc_id").alias("_cp_id"),
+        *[F.col(c).alias(f"_cp_{c}") for c in ("n_tokens", "rate", "copies")],
+    )
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in MIXED]
+    joined = docs.join(bounded(saved(mixed, "mixed")), F.col("doc_id").eqNullSafe(F.col("_cp_id")))
+    own = [F.col(f"_cp_{c}").alias(name) for c, name in zip(("n_tokens", "rate", "copies"), MIXED, strict=True)]
+    return joined.select(*kept, *own)
 
 
 STAGES = [
