@@ -1,7 +1,8 @@
 """Exact duplicates by progressive refinement: length, then prefix hash, then full hash.
 
 Every step groups only what the step before left ambiguous, and only small signatures are
-shuffled. The full content is hashed for rows whose (length, prefix hash) is shared.
+shuffled. Prefixes are hashed for rows whose length is shared, the full content for rows whose
+(length, prefix hash) is shared.
 
 Defined results
 * NULL text counts as the empty text; all empty texts are one group.
@@ -19,25 +20,36 @@ from pyspark.sql import functions as F
 from riskspark.llm.common import saved, whole
 
 PREFIX_CHARS = 256
-# A (length, prefix hash) key takes 16 bytes: at most 16 MB are broadcast, more are joined by shuffle.
+# A length takes 8 bytes, a (length, prefix hash) key 16: at most 16 MB are broadcast, more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
 
-def _signed(docs: DataFrame, text: str) -> DataFrame:
-    body = whole(text)
-    return docs.withColumns(
-        {"_xd_length": F.octet_length(body), "_xd_prefix": F.xxhash64(F.substring(body, 1, PREFIX_CHARS))}
-    )
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("_xd_length", F.octet_length(whole(text)))
+
+
+def _hashed(docs: DataFrame, text: str) -> DataFrame:
+    return docs.withColumn("_xd_prefix", F.xxhash64(F.substring(whole(text), 1, PREFIX_CHARS)))
+
+
+def shared_lengths(docs: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
+    """Lengths in bytes that more than one row has, and whether they may be broadcast."""
+    lengths = _measured(docs, text).groupBy("_xd_length").agg(F.count("*").alias("_xd_rows"))
+    lengths = saved(lengths.filter("_xd_rows > 1").select("_xd_length"), "exact-lengths")
+    return lengths, lengths.count() <= BROADCAST_KEYS
 
 
 def shared_keys(docs: DataFrame, text: str = "text") -> tuple[DataFrame, bool]:
     """(length, prefix hash) pairs that more than one row has, and whether they may be broadcast."""
-    signatures = _signed(docs, text).select("_xd_length", "_xd_prefix")
+    lengths, small = shared_lengths(docs, text)
+    if small:
+        signatures = _hashed(_measured(docs, text).join(F.broadcast(lengths), "_xd_length", "left_semi"), text)
+    else:
+        # beyond the broadcast bound prefixes are hashed in the scan, so that a shuffle need not carry texts
+        signatures = _hashed(_measured(docs, text), text).select("_xd_length", "_xd_prefix")
+        signatures = signatures.join(lengths, "_xd_length", "left_semi")
     by_prefix = signatures.groupBy("_xd_length", "_xd_prefix").agg(F.count("*").alias("_xd_rows"))
-    by_prefix = saved(by_prefix, "exact-prefixes")
-    lengths = by_prefix.groupBy("_xd_length").agg(F.sum("_xd_rows").alias("_xd_all")).filter("_xd_all > 1")
-    keys = by_prefix.filter("_xd_rows > 1").join(lengths, "_xd_length", "left_semi").select("_xd_length", "_xd_prefix")
-    keys = saved(keys, "exact-keys")
+    keys = saved(by_prefix.filter("_xd_rows > 1").select("_xd_length", "_xd_prefix"), "exact-keys")
     return keys, keys.count() <= BROADCAST_KEYS
 
 
@@ -45,7 +57,7 @@ def _split(docs: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows with a unique (length, prefix) and rows that need the full hash (with ``_xd_full``)."""
     keys, small = shared_keys(docs, text)
     on = ["_xd_length", "_xd_prefix"]
-    signed = _signed(docs, text)
+    signed = _hashed(_measured(docs, text), text)
     if small:
         keys = F.broadcast(keys)
         alone = signed.join(keys, on, "left_anti")

@@ -68,10 +68,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_exact_dedup"] = """
-SELECT doc_id,
+SELECT DISTINCT doc_id,
        max(doc_id) OVER same AS keep_id,
        count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept,
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents
 WINDOW same AS (PARTITION BY coalesce(text, ''))

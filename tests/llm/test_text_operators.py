@@ -7,6 +7,8 @@ import random
 import re
 import zlib
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -204,6 +206,30 @@ def test_exact_groups(spark):
         assert row.kept == (doc_id == row.keep_id)
 
 
+def test_only_shared_lengths_and_prefixes_go_on(spark):
+    long = "x" * 300
+    rows = [(1, "alone"), (2, "pair one"), (3, "pair two"), (4, long + "a"), (5, long + "b"), (6, long + "a"), (7, None), (8, "")]
+    lengths, _ = exact_dedup.shared_lengths(docs(spark, rows))
+    assert {r[0] for r in lengths.collect()} == {0, 8, 301}
+    keys, _ = exact_dedup.shared_keys(docs(spark, rows))
+    assert sorted(r[0] for r in keys.collect()) == [0, 301]
+    # prefixes are hashed above the join that leaves rows of a shared length
+    plan = exact_dedup._hashed(exact_dedup._measured(docs(spark, rows), "text").join(F.broadcast(lengths), "_xd_length", "left_semi"), "text")
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(i for i, line in enumerate(lines) if "xxhash64" in line) < next(i for i, line in enumerate(lines) if "LeftSemi" in line)
+
+
+def test_groups_equal_the_sql_for_repeated_rows(spark):
+    rows = [(1, "same"), (1, "same"), (2, "same"), (1, "other"), (None, "none"), (None, "none"), (3, None), (4, ""), (4, "")]
+    frame = docs(spark, rows)
+    out = exact_dedup.exact_groups(frame, digest_all=True)
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())}))
+    plain = con.execute(queries.ORACLES["op3_exact_dedup"]).fetchall()
+    names = [c[0] for c in con.description]
+    assert sorted(map(tuple, out.select(*names).collect()), key=repr) == sorted(plain, key=repr)
+
+
 def test_wide_path_gives_the_same_groups(spark, monkeypatch):
     narrow = sorted(map(tuple, exact_dedup.exact_groups(docs(spark), digest_all=True).collect()), key=repr)
     monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
