@@ -12,7 +12,8 @@ How it runs. Documents are cut into blocks of whole texts; a block holds its dis
 its tokens as indices. Level 1: distinct words go to shards by hash, are counted there, numbered, and
 counts and numbers go back to the blocks. Level 2: a block's distinct pairs of known words go to shards
 by context, each with its count of training tokens; a context too frequent for one shard is split by its
-successors. A shard adds the counts, builds a trie (monotone pointers, coded probabilities,
+successors. A pair is sent as places in two short sorted lists of words, so that a word's number, count and
+probability travel once per block and shard. A shard adds the counts, builds a trie (monotone pointers, coded probabilities,
 memory-mapped), looks up every pair and returns its probability to the block, which sums them per
 document. The number of shards and blocks follows the corpus. However often a pair occurs, its shard
 gets one entry per block: a pair of all blocks adds SHARD_PAIRS entries at about 2 TB of text.
@@ -70,6 +71,22 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return arrays
 
 
+def pack_pairs(context: np.ndarray, times: np.ndarray, successor: np.ndarray, prior: np.ndarray, training: np.ndarray) -> bytes:
+    """Pairs sorted by (context, successor): the words of each side once, as differences, and pairs as places among them."""
+    heads = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
+    lengths = np.diff(np.append(heads, len(context))).astype(np.uint32)
+    words, first, place = np.unique(successor, return_index=True, return_inverse=True)
+    place = place.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)
+    sides = (context[heads], times[heads], words, prior[first].astype(np.int64))
+    return pack(*(np.diff(side, prepend=0) for side in sides), lengths, place, training)
+
+
+def unpack_pairs(data: bytes) -> tuple[np.ndarray, ...]:
+    *sides, lengths, place, training = unpack(data)
+    context, times, words, prior = (np.cumsum(side) for side in sides)
+    return np.repeat(context, lengths), np.repeat(times, lengths), words[place], prior[place], training
+
+
 def _bytes(value: pa.Scalar) -> bytes:
     return value.as_buffer().to_pybytes()
 
@@ -187,7 +204,7 @@ class Block:
         pieces = np.ceil(self.count[w] / max(1.0, n / shards / 4)).astype(np.int64)
         spread = mix(self.number[s].astype(U64) + U64(99)) % pieces.astype(U64)
         shard = (mix(self.number[w].astype(U64) * U64(31) + spread) % U64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        order = np.lexsort((self.number[s], self.number[w], shard))
         self.w, self.s, self.shard = w[order], s[order], shard[order]
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -195,16 +212,14 @@ class Block:
         self.training = np.bincount(self.pair, ~self.held[self.doc[self.at]], len(order)).astype(np.uint32)
 
     def dealt(self) -> list[tuple]:
-        """(shard, block, payload): contexts, their counts and numbers of pairs; successors, their coded p(v), training counts."""
+        """(shard, block, payload): the shard's pairs with contexts' counts, coded p(v) and training counts."""
         if not len(self.w):
             return []
         rows, codes = [], _code(self.single)
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(self.shard)) + 1, [len(self.w)]])
         for low, high in pairwise(cuts):
             w, s = self.w[low:high], self.s[low:high]
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(w)) + 1])
-            who, lengths = w[heads], np.diff(np.append(heads, high - low)).astype(np.uint32)
-            payload = pack(self.number[who], self.count[who], lengths, self.number[s], codes[s], self.training[low:high])
+            payload = pack_pairs(self.number[w], self.count[w], self.number[s], codes[s], self.training[low:high])
             rows.append((int(self.shard[low]), self.id, payload))
         return rows
 
@@ -230,10 +245,8 @@ class Block:
 
 def _pair_codes(rows: pa.Table) -> pa.Table:
     """Add the training counts of the shard's pairs, build its trie, look up all pairs for every block."""
-    parts = [unpack(_bytes(payload)) for payload in rows["payload"]]
-    context = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
-    times = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
-    successor, prior, training = (np.concatenate([p[i] for p in parts]) for i in (3, 4, 5))
+    parts = [unpack_pairs(_bytes(payload)) for payload in rows["payload"]]
+    context, times, successor, prior, training = (np.concatenate(side) for side in zip(*parts, strict=True))
     order = np.lexsort((successor, context))
     first = np.ones(len(order), bool)
     first[1:] = (context[order][1:] != context[order][:-1]) | (successor[order][1:] != successor[order][:-1])
@@ -249,7 +262,7 @@ def _pair_codes(rows: pa.Table) -> pa.Table:
     trie.close()
     found = np.empty(len(order), np.uint16)
     found[order] = np.where(code >= 0, code, UNSEEN).astype(np.uint16)[group]
-    ends = np.cumsum([len(p[3]) for p in parts])
+    ends = np.cumsum([len(p[0]) for p in parts])
     codes = [pack(c) for c in np.split(found, ends[:-1])]
     return pa.table({"shard": rows["shard"], "block_id": rows["block_id"], "codes": pa.array(codes, pa.binary())})
 
@@ -290,8 +303,6 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     words, tokens = blocks.agg(F.coalesce(F.sum("n_vocab"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     bits = max(4, (words // SHARD_WORDS).bit_length())
     replies = saved(_level1(blocks, bits), "lm-words")
-    # the first level's shuffle is done with; its files go when the driver collects its garbage
-    docs.sparkSession.sparkContext._jvm.System.gc()
     sizes = replies.agg(F.sum("n_types").alias("types"), F.sum("n_tokens").alias("tokens")).first()
     n, v = sizes["tokens"] or 0, sizes["types"] or 0
     shards = max(16, -(-tokens // SHARD_PAIRS))

@@ -131,15 +131,14 @@ def test_a_pair_that_is_everywhere_does_not_fill_a_shard(spark, monkeypatch):
     for name, value in (("BLOCK_BYTES", 10_000), ("SHARD_PAIRS", 1000)):
         monkeypatch.setattr(lm_score, name, value)
     rows = [(i, f"{'junk ' * 60}{sentence(i, 20)}") for i in range(300)]
-    name = "_pair_codes" if hasattr(lm_score, "_pair_codes") else "_score_shard"
-    run, unpack = getattr(lm_score, name), lm_score.unpack
+    run, unpack = lm_score._pair_codes, lm_score.unpack_pairs
 
     def bounded(table):
         held = [unpack(p.as_buffer().to_pybytes()) for p in table["payload"] if p.is_valid]
-        assert sum(len(h[3]) for h in held) <= 3000
+        assert sum(len(h[0]) for h in held) <= 3000
         return run(table)
 
-    monkeypatch.setattr(lm_score, name, bounded)
+    monkeypatch.setattr(lm_score, "_pair_codes", bounded)
     out = lm_score.score(docs(spark, rows), fold_of("doc_id", 5) == 1).collect()
     plain = {i: e for (i, _), e in zip(rows, plain_scores(rows), strict=True)}
     assert len(out) == len(rows)
@@ -147,6 +146,19 @@ def test_a_pair_that_is_everywhere_does_not_fill_a_shard(spark, monkeypatch):
         assert r.score == pytest.approx(plain[r.doc_id][5], abs=1e-3 * r.n_tokens)
 
 
+def test_packed_pairs_come_back():
+    rng = np.random.default_rng(8)
+    for size, words in ((1, 5), (500, 40), (90_000, 1 << 20)):
+        keys = np.unique(rng.integers(0, words, (size, 2)), axis=0)
+        count = rng.integers(1, 1 << 40, words)
+        code = rng.integers(0, 1 << 16, words).astype(np.uint16)
+        context, successor = keys[:, 0] << 20, keys[:, 1] << 20
+        training = rng.integers(0, 3, len(keys)).astype(np.uint32)
+        sent = context, count[keys[:, 0]], successor, code[keys[:, 1]], training
+        for a, b in zip(sent, lm_score.unpack_pairs(lm_score.pack_pairs(*sent)), strict=True):
+            assert (a == b).all()
+
+
 def test_model_sums_to_one():
     rows = [(2, "a b a b c"), (3, "a c"), (4, "b")]
     tokens = [[*split(t), None] for _, t in rows]
