@@ -3,8 +3,10 @@
 A naive Bayes classifier over hashed words learns from a labelled table and gives every document a
 posterior over the domains. Rates r >= 0 are then fitted by projected-gradient least squares so that the
 expected tokens per domain, sum of r * tokens * posterior, meet target shares of the corpus tokens.
-All documents start at rate 1; the gradient is scaled by the domains' second moments over documents
-still at positive rates, which keeps the number of steps small; every step is projected on r >= 0.
+All documents start at rate 1. Gradient steps add up in one number per domain, m, and the rates are the
+projection of 1 + m . posterior on r >= 0 (projected gradient in its lazy form); a pull of rates towards 1,
+lowered in stages to 1e-7, makes the optimum unique and keeps m finite where targets cannot be met. A step is
+scaled by the domains' second moments over documents at positive rates, and its length is the best of a few.
 
 Only DataFrame functions are used. Documents with the same posterior (rounded to 3 decimals) always
 have the same rate, so steps run on token totals per distinct posterior; each step returns a handful of
@@ -16,7 +18,8 @@ the id. Everything else covers all documents.
 Defined results: NULL text is empty; a document without words has the prior as posterior and 0 tokens;
 rows that share an id are one document; a NULL id is one document. Labels that are NULL or not among the
 targets are ignored; contradicting labels take the smallest domain name. Without labels the posterior
-is uniform. Targets that cannot be met are met as closely as least squares allows. An empty table gives
+is uniform. Targets that cannot be met are met as closely as least squares allows (up to
+the pull), with large rates for the few documents nearest to them. A text of any length is one row of words. An empty table gives
 an empty result.
 """
 
@@ -33,7 +36,9 @@ from riskspark.llm.common import SPACES, ascii_lower, saved, whole
 BUCKETS = 1 << 16
 SMOOTHING = 0.1
 TEMPER = 0.5
-STEPS = 40
+PULLS = (1e-1, 1e-3, 1e-5, 1e-7)
+STEPS = 15
+LENGTHS = (0.0, 1.0, 1 / 2, 1 / 4, 1 / 8, 1 / 32, 1 / 128)
 TOLERANCE = 1e-6
 
 
@@ -91,52 +96,56 @@ def posteriors(
     return whole_parts.select("doc_id", "n_tokens", *[(F.col(f"t{i}") / all_parts).alias(f"p{i}") for i in range(n)])
 
 
-def rate_of(steps: list[np.ndarray]) -> Column:
-    """Rate after the given projected steps, as an expression of the posterior."""
-    rate = F.lit(1.0)
-    for step in steps:
-        move = reduce(lambda a, b: a + b, [F.lit(float(c)) * F.col(f"p{i}") for i, c in enumerate(step)])
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return rate
+def rate_of(moved: np.ndarray) -> Column:
+    """Rate after gradient steps that add up to ``moved``, projected on r >= 0."""
+    move = reduce(lambda a, b: a + b, [F.lit(float(m)) * F.col(f"p{i}") for i, m in enumerate(moved)])
+    return F.greatest(F.lit(0.0), F.lit(1.0) + move)
 
 
-def fit_rates(members: DataFrame, targets: list[float]) -> list[np.ndarray]:
-    """Steps of the projected gradient; ``members`` as from ``posteriors``."""
+def fit_rates(members: DataFrame, targets: list[float]) -> np.ndarray:
+    """Sum of the gradient steps, for ``rate_of``; ``members`` as from ``posteriors``."""
     n = len(targets)
     share = np.array(targets, float) / sum(targets)
     names = [f"p{i}" for i in range(n)]
     groups = saved(members.groupBy(*names).agg(F.sum("n_tokens").cast("double").alias("tokens")), "mix-posteriors")
     corpus = groups.agg(F.sum("tokens")).first()[0]
     if not corpus:
-        return []
+        return np.zeros(n)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
 
-    def state(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        rated = groups.select("tokens", *names, rate_of(steps).alias("rate"))
+    def state(moved: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the rates miss of the targets, and second moments over groups at positive rates."""
+        rated = groups.select("tokens", *names, rate_of(moved).alias("rate"))
         row = rated.agg(
             *[F.sum(F.col("rate") * F.col("tokens") * F.col(p)) for p in names],
             *[F.sum(F.when(F.col("rate") > 0, F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")).otherwise(0.0)) for i, j in pairs],
         ).first()
-        gap = np.array(row[:n]) / corpus - share
         moments = np.zeros((n, n))
         for (i, j), value in zip(pairs, row[n:], strict=True):
             moments[i, j] = moments[j, i] = value / corpus
-        return gap, moments
-
-    steps: list[np.ndarray] = []
-    gap, moments = state(steps)
-    length = 1.0
-    for _ in range(STEPS):
-        if np.abs(gap).max() <= TOLERANCE or length < 1e-3:
-            break
-        scaled = np.linalg.solve(moments + 1e-6 * np.trace(moments) * np.eye(n) + 1e-12 * np.eye(n), gap)
-        trial = [*steps, length * scaled]
-        new_gap, new_moments = state(trial)
-        if new_gap @ new_gap < gap @ gap:
-            steps, gap, moments, length = trial, new_gap, new_moments, min(1.0, length * 2)
-        else:
-            length /= 2
-    return steps
+        return np.array(row[:n]) / corpus - share, moments
+
+    def heights(trials: list[np.ndarray], pull: float) -> np.ndarray:
+        """The convex function whose gradient is gap + pull * moved, at every trial."""
+        row = groups.agg(*[F.sum(F.col("tokens") * rate_of(t) * rate_of(t)) for t in trials]).first()
+        return np.array([pull / 2 * t @ t + r / corpus / 2 - share @ t for t, r in zip(trials, row, strict=True)])
+
+    moved = np.zeros(n)
+    for pull in PULLS:
+        for _ in range(STEPS):
+            gap, moments = state(moved)
+            if np.abs(gap).max() <= TOLERANCE:
+                return moved
+            gradient = gap + pull * moved
+            if np.abs(gradient).max() <= 1e-3 * np.abs(gap).max():
+                break
+            step = np.linalg.solve(moments + pull * np.eye(n), gradient)
+            trials = [moved - length * step for length in LENGTHS]
+            best = int(np.argmin(heights(trials, pull)))
+            if not LENGTHS[best]:
+                break
+            moved = trials[best]
+    return moved
 
 
 def mix(

@@ -310,17 +310,52 @@ def test_mixing_meets_targets(spark):
     assert sum(r.n_tokens for r in out) == sum(len(split(t)) for _, t in rows)
 
 
-def test_projected_steps_reach_the_least_squares_optimum(spark):
+def plain_squares(p, tokens, share, steps=30_000):
+    """Smallest squared gap by an accelerated projected gradient over all documents."""
+    weight = tokens / tokens.sum()
+    length = 1 / np.linalg.eigvalsh((p * weight[:, None]).T @ p)[-1]
+    rate = ahead = np.ones(len(p))
+    for k in range(steps):
+        new = np.maximum(0, ahead - length * (p @ (p.T @ (ahead * weight) - share)))
+        ahead, rate = new + k / (k + 3) * (new - rate), new
+    gap = p.T @ (rate * weight) - share
+    return gap @ gap
+
+
+@pytest.mark.parametrize("spread, targets", [(1, [0.1, 0.2, 0.7]), (5, [0.02, 0.03, 0.95]), (20, [0.9, 0.1, 0.0])])
+def test_projected_steps_reach_the_least_squares_optimum(spark, spread, targets):
     rng = np.random.default_rng(4)
-    p = np.round(rng.dirichlet([1, 1, 1], 60), 3)
+    p = np.round(rng.dirichlet([spread] * 3, 60), 3)
     p[:, 2] = 1 - p[:, 0] - p[:, 1]
     tokens = rng.integers(1, 200, 60)
     frame = spark.createDataFrame([(i, int(t), *map(float, q)) for i, (t, q) in enumerate(zip(tokens, p, strict=True))], "doc_id long, n_tokens long, p0 double, p1 double, p2 double")
-    steps = mixing.fit_rates(frame, [0.1, 0.2, 0.7])
-    rate = np.ones(60)
-    for step in steps:
-        rate = np.maximum(0, rate - p @ step)
-    assert (p.T @ (rate * tokens)) / tokens.sum() == pytest.approx([0.1, 0.2, 0.7], abs=1e-5)
+    rate = np.maximum(0, 1 + p @ mixing.fit_rates(frame, targets))
+    gap = (p.T @ (rate * tokens)) / tokens.sum() - targets
+    if spread == 1:  # can be met
+        assert np.abs(gap).max() < 1e-5
+    else:
+        assert gap @ gap > 1e-4
+    assert gap @ gap <= 1.001 * plain_squares(p, tokens, np.array(targets)) + 1e-9
+
+
+def test_posteriors_equal_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 64)
+    rows = [(i, sentence(i, 30) + (" bad" * (i % 5) if i % 2 else "")) for i in range(40)] + [(50, None), (51, "word " * 40_000)]
+    marks = [(i, "low" if i % 2 else "clean") for i in range(30)]
+    labels = spark.createDataFrame(marks, "doc_id long, domain string")
+    weights, priors = mixing.train(docs(spark, rows), labels, ["clean", "low"])
+    out = {r.doc_id: r for r in mixing.posteriors(docs(spark, rows), weights, priors).collect()}
+    words = sorted({w for _, t in rows for w in split(t)})
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(64)).alias("b"))
+    bucket = dict(map(tuple, hashed.collect()))
+    counts = {d: Counter(bucket[w] for i, t in rows if dict(marks).get(i) == d for w in split(t)) for d in ("clean", "low")}
+    for i, text in rows:
+        score = [
+            math.log(16 / 32) + mixing.TEMPER * sum(math.log((counts[d][bucket[w]] + 0.1) / (sum(counts[d].values()) + 6.4)) for w in split(text))
+            for d in ("clean", "low")
+        ]
+        assert out[i].n_tokens == len(split(text))
+        assert out[i].p0 == pytest.approx(1 / (1 + math.exp(min(700, score[1] - score[0]))), abs=1.1e-3)
 
 
 def test_mixing_without_labels_or_documents(spark):
