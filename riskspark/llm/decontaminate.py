@@ -1,14 +1,17 @@
 """Benchmark decontamination: SimHash fingerprints of item-sized windows.
 
-Every benchmark item gets a 128-bit SimHash over its weighted word shingles. Documents slide windows
-of exactly an item's size; fingerprints are looked up in a multi-index: 128 bits in 16 blocks of 8, and
-two fingerprints within ``RADIUS`` bits agree up to RADIUS // 16 bits in at least one block, so taking
-all items within that block radius finds every fingerprint in the radius. Candidates are verified by
-exact weighted shingle similarity (shared weight over united weight, with repeats).
+Every benchmark item gets a 256-bit SimHash over its weighted word shingles. Documents slide windows
+of exactly an item's size; fingerprints are looked up in a multi-index of 8 blocks of 32 bits. The block
+radii r (``block_radii``) satisfy sum(r + 1) = RADIUS + 1: two fingerprints that exceed every block's radius
+differ in more than RADIUS bits, so taking all items within the radius of some block finds every fingerprint
+within RADIUS, and takes 2 % of random ones. A block's table is searched by xor and bit count over the
+items of one size: the values within 7 or 8 bits of a block are far more than a size has items.
+Candidates are verified by exact weighted shingle similarity (shared weight over united weight, with repeats).
 
 A window that shares no shingle with an item has similarity 0, so fingerprints are taken only for
 windows that hold one of the item's shingles; this leaves out nothing that verification would accept.
-At similarity 0.8 about 19 bits differ with a deviation of 4; RADIUS is five deviations above.
+At similarity 0.8 about 39 bits differ with a deviation of 6; RADIUS is five deviations above.
+Long ranges of windows are taken in slices, so memory follows the item's size and not the document's.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased. A shingle that f items
 share weighs 1 / f, any other 1. Items of the same words count once in f, so repeating an item changes
@@ -43,12 +46,13 @@ from riskspark.llm.words import U64, chunks, mix, shingles, word_hashes
 
 SIZE = 5
 SIMILARITY = 0.8
-BITS = 128
-BLOCKS = BITS // 8
-RADIUS = 40
-INDEX_BYTES = 64 << 20
+BITS = 256
+BLOCKS = BITS // 32
+RADIUS = 68
+INDEX_BYTES = 16 << 20
+WINDOWS = 4096  # window starts per slice, at least the item's size
+CELLS = 1 << 20  # fingerprint pairs compared at once
 _FILTER_BITS = 22
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
 def _lowered(texts: pa.Array) -> pa.Array:
@@ -57,11 +61,25 @@ def _lowered(texts: pa.Array) -> pa.Array:
 
 def _signs(hashes: np.ndarray) -> np.ndarray:
     """+1 / -1 rows of BITS columns, one row per shingle."""
-    words = np.stack([mix(hashes + U64(0x1234567)), mix(hashes + U64(0x89ABCDE))], axis=1)
-    bits = np.unpackbits(words.view(np.uint8).reshape(len(hashes), BLOCKS), axis=1)
+    words = np.stack([mix(hashes + U64(0x1234567 * (i + 1))) for i in range(BITS // 64)], axis=1)
+    bits = np.unpackbits(words.view(np.uint8).reshape(len(hashes), BITS // 8), axis=1)
     return bits.astype(np.float32) * 2 - 1
 
 
+def block_radii(radius: int) -> list[int]:
+    """Radius per block, with sum(r + 1) = radius + 1 (-1: the block accepts nothing)."""
+    least, more = divmod(radius + 1 - BLOCKS, BLOCKS)
+    return [least + (b < more) for b in range(BLOCKS)]
+
+
+def within_blocks(found: np.ndarray, prints: np.ndarray, radii: list[int]) -> np.ndarray:
+    """Whether some block of a found fingerprint (rows) is within its radius of an item's (columns)."""
+    out = np.zeros((len(found), len(prints)), bool)
+    for b, radius in enumerate(radii):
+        out |= np.bitwise_count(found[:, b, None] ^ prints[None, :, b]) <= radius
+    return out
+
+
 class Weights:
     """1 / f of the shingles that several items share; any other shingle weighs 1."""
 
@@ -100,46 +118,49 @@ class Index:
     """Items by size, their shingles as anchors, and the multi-index over their fingerprints."""
 
     def __init__(self, ids: list, texts: list[str], size: int = SIZE, radius: int = RADIUS, weight: Weights | None = None):
-        words, at = word_hashes(_lowered(pa.array(texts, pa.string())), alnum_only=True)
-        self.size, self.radius = size, radius
+        self.size, self.radius, self.radii = size, radius, block_radii(radius)
         self.weight = weight or Weights(np.zeros(0, U64), np.zeros(0))
         self.ids, self.lengths, self.shingles = [], [], []
-        for i, item in enumerate(ids):
-            own = words[at[i] : at[i + 1]]
-            if len(own):
-                self.ids.append(item)
-                self.lengths.append(len(own))
-                self.shingles.append(shingles(own, size))
-        holders = defaultdict(set)  # (shingle width, shingle) -> items
-        for i, own in enumerate(self.shingles):
-            for h in own.tolist():
-                holders[min(size, self.lengths[i]), h].add(i)
+        bodies = _lowered(pa.array(texts, pa.string()))
+        for low, high in chunks(bodies):
+            words, at = word_hashes(bodies.slice(low, high - low), alnum_only=True)
+            for item, (first, last) in zip(ids[low:high], pairwise(at.tolist()), strict=True):
+                if first < last:
+                    self.ids.append(item)
+                    self.lengths.append(last - first)
+                    self.shingles.append(shingles(words[first:last], size))
+        by_width, by_length = defaultdict(list), defaultdict(list)
+        for i, n in enumerate(self.lengths):
+            by_width[min(size, n)].append(i)
+            by_length[n].append(i)
+        # per width of shingles: the sorted shingles, a quick filter, and the sizes of the items that hold each
         self.anchors = {}
-        for width in {w for w, _ in holders}:
-            keys = np.array(sorted(h for w, h in holders if w == width), U64)
+        for width, items in by_width.items():
+            held = np.concatenate([self.shingles[i] for i in items])
+            sizes = np.repeat([self.lengths[i] for i in items], [len(self.shingles[i]) for i in items]).astype(np.int32)
+            order = np.lexsort((sizes, held))
+            held, sizes = held[order], sizes[order]
+            new = np.ones(len(held), bool)
+            new[1:] = (held[1:] != held[:-1]) | (sizes[1:] != sizes[:-1])
+            held, sizes = held[new], sizes[new]
+            keys, starts = np.unique(held, return_index=True)
             quick = np.zeros(1 << _FILTER_BITS, bool)
             quick[keys >> U64(64 - _FILTER_BITS)] = True
-            self.anchors[width] = (keys, quick, [sorted(holders[width, h]) for h in keys.tolist()])
-        self.groups: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_length = defaultdict(list)
-        for i, n in enumerate(self.lengths):
-            by_length[n].append(i)
-        near = _ONES[np.arange(256)[:, None] ^ np.arange(256)[None, :]] <= radius // BLOCKS
+            self.anchors[width] = (keys, quick, np.append(starts, len(held)), sizes)
+        self.groups: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n, items in by_length.items():
             prints = np.stack([self.fingerprints(self.shingles[i], len(self.shingles[i]))[0] for i in items])
-            # reached[block, byte, item]: the item's byte lies within the block radius of the byte
-            reached = np.stack([near[:, prints[:, b]] for b in range(BLOCKS)])
-            self.groups[n] = (np.array(items), prints, reached)
+            self.groups[n] = (np.array(items), prints)
 
     def fingerprints(self, hashes: np.ndarray, width: int) -> np.ndarray:
-        """Fingerprint (bytes) of every run of ``width`` shingles.
+        """Fingerprint (a 32-bit number per block) of every run of ``width`` shingles.
 
         Weights are whole multiples of 2**-30 here: sums are exact, wherever the hashes begin.
         """
         running = np.zeros((len(hashes) + 1, BITS))
         weight = np.maximum(1, np.rint(self.weight(hashes) * 2**30))
         np.cumsum(_signs(hashes) * weight[:, None], axis=0, out=running[1:])
-        return np.packbits(running[width:] - running[: len(hashes) - width + 1] > 0, axis=1)
+        return np.packbits(running[width:] - running[: len(hashes) - width + 1] > 0, axis=1).view(np.uint32)
 
     def similarity(self, item: int, window: np.ndarray) -> float:
         counts: dict[int, list[int]] = defaultdict(lambda: [0, 0])
@@ -151,13 +172,23 @@ class Index:
         return shared / sum(w * max(c) for w, c in zip(weights, counts.values(), strict=True))
 
     def hits(self, width: int, hashes: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(position, item) of every anchor shingle among the hashes."""
-        keys, quick, holders = self.anchors[width]
-        for p in np.flatnonzero(quick[hashes >> U64(64 - _FILTER_BITS)]):
-            k = int(np.searchsorted(keys, hashes[p]))
-            if k < len(keys) and keys[k] == hashes[p]:
-                for item in holders[k]:
-                    yield int(p), item
+        """(position, size of items) of every anchor shingle among the hashes."""
+        keys, quick, starts, sizes = self.anchors[width]
+        places = np.flatnonzero(quick[hashes >> U64(64 - _FILTER_BITS)])
+        at = np.minimum(np.searchsorted(keys, hashes[places]), len(keys) - 1)
+        held = keys[at] == hashes[places]
+        for p, k in zip(places[held].tolist(), at[held].tolist(), strict=True):
+            for n in sizes[starts[k] : starts[k + 1]].tolist():
+                yield p, n
+
+    def candidates(self, found: np.ndarray, prints: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(row of found, row of prints, differing bits) of all pairs within the radius, by rows of found."""
+        step = max(1, CELLS // len(prints))
+        for at in range(0, len(found), step):
+            w, i = np.nonzero(within_blocks(found[at : at + step], prints, self.radii))
+            bits = np.bitwise_count(found[at + w] ^ prints[i]).sum(axis=1, dtype=np.int64)
+            near = bits <= self.radius
+            yield from zip((at + w[near]).tolist(), i[near].tolist(), bits[near].tolist(), strict=True)
 
     def search(self, words: np.ndarray, touched: dict[int, list[int]]) -> Iterator[tuple[int, int, float, int]]:
         """(item, first word, similarity, differing bits) of the best window per item.
@@ -165,24 +196,17 @@ class Index:
         ``touched``: per size of items, the sorted word positions of their anchors in this document.
         """
         for n, positions in touched.items():
-            items, prints, reached = self.groups[n]
+            items, prints = self.groups[n]
             length = min(n, len(words))
+            size = min(self.size, length)  # a short item is one shingle of its own width
+            width = length - size + 1
             best: dict[int, tuple[float, int, int]] = {}
-            for low, high in _ranges(positions, length, len(words)):
-                size = min(self.size, length)  # a short item is one shingle of its own width
+            for low, high in _sliced(_ranges(positions, length, len(words)), max(WINDOWS, length)):
                 own = shingles(words[low : high + length], size)
-                width = length - size + 1
-                found = self.fingerprints(own, width)
-                candidates = reached[0][found[:, 0]].copy()
-                for b in range(1, BLOCKS):
-                    candidates |= reached[b][found[:, b]]
-                for w, i in zip(*np.nonzero(candidates), strict=True):
-                    bits = int(_ONES[found[w] ^ prints[i]].sum())
-                    if bits > self.radius:
-                        continue
+                for w, i, bits in self.candidates(self.fingerprints(own, width), prints):
                     value = self.similarity(int(items[i]), own[w : w + width])
                     if value >= SIMILARITY - 1e-12 and (i not in best or value > best[i][0] + 1e-12):
-                        best[i] = (value, low + int(w), bits)
+                        best[i] = (value, low + w, bits)
             for i, (value, start, bits) in best.items():
                 yield int(items[i]), start, value, bits
 
@@ -206,6 +230,13 @@ def _ranges(positions: list[int], length: int, n_words: int) -> Iterator[tuple[i
         yield low, high
 
 
+def _sliced(ranges: Iterator[tuple[int, int]], step: int) -> Iterator[tuple[int, int]]:
+    """The ranges (first, last) in slices of at most ``step`` positions."""
+    for low, high in ranges:
+        for at in range(low, high + 1, step):
+            yield at, min(high, at + step - 1)
+
+
 def _search_all(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int, float, int]]:
     """(row, item, first word, similarity, bits) over a batch of texts."""
     words, at = word_hashes(_lowered(texts), alnum_only=True)
@@ -213,10 +244,10 @@ def _search_all(index: Index, texts: pa.Array) -> Iterator[tuple[int, int, int,
     for width in index.anchors:
         if len(words) < width:
             continue
-        for p, item in index.hits(width, shingles(words, width)):
+        for p, n in index.hits(width, shingles(words, width)):
             row = int(np.searchsorted(at, p, side="right")) - 1
             if p + width <= at[row + 1]:  # else the run crosses into the next text
-                touched[row][index.lengths[item]].append(p - int(at[row]))
+                touched[row][n].append(p - int(at[row]))
     for row in sorted(touched):
         own = words[at[row] : at[row + 1]]
         for item, start, value, bits in index.search(own, {n: sorted(p) for n, p in touched[row].items()}):
@@ -238,8 +269,8 @@ def find(
         weight = shared_weights(items)
         weights = spark.sparkContext.broadcast(weight)
     for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("id", "body"), F.lit(parts)) == part).collect()
-        built = Index([r["id"] for r in rows], [r["body"] for r in rows], weight=weight)
+        rows = items.filter(F.pmod(F.xxhash64("id", "body"), F.lit(parts)) == part).toArrow()
+        built = Index(rows["id"].to_pylist(), rows["body"].to_pylist(), weight=weight)
         built.weight = None  # broadcast once for all parts
         index = spark.sparkContext.broadcast(built)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -239,14 +240,14 @@ def test_matches_equal_brute_force(spark, monkeypatch):
     benchmark = spark.createDataFrame([(*i, "clash") for i in items], "item_id long, text string, doc_id string")
     expected = plain_matches(rows, items)
     assert len(expected) > 20
-    for limit in (decontaminate.INDEX_BYTES, 300):
+    # in one index, in parts, and with slices of windows and comparisons that are cut everywhere
+    for limit, windows, cells in ((decontaminate.INDEX_BYTES, decontaminate.WINDOWS, decontaminate.CELLS), (300, 1, 1)):
         monkeypatch.setattr(decontaminate, "INDEX_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "WINDOWS", windows)
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
         out = {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.find(docs(spark, rows), benchmark).collect()}
-        if limit > 300:  # in parts, shingle weights are those of the part
-            assert {k: v[1] for k, v in out.items()} == {k: v[1] for k, v in expected.items()}
-            assert all(out[k][0] == pytest.approx(expected[k][0]) for k in out)
-        else:
-            assert set(out) >= {k for k, v in expected.items() if v[0] == 1}
+        assert {k: v[1] for k, v in out.items()} == {k: v[1] for k, v in expected.items()}
+        assert all(out[k][0] == pytest.approx(expected[k][0]) for k in out)
     assert decontaminate.find(docs(spark, []), benchmark).count() == 0
     assert decontaminate.find(docs(spark, rows), benchmark.limit(0)).count() == 0
 
@@ -280,14 +281,36 @@ def test_repeating_an_item_changes_no_match(spark):
 
 def test_block_index_reaches_the_whole_radius():
     index = decontaminate.Index([1], [sentence(5, 30)])
-    _, prints, reached = index.groups[30]
+    _, prints = index.groups[30]
     rng = np.random.default_rng(0)
-    bits = np.unpackbits(prints[0])
+    bits = np.unpackbits(prints[0].view(np.uint8))
+    others = []
     for _ in range(500):
         flipped = bits.copy()
-        flipped[rng.choice(128, index.radius, replace=False)] ^= 1
-        other = np.packbits(flipped)
-        assert any(reached[b][other[b], 0] for b in range(decontaminate.BLOCKS))
+        flipped[rng.choice(decontaminate.BITS, index.radius, replace=False)] ^= 1
+        others.append(np.packbits(flipped).view(np.uint32))
+    assert decontaminate.within_blocks(np.stack(others), prints, index.radii).all()
+    assert len(list(index.candidates(np.stack(others), prints))) == 500
+
+
+def test_block_radii_are_tight():
+    for radius in (0, 5, 7, 8, 40, 68):
+        radii = decontaminate.block_radii(radius)
+        assert sum(r + 1 for r in radii) == radius + 1 and min(radii) >= -1
+
+
+def test_block_index_rejects_nearly_all_random_fingerprints():
+    rng = np.random.default_rng(1)
+    some, other = (rng.integers(0, 1 << 32, (600, decontaminate.BLOCKS), dtype=np.uint32) for _ in range(2))
+    share = decontaminate.within_blocks(some, other, decontaminate.block_radii(decontaminate.RADIUS)).mean()
+    assert 0.005 < share < 0.03
+
+
+def test_the_index_takes_a_few_times_the_benchmark_text():
+    texts = [sentence(k, 60) for k in range(3000)]
+    index = decontaminate.Index(list(range(3000)), texts)
+    filters = sum(a[1].nbytes for a in index.anchors.values())
+    assert len(pickle.dumps(index)) - filters < 6 * sum(map(len, texts))
 
 
 # --- mixing ------------------------------------------------------------------------------
