@@ -469,8 +469,8 @@ def serving_sync(t: Tables) -> DataFrame:
     """Entities sent twice to a keyed store in batches, at first with other values, and read back from it."""
     path = t.path("store")
     for rows in (S.dim(t).withColumn("population", F.lit(0).cast("bigint")), S.dim(t)):
-        serving.send_records(rows, "riskspark.sinks.serving:FolderStore", {"path": path})
-    return t.spark.read.schema("entity_id bigint, state string, name string, population bigint").json(path)
+        serving.send_records(rows, "riskspark.sinks.serving:LogStore", {"path": path})
+    return serving.read_log(t.spark, path, "entity_id bigint, state string, name string, population bigint")
 
 
 # --- incremental loads -------------------------------------------------------------------

@@ -14,14 +14,16 @@ from __future__ import annotations
 import importlib
 import json
 import os
+import re
 import time
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -134,6 +136,7 @@ def send_records(
 class FolderStore:
     """A keyed store in a folder that all tasks see: a file per record, replaced as a whole.
 
+    For few records: every record is a file to make, list and open. ``LogStore`` holds many.
     ``_last_run.json`` tells how many records the last complete write sent. Option ``path``.
     """
 
@@ -155,3 +158,51 @@ class FolderStore:
 
     def abandon(self, sent: Sent) -> None:
         self._put("_last_run.json", {"complete": False, "records": sent.records, "batches": sent.batches})
+
+
+SEGMENT = re.compile(r"segment-(\d{10})-\w+\.log")
+
+
+class LogStore(FolderStore):
+    """A keyed store in a folder that all tasks see: batches are lines of segments, one segment per task and write.
+
+    A line is a checksum and a JSON object: the segment, its number, the line's place in it and the batch. A
+    batch whose line is torn was never taken, so a batch holds whole or not at all. Of a key's records the one of
+    the highest segment number and place is held; a segment opened after others gets a higher number than
+    theirs. Replaced records stay on disk. ``read_log`` reads the store. Option ``path``.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.segment: Path | None = None
+        self.number = self.lines = 0
+
+    def _open(self) -> Path:
+        self.path.mkdir(parents=True, exist_ok=True)
+        numbers = [int(m[1]) for m in map(SEGMENT.fullmatch, os.listdir(self.path)) if m]
+        self.number = max(numbers, default=0) + 1
+        segment = self.path / f"segment-{self.number:010d}-{uuid.uuid4().hex}.log"
+        segment.touch()
+        return segment
+
+    def send(self, batch: list[dict]) -> None:
+        self.segment = self.segment or self._open()
+        self.lines += 1
+        head = json.dumps({"segment": self.segment.name, "number": self.number, "line": self.lines})
+        body = json.dumps(batch, ensure_ascii=False, default=str)
+        line = f'{head[:-1]}, "records": {body}}}'.encode()
+        with self.segment.open("ab") as file:  # the first line end closes a line that an earlier try left torn
+            file.write(b"\n%d %b\n" % (zlib.crc32(line), line))
+
+
+def read_log(spark: SparkSession, path: str, schema: str, keys: list[str] = KEYS) -> DataFrame:
+    """The records that a ``LogStore`` holds, with the columns of ``schema``."""
+    lines = spark.read.option("pathGlobFilter", "segment-*.log").option("lineSep", "\n").schema("value string").text(path)
+    checksum, line = F.substring_index("value", " ", 1), F.expr("substring(value, instr(value, ' ') + 1)")
+    whole = lines.filter(F.crc32(line.cast("binary")).cast("string") == checksum)
+    layout = f"segment string, number long, line long, records array<struct<{schema}>>"
+    batches = whole.select(F.from_json(line, layout).alias("b")).select(
+        F.struct("b.number", "b.line", "b.segment").alias("_at"), F.inline("b.records")
+    )
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("_at").desc()))
+    return batches.withColumn("_newest", newest).filter("_newest = 1").drop("_at", "_newest")

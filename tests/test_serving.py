@@ -71,6 +71,40 @@ def test_blank_and_repeated_keys_send_nothing(spark, tmp_path):
     assert last_run(tmp_path / "s")["records"] == 0
 
 
+LOG = "riskspark.sinks.serving:LogStore"
+LAYOUT = "entity_id bigint, state string, score double"
+
+
+def logged(spark, folder):
+    return sorted(tuple(r) for r in serving.read_log(spark, str(folder), LAYOUT).collect())
+
+
+def test_a_log_store_holds_every_key_once_in_few_files(spark, tmp_path):
+    options = {"path": str(tmp_path / "s")}
+    newer = records(spark).selectExpr("entity_id", "state", "double(score) AS score")
+    older = newer.selectExpr("entity_id", "state", "score - 1 AS score")
+    for rows in (older, newer, newer):
+        serving.send_records(rows, LOG, options, senders=3)
+    assert logged(spark, tmp_path / "s") == expected()
+    assert len(list((tmp_path / "s").iterdir())) <= 3 * 3 + 1  # a file per sender, not per record
+    assert last_run(tmp_path / "s") == {"complete": True, "records": 200, "batches": last_run(tmp_path / "s")["batches"]}
+
+
+def test_a_log_store_takes_a_batch_whole_or_not_at_all(spark, tmp_path):
+    row = {"entity_id": 1, "state": "PB", "score": 1.0}
+    store = serving.LogStore({"path": str(tmp_path)})
+    store.send([row, {**row, "entity_id": 2, "state": "a\rb\u2028 é"}])
+    whole = store.segment.read_bytes()
+    store.send([{**row, "score": 2.0}, {**row, "entity_id": 3}])
+    store.segment.write_bytes(store.segment.read_bytes()[:-9])  # the writer died
+    assert logged(spark, tmp_path) == [(1, "PB", 1.0), (2, "a\rb\u2028 é", 1.0)]
+    store.send([{**row, "score": 3.0}])
+    assert logged(spark, tmp_path) == [(1, "PB", 3.0), (2, "a\rb\u2028 é", 1.0)]
+    again = serving.LogStore({"path": str(tmp_path)})
+    again.send([{**row, "score": None}])
+    assert logged(spark, tmp_path)[0] == (1, "PB", None) and store.segment.read_bytes().startswith(whole)
+
+
 RETRIED = """
 import sys
 from riskspark.session import build
