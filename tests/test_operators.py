@@ -187,6 +187,27 @@ def test_pivot_needs_no_dedupe(lines):
     assert as_rows(ACC.budget_pivot(lines)) == as_rows(ACC.budget_pivot(staging.stage_budget_lines(lines)))
 
 
+def test_periods_of_repeated_lines_are_those_of_staged_lines(spark, lines):
+    moved = lines.withColumn("state", F.lit("PB")).withColumn("value", F.col("value") - F.col("entity_id") + 1.5)
+    unknown = lines.filter("entity_id = 2").withColumn("state", F.lit("XX")).withColumn("value", F.col("value") + 9)
+    stateless = lines.filter("period = 6").withColumns({"state": F.lit(None).cast("string"), "period": F.lit(None).cast("int")})
+    for rows in (lines, lines.union(moved), lines.union(moved).union(unknown).union(stateless).union(stateless)):
+        staged = ACC.budget_periods(staging.stage_budget_lines(rows))
+        assert as_rows(staging.staged_budget_periods(staging.typed_lines(rows))) == as_rows(staged)
+        fiscal = rows.withColumns({"annex": F.lit(P.FISCAL_ANNEX), "account_code": F.lit(P.CASH_AFTER)})
+        records = ACC.fiscal_records(staging.stage_fiscal_lines(fiscal))
+        assert as_rows(staging.staged_fiscal_records(staging.typed_lines(fiscal))) == as_rows(records)
+    unread = staging.typed_lines(lines.withColumn("population", F.lit("many")))
+    for job in (staging.staged_budget_periods, staging.staged_fiscal_records):
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+            job(unread).collect()
+
+
+def test_repeated_lines_are_not_shuffled_one_by_one(spark, lines):
+    plan = staging.staged_fiscal_records(lines.union(lines))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == 1
+
+
 def test_asof_uses_newest_earlier_rating(spark):
     targets = spark.createDataFrame([(1, y) for y in range(2019, 2025)] + [(2, 2020)], "entity_id long, year long")
     ratings = spark.createDataFrame(
