@@ -284,3 +284,14 @@ def test_entry_is_the_flagship(spark):
     df = entry.entry(spark)
     assert {"entity_id", "score", "risk_class"} <= set(df.columns)
     assert df.count() > 0
+
+
+def test_small_sides_of_a_join_are_hashed_instead_of_sorting_both(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, right = spark.range(20_000).withColumn("x", F.col("id") + 1), spark.range(10_000).withColumn("y", F.col("id") + 2)
+        joined = left.join(right, "id")
+        joined.collect()
+        assert "ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
