@@ -10,6 +10,7 @@ from queries import shapes as S
 from queries.core import Tables
 from queries.scores import inputs
 from riskspark import params as P
+from riskspark import session
 from riskspark.plans import history as H
 from riskspark.plans import score
 from riskspark.plans import staging
@@ -295,3 +296,18 @@ def test_small_sides_of_a_join_are_hashed_instead_of_sorting_both(spark):
         assert "ShuffledHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_shuffle_partitions_follow_the_tables(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        session.size_shuffles(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        with (tmp_path / "orders.parquet").open("wb") as file:
+            file.truncate(session.INPUT_PER_PARTITION * (int(before) + 5))
+        Tables(spark, str(tmp_path))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == int(before) + 5
+        Tables(spark, str(tmp_path / "orders.parquet"))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == int(before) + 5
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
