@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from queries import shapes as S
 from queries.core import Tables
-from queries.scores import inputs
+from queries.scores import inputs, raw_inputs
 from riskspark import params as P
 from riskspark import session
+from riskspark.operators.contracts import AGG_COLUMNS
 from riskspark.plans import history as H
 from riskspark.plans import score
 from riskspark.plans import staging
@@ -311,3 +312,44 @@ def test_shuffle_partitions_follow_the_tables(spark, tmp_path):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) == int(before) + 5
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_raw_lines_come_twice_from_one_pass_over_the_lines(spark):
+    lines = spark.createDataFrame([(1, "PB", 5.5), (2, None, None), (1, "PB", 5.5)], "entity_id long, state string, value double")
+    raw = S.raw_lines(lines)
+    assert optimized(raw).count("LogicalRDD") == 1
+    twice = S.as_text(lines.unionByName(lines.withColumn("value", F.col("value") - 1.0)))
+    assert raw.schema.simpleString() == twice.schema.simpleString() and as_rows(raw) == as_rows(twice)
+
+
+def test_raw_tables_share_one_join_of_orders_and_entities(spark):
+    tables = Tables(spark, FOLDER)
+    plans = [optimized(getattr(raw_inputs(tables), name)) for name in ("budget_lines", "fiscal_lines", "ratings", "accounts", "flags", "contracts")]
+    assert not [plan for plan in plans if "o_custkey" in plan or "c_custkey" in plan]
+    assert as_rows(S.owned_orders(tables)) == as_rows(S.owned_orders(Tables(spark, FOLDER)))
+
+
+def test_contracts_staged_for_some_columns_are_those_of_whole_contracts(spark):
+    """Versions that are equal up to one column, from the last that is read to the last of all, and nulls."""
+    unit, body = '{"codigoIbge":"%s","municipioNome":"%s","ufSigla":"PB","nomeUnidade":"U"}', '{"cnpj":"%s","razaoSocial":"R"}'
+    rows = [
+        (key, "PB", "2001.0", month, modality, unit % (code, name), body % tax, "1", award, "2001-05-01T08:00", updated, no_data)
+        for key, updated in (("a", "2001-06-01"), ("b", "2001-06-02"), ("c", None))
+        for month, modality, code, name, tax, award, no_data in (
+            ("5.0", "9", "7", "N", "2", "10.0", None), ("5.0", "9", "7", "M", "1", "10.0", None),
+            ("5.0", "8", "7", "N", "1", "10.0", None), ("5.0", "8", "7", "N", "1", None, "False"),
+            ("5.0", "8", "3", "Z", "9", "10.0", None), ("5.0", "8", "", "A", "0", "10.0", None), ("4.0", "9", "1", "B", "3", "7.0", "True"),
+        )
+    ]
+    rows += [("b", "SE", "2001.0", "1.0", "9", None, None, "1", "4.0", "2001-05-02T08:00", "2001-06-01", None)]
+    columns = ["contract_id", "state", "purchase_year", "month", "modality", "unit_json", "body_json", "estimated_value",
+               "awarded_value", "published", "updated", "no_data"]
+    raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns))
+    some = staging.stage_contracts(raw, AGG_COLUMNS)
+    whole = staging.stage_contracts(raw)
+    assert as_rows(some) == as_rows(whole.select(AGG_COLUMNS)) and some.count() == 3
+    assert "razaoSocial" in optimized(whole) and "razaoSocial" not in optimized(some)
