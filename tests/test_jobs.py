@@ -353,3 +353,9 @@ def test_contracts_staged_for_some_columns_are_those_of_whole_contracts(spark):
     whole = staging.stage_contracts(raw)
     assert as_rows(some) == as_rows(whole.select(AGG_COLUMNS)) and some.count() == 3
     assert "razaoSocial" in optimized(whole) and "razaoSocial" not in optimized(some)
+
+
+def test_raw_ratings_are_staged_once(spark):
+    ratings = score.staged_inputs(raw_inputs(Tables(spark, FOLDER))).ratings
+    assert "row_number" not in optimized(ratings)
+    assert as_rows(ratings.select("entity_id", "year", "percent")) == as_rows(S.ratings(Tables(spark, FOLDER)).select("entity_id", "year", "percent"))
